@@ -3,17 +3,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediaframe.llm import decontamination, license_scan, quality_rules, url_filter
+from mediaframe.llm import decontamination, license_scan, lm_scoring, packing, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), lm_scoring.crc_split())
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_license_scans(spark, sf_dir):
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +46,7 @@ def op9_benchmark_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_rules, op7_license_scans, op8_url_filters, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op5_simhash_near_dedup, op6_best_fit_packing, op7_license_scans, op8_url_filters, op9_benchmark_decontamination)}
 
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

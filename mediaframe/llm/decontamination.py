@@ -74,3 +74,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     out = hits.drop("windows").join(listed, "row_", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(F.col("key_").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       ((F.col("n_hit") > 0) & (F.col("n_hit") >= min_share * F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that `decontaminate` does not find contaminated."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("_row"), F.col(text).alias("_text"))
+    return decontaminate(packed, benchmark, "_text", "_row", **options).where("not contaminated").select("_row.*")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediaframe.llm import decontamination, license_scan, lm_scoring, packing, quality_rules, simhash, url_filter
+from mediaframe.llm import decontamination, html_text, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +54,12 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return quality_classifier.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op5_simhash_near_dedup, op6_best_fit_packing, op7_license_scans, op8_url_filters, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_license_scans, op8_url_filters, op9_benchmark_decontamination, op10_quality_classifier)}
 
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -71,6 +84,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 33, 1))) t(i))),
+r AS (SELECT DISTINCT doc_id, i + k AS i FROM x, range(35) o(k) WHERE n > 1),
+k AS (SELECT d.doc_id, t.i, w[t.i] AS word, r.i IS NOT NULL AS gone FROM d CROSS JOIN unnest(range(1, len(w) + 1)) t(i) LEFT JOIN r ON r.doc_id = d.doc_id AND r.i = t.i)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+ sha256(coalesce(string_agg(word, ' ' ORDER BY k.i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, w
+"""
+
 OP8_SQL = r"""
 WITH s AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS p FROM pages),
 h AS (SELECT page_id, CASE WHEN p > 0 THEN regexp_extract(substr(u, p + 3), '^[^/?#]*') ELSE '' END AS raw, CASE WHEN p > 0 THEN substr(u, p + 3) ELSE '' END AS rest FROM s),
@@ -96,4 +119,4 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def oracle_sql():
-    return {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}

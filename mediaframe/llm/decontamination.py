@@ -76,8 +76,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
                       ((F.col("n_hit") > 0) & (F.col("n_hit") >= min_share * F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs`, all columns as they are, that `decontaminate` does not find contaminated."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("_row"), F.col(text).alias("_text"))
-    return decontaminate(packed, benchmark, "_text", "_row", **options).where("not contaminated").select("_row.*")
+    own = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
+    found = decontaminate(docs.select(own.alias("_key"), F.col(text).alias("_text")), benchmark, "_text", "_key", **options).where("contaminated").select("_key").distinct()
+    packed = docs.select(own.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return packed.join(found, "_key", "left_anti").select("_row.*")

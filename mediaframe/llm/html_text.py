@@ -7,6 +7,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from mediaframe.llm.sqltext import with_key
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object video audio canvas datalist meta link base param source track area".split())
@@ -306,4 +308,4 @@ def extract_text(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = (
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([visible_text(h.as_py()) for h in b.column(1)], pa.string())], names=["key", "text"])
 
-    return own.mapInArrow(texts, f"key {own.schema['key'].dataType.simpleString()}, text string").select("key.*", "text")
+    return own.mapInArrow(texts, with_key(own.schema["key"].dataType, "text string")).select("key.*", "text")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediaframe.llm.arrays import join_hash, split_words
+from mediaframe.llm.sqltext import with_key
 from mediaframe.plans.lineage import cut_lineage
 
 ORDER, SHARD_BYTES = 2, 12 << 20
@@ -202,9 +203,8 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keys: tuple[
         return pa.table([table["key"], pa.array(~table["train"].to_numpy()), pa.array(np.diff(grams.first)), pa.array(add(known)), pa.array(np.full(len(table), tokens)), pa.array(add(base)), pa.array(walked)],
                         names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = own.schema["key"].dataType.simpleString()
     scored = own.groupBy("shard").cogroup(answered.where("shard >= 0").select("shard", "bucket", "k", "counts").groupBy("shard")).applyInArrow(
-        score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        score, with_key(own.schema["key"].dataType, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return scored.select("key.*", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

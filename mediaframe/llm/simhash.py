@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediaframe.llm.sqltext import ascii_lower, let, space_words
+from mediaframe.llm.sqltext import ascii_lower, let, space_words, with_key
 from mediaframe.plans.graph import connected_components
 from mediaframe.plans.lineage import cut_lineage
 
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
             values = h.values.to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(majority_bits(values, first).view(np.int64))], names=["key", "fingerprint"])
 
-    return hashed.mapInArrow(bits, f"key {docs.schema[key].dataType.simpleString()}, fingerprint long")
+    return hashed.mapInArrow(bits, with_key(hashed.schema["key"].dataType, "fingerprint long"))
 
 
 def link_tile(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,3 +37,8 @@ def space_words(text: Column) -> Column:
 def alnum_words(text: Column) -> Column:
     """Array of the words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased."""
     return _parts(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def with_key(kind: DataType, rest: str) -> StructType:
+    """Schema of a `key` of exactly the given type and the columns of a DDL string."""
+    return StructType([StructField("key", kind), *StructType.fromDDL(rest).fields])

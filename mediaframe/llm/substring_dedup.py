@@ -10,10 +10,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from mediaframe.llm.arrays import Words, join_hash, split_words
 from mediaframe.llm.fm_index import FMIndex
+from mediaframe.llm.sqltext import with_key
 
 WINDOW, RUN, HOT, SHARD_BYTES = 35, 12, 2000, 12 << 20
 
@@ -116,11 +118,12 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, w
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), window: int = WINDOW, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), window: int = WINDOW, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, unchanged_as_is: bool = False) -> DataFrame:
     """`keys`, n_words, n_removed, kept (the words left, joined by one space); one row per input row.
 
     Every word inside a window of `window` words that also starts anywhere else, in any row or the
-    same one, goes. Null texts have no words. A minimizer of more than `hot` segments would crowd
+    same one, goes. Null texts have no words. With `unchanged_as_is` a text that loses nothing is
+    returned as it was. A minimizer of more than `hot` segments would crowd
     one index: its windows are first counted one by one and only repeated ones are sent, each to
     the index of its own hash, equal ones once a shard. Words are told apart by 64-bit hashes.
     """
@@ -259,8 +262,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
                 at = place[(marks[same] >> np.uint64(i) & np.uint64(1)) == 1] + i
                 gone += np.bincount(at, minlength=len(gone)) - np.bincount(np.minimum(at + window, len(gone) - 1), minlength=len(gone))
         stays = np.cumsum(gone)[:-1] == 0
-        removed = np.concatenate([[0], np.cumsum(~stays)])
-        return pa.table([table["key"], pa.array(words.count()), pa.array(np.diff(removed[words.first])), _joined(words, stays)], names=["key", "n_words", "n_removed", "kept"])
+        removed = np.diff(np.concatenate([[0], np.cumsum(~stays)])[words.first])
+        kept = _joined(words, stays)
+        if unchanged_as_is:
+            kept = pc.if_else(pa.array(removed > 0), kept, table.combine_chunks()["text"].chunk(0).cast(pa.string()))
+        return pa.table([table["key"], pa.array(words.count()), pa.array(removed), kept], names=["key", "n_words", "n_removed", "kept"])
 
     by = lambda df: df.groupBy("shard")
     first = by(own).applyInArrow(ask, asking).groupBy("bucket").applyInArrow(answer, asking)
@@ -268,8 +274,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     replies = first.union(second)
     marks = by(own).cogroup(by(replies)).applyInArrow(send, sending).groupBy("bucket").applyInArrow(search, "shard int, numbers binary, marks binary")
     all_ = replies.union(marks.select(F.lit(0).alias("bucket"), "shard", F.lit(2).alias("kind"), F.col("numbers").alias("names"), F.col("marks").alias("counts")))
-    kind = own.schema["key"].dataType.simpleString()
-    return by(own).cogroup(by(all_)).applyInArrow(keep, f"key {kind}, n_words long, n_removed long, kept string").select("key.*", "n_words", "n_removed", "kept")
+    return by(own).cogroup(by(all_)).applyInArrow(keep, with_key(own.schema["key"].dataType, "n_words long, n_removed long, kept string")).select("key.*", "n_words", "n_removed", "kept")
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -277,11 +282,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, **op
 
     `n_chars`, where there is such a column, follows the text. Null texts stay null.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    left = remove_repeats(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_text", ("_row",), window, **options)
-    changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_row.`{text}`"))
-    length = lambda c: F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(f"_row.`{c}`"))
-    return left.select(*[(changed if c == text else length(c) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    left = remove_repeats(docs.select(rest.alias("_rest"), F.col(text).alias("_text")), "_text", ("_rest",), window, unchanged_as_is=True, **options)
+    length = lambda c: F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(f"_rest.`{c}`"))
+    return left.select(*[(F.col("kept") if c == text else length(c) if c == "n_chars" else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _mixed(word: np.ndarray, place: np.ndarray) -> np.ndarray:

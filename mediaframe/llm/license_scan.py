@@ -83,7 +83,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
     votes = base.select(*group, F.explode_outer(positions).alias("_p")).select(*group, F.col("_p.word").alias("word"), F.col("_p.pos").alias("pos"))
     agreed = votes.join(F.broadcast(posts), "word", "left").withColumn("_shift", F.col("pos") - F.col("at")).groupBy(*group, "template", "_shift").agg(
         F.count_distinct("word").alias("_agree"), F.max(F.size(F.array_intersect("_chosen", "template_words"))).alias("_of"))
-    share = F.when(F.array_contains("_verified", F.col("template")) & (F.col("_of") >= 3), F.col("_agree") / F.col("_of"))
+    share = F.when(F.array_contains("_verified", F.col("template")) & (F.col("_agree") >= 3), F.col("_agree") / F.col("_of"))
     found = agreed.withColumn("_share", F.when(share >= min_share, share)).groupBy(*group).agg(
         F.collect_set(F.when(F.col("_share").isNotNull(), F.substring_index("template", "#", 1))).alias("_more"), F.max("_share").alias("_best"))
     return found.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),

@@ -33,13 +33,16 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def bursts(stream: DataFrame, at: str = "ts", gap: str = "250 milliseconds", delay: str = "1 minute") -> DataFrame:
-    """Bursts of events no further apart than the gap: (started, ended, events)."""
+def bursts(stream: DataFrame, at: str = "ts", gap: str = "250 milliseconds", delay: str = "1 minute", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bursts of events no further apart than the gap: (keys, started, ended, events).
+
+    A stream needs a key, such as the volume, whose events form bursts of their own.
+    """
     timed = stream.withColumn("_at", F.col(at).cast("timestamp"))
     if stream.isStreaming:
         timed = timed.withWatermark("_at", delay)
-    s = timed.groupBy(F.session_window("_at", gap).alias("s")).agg(F.count("*").alias("events"))
-    return s.select(F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events")
+    s = timed.groupBy(*keys, F.session_window("_at", gap).alias("s")).agg(F.count("*").alias("events"))
+    return s.select(*keys, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events")
 
 
 def live_periods(stream: DataFrame, at: str = "ts", delay: str = "1 day") -> DataFrame:

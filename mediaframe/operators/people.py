@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mediaframe.plans.lineage import cut_lineage
 
 
-def canonical(merges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def canonical(merges: DataFrame) -> DataFrame:
     """(person_id, root): the end of each merge chain, by pointer doubling; a cycle is an error.
 
     A person merged into several follows the smallest. Each round doubles the steps already
@@ -16,7 +16,7 @@ def canonical(merges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     pointers = merges.where("from_person_id <> into_person_id").groupBy(F.col("from_person_id").alias("person_id")).agg(F.min("into_person_id").alias("root"))
     pointers = cut_lineage(pointers)
-    for _ in range(max_rounds):
+    for _ in range(pointers.count().bit_length() + 2):  # a chain of n ends within log2 n doublings, a cycle never
         nxt = pointers.select(F.col("person_id").alias("root"), F.col("root").alias("beyond"))
         moved = cut_lineage(pointers.join(nxt, "root", "left").select("person_id", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
         if moved.where("person_id = root").limit(1).count():

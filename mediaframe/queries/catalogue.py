@@ -354,9 +354,9 @@ def s2_visible_ids(t):
     return catalog.visible_ids(raw(t))
 
 
-@query("SELECT id, CASE WHEN taken_ms > 0 THEN 'TAKEN' WHEN added_s > 0 THEN 'ADDED' ELSE 'UNKNOWN' END AS date_source, CASE WHEN size >= 0 THEN size END AS size, CASE WHEN taken_ms > 0 THEN taken_ms END AS taken_ms, CASE WHEN added_s > 0 THEN added_s * 1000 END AS added_ms FROM raw", raw=RAW)
+@query("SELECT id, CASE WHEN taken_ms > 0 THEN 'TAKEN' WHEN added_s > 0 THEN 'ADDED' ELSE 'UNKNOWN' END AS date_source, CAST(CASE WHEN size >= 0 THEN size END AS VARCHAR) AS size, CAST(CASE WHEN taken_ms > 0 THEN taken_ms END AS VARCHAR) AS taken_ms, CAST(CASE WHEN added_s > 0 THEN added_s * 1000 END AS VARCHAR) AS added_ms FROM raw", raw=RAW)
 def s3_normalize_raw(t):
-    return catalog.normalize_raw(raw(t)).select("id", "date_source", "size", F.unix_millis("taken_at").alias("taken_ms"), F.unix_millis("added_at").alias("added_ms"))
+    return catalog.normalize_raw(raw(t)).select("id", "date_source", F.col("size").cast("string").alias("size"), F.unix_millis("taken_at").cast("string").alias("taken_ms"), F.unix_millis("added_at").cast("string").alias("added_ms"))
 
 
 @query("SELECT media_id, CASE WHEN source = 'DEVICE' AND volume_name = 'vol2' AND availability = 'AVAILABLE' THEN 'INACCESSIBLE' ELSE availability END AS availability FROM media", "media")

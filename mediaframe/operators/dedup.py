@@ -58,12 +58,12 @@ def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id",
     spread = distinct.select("b", F.explode(keys).alias("k")).select("b", "k.slot", "k.value")
     left, right = spread.withColumnRenamed("b", "left_bits"), spread.withColumnRenamed("b", "right_bits")
     met = left.join(right, ["slot", "value"]).where("left_bits < right_bits")
-    same = F.array(*[nibble(F.col("left_bits").bitwiseXOR(F.col("right_bits")), i) == 0 for i in range(BANDS)])
-    first = F.array_position(same, True) - 1
-    second = F.array_position(F.slice(same, (first + 2).cast("int"), BANDS), True) + first
-    slot = (first * (2 * BANDS - first - 1) / 2).cast("long") + second - first - 1
     close = met.withColumn("distance", hamming(F.col("left_bits"), F.col("right_bits"))).where(F.col("distance") <= max_distance)
-    return close.where(F.col("slot") == slot).select("left_bits", "right_bits", "distance")
+    # A bit for each equal nibble; its two lowest ones name the key that gives the pair out.
+    x = close.withColumn("x", F.expr("left_bits ^ right_bits")).withColumn("x", F.expr("x | shiftrightunsigned(x, 1)")).withColumn("x", F.expr("x | shiftrightunsigned(x, 2)"))
+    m = x.withColumn("m", F.expr(f"~x & {0x1111111111111111}L")).withColumn("m2", F.expr("m & (m - 1)"))
+    named = m.withColumn("i", F.expr("bit_count((m & -m) - 1) div 4")).withColumn("j", F.expr("bit_count((m2 & -m2) - 1) div 4"))
+    return named.where(f"slot = i * ({2 * BANDS} - i - 1) div 2 + j - i - 1").select("left_bits", "right_bits", "distance")
 
 
 def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP) -> DataFrame:

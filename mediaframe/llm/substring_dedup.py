@@ -17,7 +17,7 @@ from mediaframe.llm.arrays import Words, join_hash, split_words
 from mediaframe.llm.fm_index import FMIndex
 from mediaframe.llm.sqltext import with_key
 
-WINDOW, RUN, HOT, SHARD_BYTES = 35, 12, 2000, 12 << 20
+WINDOW, RUN, HOT, SHARD_BYTES = 35, 12, 2000, 4 << 20
 
 
 class Segments:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mediaframe.llm.arrays import join_hash, split_words
 from mediaframe.llm.sqltext import with_key
-from mediaframe.plans.lineage import cut_lineage
 
 ORDER, SHARD_BYTES = 2, 12 << 20
 _END = np.uint64(0xA0761D6478BD642F)
@@ -152,7 +151,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keys: tuple[
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(12, math.ceil(size / shard_bytes))
-    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")).repartition(shards, "shard")
     edges = np.linspace(0, 2.0**64, shards + 1)[1:-1].astype(np.uint64)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -181,29 +180,36 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keys: tuple[
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["shard", "bucket", "k", "counts", "tokens", "types", "once", "twice"])
 
-    asked = own.select("shard", "train", "text").groupBy("shard").applyInArrow(ask, "bucket int, shard int, k int, n long, keys binary, counts binary")
-    answered = cut_lineage(asked.groupBy("bucket").applyInArrow(answer, "shard int, bucket int, k int, counts binary, tokens long, types long, once long, twice long"))
-    stats = tuple(int(x or 0) for x in answered.where("shard < 0").agg(F.sum("tokens"), F.sum("types"), F.sum("once"), F.sum("twice")).first())
+    # One plan from here on: the texts are shuffled once, for asking and for scoring.
+    asked = own.groupBy("shard").applyInArrow(ask, "bucket int, shard int, k int, n long, keys binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "shard int, bucket int, k int, counts binary, tokens long, types long, once long, twice long")
+    sums = answered.where("shard < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice")])
+    everywhere = sums.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(-1).alias("bucket"), F.lit(-1).alias("k"), F.lit(None).cast("binary").alias("counts"), "tokens", "types", "once", "twice")
+    replies_ = answered.where("shard >= 0").union(everywhere)
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+        names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        if not table.num_rows:
+            return pa.table([table["key"], pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2], names=names)
         table = table.combine_chunks()
         grams = shard_grams(table["text"].chunk(0), order)
         k, bucket = replies["k"].to_numpy(), replies["bucket"].to_numpy()
+        (whole,) = np.flatnonzero(k < 0)
+        tokens, types, once, twice = (replies[c][int(whole)].as_py() for c in ("tokens", "types", "once", "twice"))
         totals = []
         for level in range(order):
             rows = np.flatnonzero(k == level)
             rows = rows[np.argsort(bucket[rows])]
             totals.append(np.concatenate([_counts(replies["counts"][int(i)].as_py()) for i in rows]) if len(rows) else np.empty(0, np.int64))
-        tokens, types, once, twice = stats
         word = grams.number[0]
         known = (totals[0] > 0).astype(np.int64)
         base = np.log10((totals[0] + 1) / (tokens + types + 1))
         walked = Automaton(grams, totals, tokens, types, once, twice).walk(word, grams.first)
         add = lambda x: np.add.reduceat(x[word], grams.first[:-1])
         return pa.table([table["key"], pa.array(~table["train"].to_numpy()), pa.array(np.diff(grams.first)), pa.array(add(known)), pa.array(np.full(len(table), tokens)), pa.array(add(base)), pa.array(walked)],
-                        names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                        names=names)
 
-    scored = own.groupBy("shard").cogroup(answered.where("shard >= 0").select("shard", "bucket", "k", "counts").groupBy("shard")).applyInArrow(
+    scored = own.groupBy("shard").cogroup(replies_.groupBy("shard")).applyInArrow(
         score, with_key(own.schema["key"].dataType, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return scored.select("key.*", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

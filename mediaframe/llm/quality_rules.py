@@ -78,11 +78,10 @@ def order_rules(measured: DataFrame, rules=RULES, sample_rows: int = 2000) -> li
     the mean size of what a rule reads, selectivity the share it rejects. The verdict is the
     same in any order; only the work before the first rejection changes.
     """
-    sample = measured.limit(sample_rows)
-    row = sample.agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars"), F.avg("n_words").alias("words"),
-                     *[F.count_if(F.expr(r.rejects)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    cost = {k: 1.0 + (row[k] or 0.0) for k in ("chars", "words")}
-    gain = {r.name: (row[f"r{i}"] or 0) / max(1, row["n"]) / cost[r.touches] for i, r in enumerate(rules)}
+    flags = [F.coalesce(F.expr(r.rejects), F.lit(False)) for r in rules]
+    rows = measured.select(F.length("text"), F.col("n_words"), *flags).limit(sample_rows).collect()  # a row of numbers each, from the first partitions
+    cost = {k: 1.0 + sum(r[i] for r in rows) / max(1, len(rows)) for i, k in enumerate(("chars", "words"))}
+    gain = {r.name: sum(row[i + 2] for row in rows) / max(1, len(rows)) / cost[r.touches] for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-gain[r.name], cost[r.touches], r.name))
 
 

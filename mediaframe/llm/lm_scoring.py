@@ -18,6 +18,7 @@ from mediaframe.llm.arrays import join_hash, split_words
 from mediaframe.llm.sqltext import with_key
 
 ORDER, SHARD_BYTES = 2, 12 << 20
+PARTITIONS = 50_000  # of the text shuffle at most; a partition then holds several shards, taken one after the other
 _END = np.uint64(0xA0761D6478BD642F)
 
 
@@ -151,7 +152,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keys: tuple[
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(12, math.ceil(size / shard_bytes))
-    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")).repartition(shards, "shard")
+    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")).repartition(min(shards, PARTITIONS), "shard")
     edges = np.linspace(0, 2.0**64, shards + 1)[1:-1].astype(np.uint64)
 
     def ask(table: pa.Table) -> pa.Table:

@@ -18,6 +18,7 @@ from mediaframe.llm.fm_index import FMIndex
 from mediaframe.llm.sqltext import with_key
 
 WINDOW, RUN, HOT, SHARD_BYTES = 35, 12, 2000, 4 << 20
+PARTITIONS = 50_000  # of the text shuffle at most; a partition then holds several shards, taken one after the other
 
 
 class Segments:
@@ -132,7 +133,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     bytes_ = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(12, math.ceil(bytes_ / shard_bytes))
     edges = _edges(shards)
-    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.col(text).alias("text")).repartition(shards, "shard")
+    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.col(text).alias("text")).repartition(min(shards, PARTITIONS), "shard")
 
     def parse(table: pa.Table) -> tuple[Words, Segments]:
         words = split_words(table.combine_chunks()["text"].chunk(0))

@@ -108,4 +108,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of `docs`, all columns as they are, that `apply_rules` keeps."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("_row"), F.col(text).alias("_text"))
-    return apply_rules(packed, "_text", ("_row",), rules).where("kept").select("_row.*")
+    judged = apply_rules(packed, "_text", ("_row",), rules)
+    # A filter would be pushed below the projections and repeat the measures in each of its terms; an exploded
+    # array of one element or none is not.
+    return judged.select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_one")).select("_row.*")

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mediaframe.llm import near_copies
 from mediaframe.llm.sqltext import ascii_lower, let, space_words, with_key
 from mediaframe.plans.graph import connected_components
 from mediaframe.plans.lineage import cut_lineage
@@ -158,14 +159,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return marked.join(final, "fingerprint").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of `docs`, all columns as they are, of each near-duplicate group: that of its smallest key.
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """One row of `docs`, all columns as they are, of each group of near copies: that of its smallest key.
 
-    Rows without a key come last; of rows with one and the same key the text with the smallest
-    hash stays; of wholly repeated rows any one does.
+    Near copies are chains of texts whose sets of `size`-word shingles have a Jaccard similarity of
+    `similarity` or more; at that similarity fingerprints of 64 bits differ in about ten, too many
+    to look up. Rows without a key come last; of rows with one and the same key the text with the
+    smallest hash stays; of wholly repeated rows any one does.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
     packed = docs.select(own.alias("_key"), F.col(text).alias("_text"), row.alias("_row"))
-    stay = near_duplicates(packed, "_text", "_key").where("_key = component_id").select("_key").distinct()
+    stay = near_copies.near_copies(packed, "_text", "_key", size, similarity).where("_key = component_id").select("_key").distinct()
     return packed.join(stay, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")

@@ -1,6 +1,8 @@
 """Vector search: exact and approximate top-k, parity and pooling."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -16,64 +18,93 @@ def load_vectors(df: DataFrame, dim: int, column: str = "embedding") -> tuple[Da
     return df.where(good), df.where(~good)
 
 
-def search_exact(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_QUERIES) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors of highest cosine for each query, ties by id.
+def _unit(rows) -> np.ndarray:
+    v = np.stack([np.asarray(x, float) for x in rows])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    The queries, whose number is checked, go to every task; each Arrow batch keeps its own top k,
-    so what is shuffled is k rows a query and batch. Scores are rounded to six places before ranks.
-    """
-    q = queries.select("query_id", "embedding").limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in blocks")
+
+def _best(vectors: DataFrame, q: pd.DataFrame, k: int, met=None) -> DataFrame:
+    """The k best rows for each query of `q` among all vectors, or those that `met(queries, vectors)` marks; each Arrow batch keeps its own."""
     if q.empty:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    matrix = np.stack(q["embedding"].map(lambda v: np.asarray(v, float)))
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    ids = q["query_id"].to_numpy()
+    matrix, ids = _unit(q["embedding"]), q["query_id"].to_numpy()
 
     def local(batches):
         for b in batches:
             if b.empty:
                 continue
-            v = np.stack(b["embedding"].map(lambda x: np.asarray(x, float)))
-            length = np.linalg.norm(v, axis=1)
-            keep = np.isfinite(length) & (length > 0)
-            v, vec = v[keep] / length[keep, None], b["vec_id"].to_numpy()[keep]
-            score = np.round(matrix @ v.T, 6)
-            for i, row in enumerate(score):
-                top = np.lexsort((vec, -row))[:k]
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": vec[top], "score": row[top]})
+            v, vec = _unit(b["embedding"]), b["vec_id"].to_numpy()
+            keep = np.isfinite(v).all(axis=1)
+            by = np.argsort(vec[keep], kind="stable")
+            v, vec = v[keep][by], vec[keep][by]
+            step = max(1, (1 << 21) // max(len(vec), 1))  # so many queries that a block of scores is 16 MB
+            for lo in range(0, len(ids), step):
+                some = matrix[lo : lo + step]
+                score = np.round(some @ v.T, 6)
+                if met is not None:
+                    score = np.where(met(some, v), score, -np.inf)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(score, top, axis=1)
+                yield (out := pd.DataFrame({"query_id": np.repeat(ids[lo : lo + step], top.shape[1]), "vec_id": vec[top].reshape(-1), "score": score.reshape(-1)}))[np.isfinite(out["score"])]
 
     best = vectors.select("vec_id", "embedding").mapInPandas(local, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidate_budget(k: int, n: int) -> int:
-    return min(n, min(512, max(64, 8 * k)))
+def _blocks(queries: DataFrame, most: int):
+    """The queries in pandas frames of about `most` rows at the most."""
+    q = queries.select("query_id", "embedding")
+    n = max(1, -(-q.count() // most))
+    for i in range(n):
+        yield (q if n == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toPandas()
+
+
+def search_exact(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors of highest cosine for each query, ties by id.
+
+    The queries go to every task in blocks of about `max_queries`; each Arrow batch keeps its own
+    top k, so what is shuffled is k rows a query and batch. Scores are rounded to six places before ranks.
+    """
+    return reduce(DataFrame.union, [_best(vectors, q, k) for q in _blocks(queries, max_queries)])
 
 
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
-def search_ann(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 64, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
+def _codes(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """(tables, rows): the cell of each row in each table, first plane in the highest bit."""
+    bits = np.einsum("tbd,nd->tbn", planes, v, optimize=True) >= 0
+    return (bits * (1 << np.arange(planes.shape[1])[::-1])[None, :, None]).sum(axis=1, dtype=np.int64)
+
+
+def search_ann(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 64, tables: int = 24, bits: int = 6, seed: int = 7, recall: float = 0.95, max_queries: int = MAX_QUERIES) -> DataFrame:
     """(query_id, vec_id, score, rank) among candidates that share a random-hyperplane cell, reranked exactly.
 
-    Every vector is put into one cell of each table; cells meet in an equi-join, so candidates are
-    found by shuffles alone. Of a query's candidates the ones met in most tables, up to the
-    candidate budget, are scored by cosine.
+    All vectors that share a cell with a query in any table are scored; there is no cap. Cells have
+    at most `bits` planes: exact search of up to 64 queries tells how many can be kept so that
+    `recall` of their true neighbours share a cell (none in the end: exact search). Vectors without
+    clusters need wide cells, so most of the table is met. Queries go to every task in blocks.
     """
-    planes = F.array(*[F.array(*[F.array(*map(F.lit, map(float, p))) for p in t]) for t in _planes(dim, tables, bits, seed)])
-    code = lambda v: F.transform(planes, lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, p: s * 2 + (dot(v, p) >= 0).cast("long")))
-    cells = lambda df, key: df.select(key, F.posexplode(code(F.col("embedding"))).alias("table", "cell"))
-    met = cells(queries, "query_id").join(cells(vectors, "vec_id"), ["table", "cell"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("hits"))
-    budget = min(512, max(64, 8 * k))
-    w = Window.partitionBy("query_id").orderBy(F.col("hits").desc(), "vec_id")
-    few = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= budget)
-    scored = few.join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 6))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    planes = _planes(dim, tables, bits, seed)
+    few = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(64).select("query_id", "embedding").toPandas()
+    near = _best(vectors, few, k).join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding").toPandas()
+    shared = bits
+    if len(near):
+        at = few.drop_duplicates("query_id").set_index("query_id")["embedding"]
+        a, b = _codes(_unit(at.loc[near["query_id"]]), planes), _codes(_unit(near["embedding"]), planes)
+        while shared and ((a ^ b) >> (bits - shared) == 0).any(axis=0).mean() < recall:
+            shared -= 1
+
+    def met(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        some = np.zeros((len(q), len(v)), bool)
+        for a, b in zip(_codes(q, planes) >> (bits - shared), _codes(v, planes) >> (bits - shared)):
+            some |= a[:, None] == b[None, :]
+        return some
+
+    return reduce(DataFrame.union, [_best(vectors, q, k, met if shared else None) for q in _blocks(queries, max_queries)])
 
 
 def parity(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:

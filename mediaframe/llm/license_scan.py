@@ -46,17 +46,17 @@ def _starts(padded: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, rare_words: int = 8, min_share: float = 0.6) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row.
 
-    Base places are exact. Beyond them a document is looked up by its `rare_words` licence words
-    of highest IDF (document frequencies are counted over all of `docs`): each is met with the
-    postings (word -> template, place), the pairs vote for the relative position they agree on,
-    and a template is labelled when its key phrase stands in the text and at least `min_share`
-    of the template's words that were looked up agree. `score` is that share at best, 1 for a base place, else 0.
+    Base places are exact. Beyond them each template whose key phrase stands in a document is
+    looked up by the `rare_words` of its words there of highest IDF (document frequencies are
+    counted over all of `docs`): each is met with the postings (word -> template, place), the
+    pairs vote for the relative position they agree on, and the template is labelled when at
+    least `min_share` of its words that were looked up agree. `score` is that share at best, 1 for a base place, else 0.
     Null and empty texts have no words, no labels ('') and null first and last words.
     """
     spark = docs.sparkSession
     templates = [(f"{label}#{i}", passage, phrase) for i, (label, passage, phrase) in enumerate(templates)]
     vocabulary = sorted({w for _, passage, _ in templates for w in passage.split()})
-    posts = spark.createDataFrame([(w, label, passage.split(), i) for label, passage, _ in templates for i, w in enumerate(passage.split())], "word string, template string, template_words array<string>, at int")
+    posts = spark.createDataFrame([(w, label, i) for label, passage, _ in templates for i, w in enumerate(passage.split())], "word string, template string, at int")
     licence = F.array(*map(F.lit, vocabulary))
     row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("key"), alnum_words(F.col(text)).alias("_words"))
 
@@ -75,15 +75,18 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
     base = row.withColumn("_j", let(F.col("_words"), judged)).select(
         "_row", "key", "_words", F.col("_j.n_words").alias("n_words"), F.col("_j.verified").alias("_verified"),
         F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base_labels.alias("_base"))
-    # Without any template's key phrase no label can come out, so such texts skip the look-up.
-    chosen = F.when(F.size("_verified") > 0, F.slice(F.array_intersect(F.array(*map(F.lit, rarest)), F.col("_words")), 1, rare_words))
-    base = base.withColumn("_chosen", chosen)
-    positions = F.when(F.size("_verified") > 0, F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("_chosen", x["word"])))
-    group = ["_row", "key", "n_words", "n_base", "first_word", "last_word", "_base", "_verified", "_chosen"]
-    votes = base.select(*group, F.explode_outer(positions).alias("_p")).select(*group, F.col("_p.word").alias("word"), F.col("_p.pos").alias("pos"))
-    agreed = votes.join(F.broadcast(posts), "word", "left").withColumn("_shift", F.col("pos") - F.col("at")).groupBy(*group, "template", "_shift").agg(
-        F.count_distinct("word").alias("_agree"), F.max(F.size(F.array_intersect("_chosen", "template_words"))).alias("_of"))
-    share = F.when(F.array_contains("_verified", F.col("template")) & (F.col("_agree") >= 3), F.col("_agree") / F.col("_of"))
+    # Without any template's key phrase no label can come out, so such texts skip the look-up. Each
+    # template in question has its own rarest words, so that none crowds out another's.
+    rare = F.create_map(*[x for label, passage, _ in templates for x in (F.lit(label), F.array(*[F.lit(w) for w in rarest if w in passage.split()]))])
+    places_of = lambda chosen: F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(chosen, x["word"]))
+    looked_up = F.transform("_verified", lambda t: let(F.slice(F.array_intersect(rare[t], F.col("_words")), 1, rare_words), lambda c: F.struct(
+        t.alias("template"), F.size(c).alias("of"), places_of(c).alias("places"))))
+    group = ["_row", "key", "n_words", "n_base", "first_word", "last_word", "_base"]
+    votes = base.select(*group, F.explode_outer(looked_up).alias("_t")).select(*group, F.col("_t.template").alias("template"), F.col("_t.of").alias("_of"), F.explode_outer("_t.places").alias("_p"))
+    votes = votes.select(*group, "template", "_of", F.col("_p.word").alias("word"), F.col("_p.pos").alias("pos"))
+    agreed = votes.join(F.broadcast(posts), ["word", "template"], "left").withColumn("_shift", F.col("pos") - F.col("at")).groupBy(*group, "template", "_shift").agg(
+        F.count_distinct("word").alias("_agree"), F.max("_of").alias("_of"))
+    share = F.when(F.col("_agree") >= 3, F.col("_agree") / F.col("_of"))
     found = agreed.withColumn("_share", F.when(share >= min_share, share)).groupBy(*group).agg(
         F.collect_set(F.when(F.col("_share").isNotNull(), F.substring_index("template", "#", 1))).alias("_more"), F.max("_share").alias("_best"))
     return found.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),

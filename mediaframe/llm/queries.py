@@ -39,7 +39,7 @@ def op5_simhash_near_dedup(spark, sf_dir):
 
 
 def op6_best_fit_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
 def op7_license_scans(spark, sf_dir):

@@ -1,6 +1,11 @@
+import html
 import math
+import random
+import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -17,13 +22,17 @@ PAGES = [
     ("<pre>\n a\n   b</pre>c  \n d", " a\n   b\n\nc d".strip("\n")),
     ("a<details><summary>s</summary>hidden</details><details open><summary>t</summary>u</details>", "a\ns\nt\nu"),
     ("x < y & z <b", "x < y & z"), ("", ""), (None, ""), ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n    d\nu\n    e"), ("<div>" * 5000 + "deep", "deep"),
+    ('<p>a</p><p class="x"">HELLO</p><p>tail</p>', "a\n\nHELLO\n\ntail"), ("<p title=it's>HELLO</p><p>tail</p>", "HELLO\n\ntail"), ("<p>a<!-->b<!-- c --!>d", "abd"),
+    ("<style>.h{display:none} @media print{.k{display:none}} p.z, #q{visibility:hidden}</style><p class='a h'>no</p><p class=k>yes</p><p class=z>no<b style='visibility:visible'>see</b></p><i id=q>no</i>t", "yes\n\nsee\n\nt"),
+    ("<style>.h{display:none}.h.o{display:block}</style><div class='h o'>yes</div><div hidden style='display:block'>yes</div><dialog>no</dialog><dialog open>yes</dialog>", "yes\nyes\nyes"),
+    ("<table><tr><td>" + "w" * 90 + "<td>b<tr><td>c<td>d</table>", "w" * 90 + "  b\nc" + " " * 91 + "d"),
     ("<p>a</p> <p>b</p>\n<h1>c</h1><div>d</div><div>e</div>", "a\n\nb\n\nc\n\nd\ne"), ("<li>loose<td>cell", "- loosecell"),
 ]
 
 
 def test_pages(spark):
-    for html, want in PAGES:
-        assert html_text.visible_text(html) == want, html
+    for page, want in PAGES:
+        assert html_text.visible_text(page) == want, page
     pages = spark.createDataFrame([(i, h, "k") for i, (h, _) in enumerate(PAGES)] + [(None, "<p>q", "k"), (0, "<p>r", "k")], "page_id long, html string, key string")
     got = html_text.extract_text(pages)
     assert got.columns == ["page_id", "text"]
@@ -31,6 +40,184 @@ def test_pages(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+BLANK = " \t\n\r\f"
+
+
+def slow_tokens(html):
+    """Start tags, end tags and texts, character by character."""
+    i, n = 0, len(html)
+    while i < n:
+        if html[i] != "<" or not (html[i + 1 : i + 2].isascii() and html[i + 1 : i + 2].isalpha() or html[i + 1 : i + 2] in ("!", "?") or html[i + 1 : i + 2] == "/" and i + 2 < n):
+            if html[i + 1 : i + 2] == "" and html[i] == "<":
+                yield "text", html[i]
+                return
+            yield "text", html[i]
+            i += 1
+            continue
+        if html.startswith("<!--", i):
+            i += 4
+            body = ""
+            while i < n and not (body in ("", "-") and html[i] == ">") and not body.endswith(("-->", "--!>")):
+                body += html[i]
+                i += 1
+            i += i < n and body in ("", "-") and html[i] == ">"
+            continue
+        end = html[i + 1] == "/"
+        j = i + 1 + end
+        if not (html[j].isascii() and html[j].isalpha()):
+            while j < n and html[j] != ">":
+                j += 1
+            i = j + 1
+            continue
+        name, attrs = "", {}
+        while j < n and html[j] not in BLANK + "/>":
+            name += html[j].lower()
+            j += 1
+        while j < n and html[j] != ">":
+            if html[j] in BLANK + "/":
+                j += 1
+                continue
+            key, value = html[j], ""
+            j += 1
+            while j < n and html[j] not in BLANK + "/>=":
+                key += html[j]
+                j += 1
+            k = j
+            while k < n and html[k] in BLANK:
+                k += 1
+            if k < n and html[k] == "=":
+                j = k + 1
+                while j < n and html[j] in BLANK:
+                    j += 1
+                if j < n and html[j] in "\"'":
+                    quote = html[j]
+                    j += 1
+                    while j < n and html[j] != quote:
+                        value += html[j]
+                        j += 1
+                    if j == n:
+                        return
+                    j += 1
+                else:
+                    while j < n and html[j] not in BLANK + ">":
+                        value += html[j]
+                        j += 1
+            attrs.setdefault(key.lower(), value)
+        if j >= n:
+            return
+        i = j + 1
+        yield ("end", name) if end else ("start", name, attrs)
+        if not end and name in html_text.RAW:
+            j = i
+            while j < n and not (html[j : j + 2 + len(name)].lower() == f"</{name}" and html[j + 2 + len(name) : j + 3 + len(name)] in tuple(BLANK + "/>")):
+                j += 1
+            yield "raw", html[i:j]
+            while j < n and html[j] != ">":
+                j += 1
+            i = j + 1
+
+
+def slow_tree(html):
+    """(tag, attributes, children) by looking through the whole stack at every step."""
+    root = ("html", {}, [])
+    stack = [root]
+    add = lambda name, attrs: (stack[-1][2].append(x := (name, attrs, [])), stack.append(x))
+
+    def nearest(names, until):
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in until:
+                return None
+            if stack[k][0] in names:
+                return k
+
+    for kind, *t in slow_tokens(html):
+        if kind == "text":
+            stack[-1][2].append(t[0])
+        elif kind == "raw":
+            stack[-1][2].append(t[0])
+            stack.pop()
+        elif kind == "end":
+            scope = html_text.SCOPES - {t[0]} if t[0] not in html_text.ACROSS else set()
+            if t[0] == "p" and nearest({"p"}, html_text.SCOPES) is None:
+                stack[-1][2].append(("p", {}, []))
+            k = nearest({t[0]}, scope)
+            del stack[k if k else len(stack) :]
+        elif t[0] != "html":
+            name, attrs = t
+            if name in html_text.BLOCKS and name not in ("option", "optgroup"):
+                k = nearest({"p"}, html_text.SCOPES)
+                del stack[k if k else len(stack) :]
+            if name in html_text.ENDS:
+                names, until = html_text.ENDS[name]
+                k = nearest(names, until)
+                while k and k > 1 and stack[k - 1][0] in names:
+                    k -= 1
+                del stack[k if k else len(stack) :]
+            if name == "tr" and stack[-1][0] == "table":
+                add("tbody", {})
+            if name in ("td", "th") and stack[-1][0] in ("table", "tbody", "thead", "tfoot"):
+                if stack[-1][0] == "table":
+                    add("tbody", {})
+                add("tr", {})
+            add(name, attrs)
+            if name in html_text.VOID:
+                stack.pop()
+    return root
+
+
+def plain(tag, attrs, children):
+    """A tree as nested tuples with neighbouring strings joined."""
+    out = []
+    for c in children:
+        c = c if isinstance(c, (str, tuple)) else (c.tag, c.attrs, c.children)
+        if isinstance(c, tuple):
+            out.append(plain(*c))
+        elif out and isinstance(out[-1], str):
+            out[-1] += html.unescape(c) if tag in html_text.RAW else c
+        else:
+            out.append(html.unescape(c) if tag in html_text.RAW else c)
+    return tag, attrs, out
+
+
+def slow_words(tag, attrs, children):
+    """Visible text of a plain tree, hidden only by tag, attribute or its own style."""
+    if tag in html_text.HIDDEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs or "display:none" in attrs.get("style", ""):
+        return ""
+    if tag == "details" and "open" not in attrs:
+        children = [c for c in children if isinstance(c, tuple) and c[0] == "summary"]
+    return " ".join(html.unescape(c) if isinstance(c, str) else slow_words(*c) for c in children)
+
+
+SOUP = ["<p>", "</p>", "<div class=\"x\"\">", "</div>", "<b title=it's>", "</b>", "word ", "x<y ", "a&amp;b ", "<br>", "<br/>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "<td colspan='2'>", "</table>", "</td>", "<!-- c -->", "<!-->", "<!--x--!>",
+        "<!doctype html>", "</>", "</ p>", "<?pi >", "<script>if(a<b){'</p>'}</script>", "<style>p{}</style >", "<textarea><p>t</textarea>", "<select><option>o", "</select>", "<dl><dt>", "<dd>", "</dl>", "<button>", "</button>", "<span hidden>", "</span>",
+        "<i style='display:none'>", "</i>", "<details>", "<summary>", "</details>", "<a href=/x/y>", "<a b='>'c=\"<\" d>", "</a>", "<img =x>", "<p / q = 'r' s=>", "<thead>", "<caption>", "</tr>", "\n ", "<<", "é", "<1", "</html>", "<dialog open>", "</dialog>", "<title>t</title>"]
+
+
+def test_parser_equals_slow_one(sf_pages=("/root/testdata/sf0.001/pages.parquet",)):
+    r = random.Random(4)
+    soup = ["".join(r.choice(SOUP) for _ in range(r.randint(1, 40))) + r.choice(["", "<", "<b", "</", "<b x='", "<!-- ", "<b x"]) for _ in range(4000)]
+    pages = [h for path in sf_pages for (h,) in duckdb.sql(f"SELECT html FROM '{path}'").fetchall() if h]
+    for page in soup + pages:
+        root, _ = html_text.parse(page)
+        want = plain(*slow_tree(page))
+        assert plain(root.tag, root.attrs, root.children) == want, page
+        cells = re.sub(r"(?m)^ *(?:- |\d+\. )", " ", html_text.visible_text(page)) if page in pages else html_text.visible_text(page)
+        letters = lambda x: sorted("".join(c for c in x if c.isalpha()))
+        assert letters(cells) == letters(slow_words(*want)), page
+
+
+def test_hostile_pages_are_linear_and_whole():
+    many = 100_000
+    for page in ("<div>" * many + "x", "<ul><li>x" * (many // 4), "<b></p>" * many, "<a b='c' \"d" * many, "</script <" * many, "<script>" + "</script <" * many, "<table><tr><td>x" * (many // 20), "<div>" * many + "<option>x" * many, "<b>" * many + "</i>" * many):
+        began = time.time()
+        html_text.visible_text(page)
+        assert time.time() - began < 8, page[:20]
+    long = "<table>" + "<tr><td>a<td>" + "y" * 10_000_000 + "<tr><td>b" * 50_000
+    assert html_text.visible_text("<p>" + "word " * 4_000_000) == ("word " * 4_000_000).strip()
+    got = html_text.visible_text(long)
+    assert got.count("y") == 10_000_000 and got.count("b") == 50_000 and len(got) < 2 * len(long)
+
+
 def brute(words, order):
     """Interpolated modified Kneser-Ney over characters inside words."""
     raw = Counter()

@@ -1,53 +1,69 @@
 """Quality rules as a short-circuit cascade of column expressions."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from mediaframe.llm.sqltext import let, space_words
 
 
+Measures = dict[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is a boolean expression over the columns of `measures()`; null means no rejection.
-    `touches` names what it reads, for the cost estimate: 'chars' or 'words'."""
+    """`rejects` gives a boolean column from `measures()`; null means no rejection. `cost` is the work of
+    deciding it for one text, in characters looked at, as SQL over `chars` and `n_words`."""
     name: str
-    rejects: str
-    touches: str = "words"
+    rejects: Callable[[Measures], Column]
+    cost: str
 
 
+#: The rules of the base verdict.
+BASE = (
+    Rule("few_words", lambda m: m["n_words"] < 50, "1"),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], "12 * n_words * log2(n_words + 2)"),
+)
 #: Beside the two base rules. A text must be far off what prose looks like in any of the four languages.
 RULES = (
-    Rule("symbols", "n_symbols > 0.1 * n_words", "chars"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words", "words"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines and n_lines > 3", "chars"),
-    Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > length(text)", "chars"),
-    Rule("shouting", "4 * (length(text) - length(replace(text, '!!', '!'))) > n_words", "chars"),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], "3 * chars"),
+    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]), "chars + n_words"),
+    Rule("repeated_lines", lambda m: (m["n_lines"] > 3) & (2 * m["n_dup_lines"] > m["n_lines"]), "2 * chars"),
+    Rule("capitals", lambda m: 2 * F.length(F.regexp_replace(m["text"], "[^A-Z]+", "")) > F.length(m["text"]), "4 * chars"),
+    Rule("shouting", lambda m: 4 * (F.length(m["text"]) - F.length(F.replace(m["text"], F.lit("!!"), F.lit("!")))) > m["n_words"], "chars"),
 )
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window whose words stand at two or more places of the text.
 
-    Windows are sorted together with their places, so that equal ones are neighbours; the
-    places of the repeated ones, in order, then cover min(3, distance to the next) words each.
+    Windows are told apart by 64-bit hashes first: where all differ, none repeats. Otherwise they
+    are sorted by hash, and equal neighbours are compared word by word; the places of the repeated
+    ones, in order, then cover min(3, distance to the next) words each.
     """
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
-            F.array_join(F.slice(w, i + 1, 3), " ").alias("s"), i.alias("i")))
+    at = lambda w, i: F.get(w, i)
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(at(w, i), at(w, i + 1), at(w, i + 2)))
+
+    def repeated(w: Column, s: Column) -> Column:
+        def same(x: Column, k: Column) -> Column:
+            y = F.get(s, k)
+            i, j = x["i"], y["i"]
+            return F.coalesce((x["h"] == y["h"]) & (at(w, i) == at(w, j)) & (at(w, i + 1) == at(w, j + 1)) & (at(w, i + 2) == at(w, j + 2)), F.lit(False))
 
-    def repeated(s: Column) -> Column:
-        same = lambda x, k: F.get(s, k)["s"] == x["s"]
-        return F.array_sort(F.transform(F.filter(s, lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False))), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")), lambda acc, i: F.struct(
             (acc["n"] + i + 3 - F.greatest(acc["end"], i)).alias("n"), (i + 3).alias("end")), lambda acc: acc["n"])
 
-    distinct = lambda w: F.size(F.array_distinct(w)) < F.size(w) - 2  # noqa: E731  a repeated window repeats 3 words
-    return let(words, lambda w: F.when((F.size(w) < 4) | ~distinct(w), F.lit(0).cast("long")).otherwise(
-        let(F.sort_array(windows(w)), lambda s: let(repeated(s), covered))))
+    def counted(w: Column, h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(placed, lambda s: let(repeated(w, s), covered)))
+
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(hashes(w), lambda h: counted(w, h))))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -56,59 +72,96 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
 
 
-def measures(text: Column, words: Column) -> dict[str, Column]:
+def measures(text: Column, words: Column) -> Measures:
+    """What rules look at; each is computed only where it is asked for."""
     joined = F.array_join(words, "")
     return {
+        "text": text,
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(joined).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(joined, r"[^#*$%&|<>]", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": _dup_lines(text),
         "n_repeat_words": _repeat_words(words),
         "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
     }
 
 
-BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def order_rules(measured: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejection per cost, best first.
+def order_rules(worded: DataFrame, rules, sample_rows: int = 2000) -> list[Rule]:
+    """Rules by rejection per cost, best first; `worded` has `text`, `_words` and keys.
 
-    Both are estimated on at most `sample_rows` rows, the plan's only use of a sample: cost is
-    the mean size of what a rule reads, selectivity the share it rejects. The verdict is the
-    same in any order; only the work before the first rejection changes.
+    Each rule's cost and what it rejects are estimated on the `sample_rows` rows of the smallest
+    hashes in the whole table, so the order does not depend on how the rows lie. After each choice
+    the rest is judged by the rows that are still left. The verdict is the same in any order; only
+    the work before the first rejection changes.
     """
-    flags = [F.coalesce(F.expr(r.rejects), F.lit(False)) for r in rules]
-    rows = measured.select(F.length("text"), F.col("n_words"), *flags).limit(sample_rows).collect()  # a row of numbers each, from the first partitions
-    cost = {k: 1.0 + sum(r[i] for r in rows) / max(1, len(rows)) for i, k in enumerate(("chars", "words"))}
-    gain = {r.name: sum(row[i + 2] for row in rows) / max(1, len(rows)) / cost[r.touches] for i, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-gain[r.name], cost[r.touches], r.name))
+    n = worded.count()
+    h = F.pmod(F.xxhash64(*_hashable(worded.drop("_words"))), F.lit(1 << 30))
+    m = measures(F.col("text"), F.col("_words"))
+    near = worded.where(h < int(min(1.0, 2 * (sample_rows + 50) / max(n, 1)) * (1 << 30)))  # about twice the rows wanted
+    sized = near.select("text", "_words", h.alias("h"), F.length("text").alias("chars"), m["n_words"].alias("n_words"))
+    rows = sized.select("h", *[F.coalesce(r.rejects(m), F.lit(False)) for r in rules], *[F.expr(r.cost).cast("double") for r in rules]).orderBy("h").limit(sample_rows).collect()  # numbers only
+    left, out, rest = [r[1:] for r in rows], [], list(range(len(rules)))
+    while rest:
+        cost = {i: 1 + sum(r[len(rules) + i] for r in left) / max(1, len(left)) for i in rest}
+        best = min(rest, key=lambda i: (-sum(r[i] for r in left) / max(1, len(left)) / cost[i], cost[i], rules[i].name))
+        out.append(rules[best])
+        rest.remove(best)
+        left = [r for r in left if not r[best]]
+    return out
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """Columns, and fields of structs, that Spark can hash."""
+    fields = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    fields = [(c[g.name], g.dataType) for c, t in fields if isinstance(t, StructType) for g in t] + [(c, t) for c, t in fields if not isinstance(t, StructType)]
+    return [c for c, t in fields if not any(x in t.simpleString() for x in ("map<", "variant"))]
+
+
+def _worded(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
+    plain = docs.select(*[F.col(k) for k in keys], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return plain.withColumn("_words", space_words(F.col("text")))
+
+
+def _first_failed(rules: list[Rule], m: Measures, given: Column | None = None) -> Column:
+    """Name of the first rule that rejects (null: none does). A branch is only looked at if all before it failed."""
+    verdict = given
+    for r in rules:
+        verdict = (F if verdict is None else verdict).when(r.rejects(m), F.lit(r.name))
+    return F.lit(None).cast("string") if verdict is None else verdict
 
 
 def apply_rules(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules=RULES,
                 sample_rows: int = 2000) -> DataFrame:
-    """`keys`, the measures, base_failed, kept, failed_rule (the first of the ordered cascade; null if kept).
+    """`keys`, the measures, base_failed, kept, failed_rule ('base' or the first of the ordered cascade; null if kept).
 
     One row per input row, repeated rows included; other columns are not read. A null text has
-    no words, and so fails the base rule; an empty table gives an empty result.
+    no words, and so fails the base rule; an empty table gives an empty result; texts of any length
+    are measured whole. Rules that tie are taken by lower cost, then by name. The base measures are
+    returned, so all of them are taken; the further rules run only for rows that pass the base.
+    """
+    worded = _worded(docs, text, keys)
+    ordered = order_rules(worded, rules, sample_rows)
+    m = measures(F.col("text"), F.col("_words"))
+    measured = worded.select(*keys, "text", *[m[n].alias(n) for n in (*REPORTED, "n_lines")])
+    taken = {n: F.col(n) for n in m}
+    failed = BASE[0].rejects(taken) | BASE[1].rejects(taken)
+    judged = measured.withColumn("failed_rule", _first_failed(ordered, taken, F.when(failed, F.lit("base"))))
+    return judged.select(*keys, *REPORTED, failed.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule")
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that `apply_rules` keeps.
+
+    Base rules take part in the cascade, and a row's measures are computed only up to the first
+    rule that rejects it. Nulls, empty tables and repeated rows are treated as by `apply_rules`.
     """
-    plain = docs.select(*[F.col(k) for k in keys], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    worded = plain.withColumn("_words", space_words(F.col("text")))
-    measured = worded.select(*keys, "text", *[c.alias(n) for n, c in measures(F.col("text"), F.col("_words")).items()])
-    ordered = order_rules(measured, rules, sample_rows)
-    verdict = F.when(F.expr(BASE_FAILED), F.lit("base"))
-    for r in ordered:
-        verdict = verdict.when(F.expr(r.rejects), F.lit(r.name))
-    judged = measured.withColumn("failed_rule", verdict)
-    return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         F.expr(BASE_FAILED).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule")
-
-
-def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of `docs`, all columns as they are, that `apply_rules` keeps."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("_row"), F.col(text).alias("_text"))
-    judged = apply_rules(packed, "_text", ("_row",), rules)
-    # A filter would be pushed below the projections and repeat the measures in each of its terms; an exploded
+    worded = _worded(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_text", ("_row",))
+    ordered = order_rules(worded.select("_row", "text", "_words"), (*BASE, *rules), sample_rows)
+    failed = _first_failed(ordered, measures(F.col("text"), F.col("_words")))
+    # A filter would be pushed below the projection and repeat the split in each of its terms; an exploded
     # array of one element or none is not.
-    return judged.select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_one")).select("_row.*")
+    return worded.select("_row", F.explode(F.when(failed.isNull(), F.array(F.lit(1)))).alias("_one")).select("_row.*")

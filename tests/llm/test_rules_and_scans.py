@@ -3,6 +3,8 @@ import hashlib
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from mediaframe.llm import decontamination, license_scan, quality_rules, url_filter
 from tests.llm.fixtures import documents, texts
 
@@ -47,6 +49,24 @@ def test_quality_order_leaves_the_verdict(spark):
     assert quality_rules.keep_good(documents(spark, [])).count() == 0
 
 
+def test_quality_order_follows_rows_not_their_layout(spark):
+    rows = [(i, f"line {i} of plain words\n" * 30) for i in range(300)] + [(1000 + i, "### $$$ %%% " * (30 + i)) for i in range(300)] + [(2000 + i, "SHOUT LOUD " * 40 + str(i)) for i in range(100)]
+    orders = set()
+    for part in (1, 7):
+        for listed in (rows, rows[::-1]):
+            worded = quality_rules._worded(documents(spark, listed).repartition(part), "text", ("doc_id",))
+            orders.add(tuple(r.name for r in quality_rules.order_rules(worded, (*quality_rules.BASE, *quality_rules.RULES), 150)))
+    assert len(orders) == 1 and len(orders.pop()) == 7
+    held = documents(spark, rows[:20]).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    assert quality_rules.keep_good(held).columns == held.columns
+
+
+def test_quality_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(3_000_000))  # about 20 MB, all its words repeat in windows
+    r = quality_rules.apply_rules(documents(spark, [(1, long), (2, "short")])).where("doc_id = 1").first()
+    assert r.n_words == 3_000_000 and r.n_repeat_words == 3_000_000 and r.base_failed and not r.kept
+
+
 def test_licences(spark):
     rows = list(enumerate(LICENCES + texts())) + [(None, "cc by"), (1, "cc by")]
     got = license_scan.scan_licenses(documents(spark, rows))

@@ -1,6 +1,7 @@
 """Cutting lineage in the folder that all executors share."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` reliably.
 
-    The folder is the cluster's own `spark.checkpoint.dir`; only where a session names none
-    (local tests) is a temporary folder set.
+    The folder is the cluster's own `spark.checkpoint.dir`. Where a session names none, a temporary
+    folder is set if all runs on this machine; elsewhere executors would not share it, so that is
+    an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mediaframe-checkpoint-"))
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

@@ -260,7 +260,8 @@ def test_perplexity_equals_brute_force(spark, order):
     models = qc.collect_models(*qc.kneser_ney(df, order), order)
     p = brute(words, order)
     texts = ["the cat", "zzz hat éa", "", None, "t\u0002h the", "unseen\u6f22 flat the the"]
-    size, got = qc.perplexity_of(pa.array(texts), __import__("numpy").array(["en"] * len(texts), object), models)
+    size, got, worst = qc.perplexity_of(pa.array(texts), __import__("numpy").array(["en"] * len(texts), object), models)
+    assert all(map(math.isnan, worst))
     for t, n, x in zip(texts, size, got):
         logs = []
         for w in (t or "").split():
@@ -278,9 +279,33 @@ def test_judging_holds_out_and_keeps(spark):
     labels = docs.where("doc_id < 300").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     got = qc.judge_documents(docs, labels).collect()
     assert len(got) == 326
+    joined = qc.judge_documents(docs, labels, most_grams=0).collect()  # the same by joins
+    near = lambda rows: sorted((str(r.doc_id), r.lang, r.n_symbols, f"{r.perplexity or 0:.6g}", f"{r.threshold or 0:.6g}", r.kept) for r in rows)
+    assert near(joined) == near(got)
     kept = defaultdict(list)
     for r in got:
         kept["bad" if r.doc_id and 1000 <= r.doc_id < 2000 else "odd" if r.doc_id and r.doc_id >= 5000 else "good"].append(r.kept)
     assert not any(kept["bad"]) and all(kept["odd"]) and all(kept["good"])
     assert qc.judge_documents(docs.limit(0), labels).count() == 0
     assert all(r.kept for r in qc.judge_documents(docs, labels.limit(0)).collect())
+
+
+def test_toxic_words_are_caught(spark):
+    """Held-out rows: one word of abuse in ordinary text is enough, the ordinary text passes."""
+    r = random.Random(6)
+    syllables = ["an", "the", "er", "ing", "on", "ti", "ou", "re", "st", "ble"]
+    prose = lambda: [("".join(r.choice(syllables) for _ in range(r.randint(1, 4)))) for _ in range(r.randint(30, 300))]
+    rows = []
+    for i in range(1500):
+        words = prose()
+        toxic = i % 5 == 0
+        for _ in range(r.choice([1, 2, 5]) if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(["vulgrak", "dumpfek", "mukzip"]))
+        rows.append((i, " ".join(words), "en" if i % 3 else "de", int(toxic)))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], 1, x[3]) for x in rows if x[0] < 900] + [(5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for options in ({}, {"most_grams": 0}):
+        kept = {x.doc_id: x.kept for x in qc.judge_documents(docs, labels, **options).collect()}
+        late = [x for x in rows if x[0] >= 900]
+        assert len(kept) == len(rows) and not any(kept[x[0]] for x in late if x[3])
+        assert sum(kept[x[0]] for x in late if not x[3]) >= 0.97 * sum(not x[3] for x in late)

@@ -81,7 +81,8 @@ class FMIndex:
         symbols = int(text.max(initial=0)) + 1
         self.tree = WaveletTree(text[order - 1], symbols)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:symbols]
-        self.mass = np.concatenate([[0], np.cumsum(weight[order])])
+        mass = np.concatenate([[0], np.cumsum(weight[order])])
+        self.mass = mass.astype(np.uint32) if mass[-1] < 2**32 else mass
         self.size = len(text)
 
     def shortest_begin(self, text: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from mediaframe.llm.arrays import Words, join_hash, split_words
+from mediaframe.llm import exchange
+from mediaframe.llm.arrays import Words, join_hash, mix, split_words
 from mediaframe.llm.fm_index import FMIndex
 from mediaframe.llm.sqltext import with_key
 
@@ -35,7 +36,7 @@ class Segments:
         starts = np.flatnonzero(np.arange(n) + window <= ends)
         runs = run_hashes(h, run)
         least, place = _least_of(runs, window - run + 1)
-        at, name = place[starts], least[starts]
+        at, name = place[starts], mix(least[starts])  # least hashes are small; mixed ones spread over all ranges
         new = np.ones(len(starts), bool)
         new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
         cut = np.flatnonzero(new)
@@ -85,13 +86,12 @@ def _least_of(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return best, place
 
 
-def _edges(n: int) -> np.ndarray:
-    return np.linspace(0, 2.0**64, n + 1)[1:-1].astype(np.uint64)
-
-
-def _slices(keys: np.ndarray, edges: np.ndarray):
-    cut = [0, *np.searchsorted(keys, edges), len(keys)]
-    return ((b, lo, hi) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo)
+def _slices(keys: np.ndarray, n: int):
+    """(range, first, end) of the `n` equal ranges that hold any of the sorted keys."""
+    half = np.uint64(32)
+    part = ((keys >> half) * np.uint64(n)) >> half
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else [0]
+    return ((int(part[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:]))
 
 
 def repeated_windows(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, weight: np.ndarray, window: int) -> list[np.ndarray]:
@@ -119,11 +119,12 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, w
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), window: int = WINDOW, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, unchanged_as_is: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), window: int = WINDOW, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, fan: int = exchange.FAN, unchanged_as_is: bool = False) -> DataFrame:
     """`keys`, n_words, n_removed, kept (the words left, joined by one space); one row per input row.
 
     Every word inside a window of `window` words that also starts anywhere else, in any row or the
-    same one, goes. Null texts have no words. With `unchanged_as_is` a text that loses nothing is
+    same one, goes. Null texts have no words; an empty table gives an empty result; repeated rows
+    remove each other's windows; texts of any length are taken whole. With `unchanged_as_is` a text that loses nothing is
     returned as it was. A minimizer of more than `hot` segments would crowd
     one index: its windows are first counted one by one and only repeated ones are sent, each to
     the index of its own hash, equal ones once a shard. Words are told apart by 64-bit hashes.
@@ -132,43 +133,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
         raise ValueError("a segment's windows must fit 64 bits: take a longer run")
     bytes_ = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(12, math.ceil(bytes_ / shard_bytes))
-    edges = _edges(shards)
-    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("shard"), F.struct(*keys).alias("key"), F.col(text).alias("text")).repartition(min(shards, PARTITIONS), "shard")
+    own = docs.select(F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("long").alias("shard"), F.struct(*keys).alias("key"), F.col(text).alias("text")).repartition(min(shards, PARTITIONS), "shard")
 
     def parse(table: pa.Table) -> tuple[Words, Segments]:
         words = split_words(table.combine_chunks()["text"].chunk(0))
         return words, Segments(words, window, min(run, window))
 
-    def requests(table: pa.Table, names: np.ndarray, kind: int) -> list[tuple]:
+    def requests(table: pa.Table, names: np.ndarray, kind: int) -> pa.Table:
         unique, counts = np.unique(names, return_counts=True)
-        shard = table["shard"][0].as_py()
-        return [(b, shard, kind, unique[lo:hi].tobytes(), np.minimum(counts[lo:hi], 65535).astype("<u2").tobytes()) for b, lo, hi in _slices(unique, edges)]
-
-    asking = "bucket int, shard int, kind int, names binary, counts binary"
-
-    def asked(rows: list[tuple]) -> pa.Table:
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "shard", "kind", "names", "counts"])
+        return exchange.request_table(exchange.requests(table["shard"][0].as_py(), kind, unique, 2 * counts, shards, fan))
 
     def ask(table: pa.Table) -> pa.Table:
-        return asked(requests(table, parse(table)[1].name, 0))
+        return requests(table, parse(table)[1].name, 0)
 
-    def answer(table: pa.Table) -> pa.Table:
-        """Of each shard's names: those counted twice or more, and whether they are crowded."""
-        rows = table.to_pylist()
-        names = [np.frombuffer(r["names"], "<u8") for r in rows]
-        unique, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["counts"], "<u2") for r in rows]), minlength=len(unique))
-        out, at = [], 0
-        for r, n in zip(rows, names):
-            t = total[inverse[at : at + len(n)]]
-            at += len(n)
-            out.append((r["bucket"], r["shard"], r["kind"], n[(t >= 2) & (t <= hot)].tobytes(), n[t > hot].tobytes()))
-        return asked(out)
-
-    def names_of(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = [r for r in replies.select(["kind", "names", "counts"]).to_pylist() if r["kind"] == kind]
-        return tuple(np.sort(np.frombuffer(b"".join(r[c] for r in rows), "<u8")) for c in ("names", "counts"))
+    def names_of(s: Segments, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The shard's minimizers that stand twice or more: those of few segments, and the crowded ones."""
+        unique, (total, _) = np.unique(s.name), exchange.totals_of(replies, 0)
+        return unique[(total >= 2) & (total <= hot)], unique[total > hot]
 
     def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
         return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values if len(of) else np.zeros(len(values), bool)
@@ -179,28 +160,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
         return np.repeat(s.begin[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
     def ask_again(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows or not len(crowded := names_of(replies, 0)[1]):
-            return asked([])
+        if not table.num_rows:
+            return exchange.request_table([])
         _, s = parse(table)
-        at = singles(s, np.flatnonzero(member(s.name, crowded)))
-        return asked(requests(table, s.full[at], 1))
+        return requests(table, s.full[singles(s, np.flatnonzero(member(s.name, names_of(s, replies)[1])))], 1)
 
     def to_send(s: Segments, h: np.ndarray, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contents to send (first word, windows, routing hash, how many), and then, for each place, its first word and content's number."""
-        plain, crowded = names_of(replies, 0)
-        lead, same = s.contents(h, np.flatnonzero(member(s.name, plain)))
+        plain, crowded = names_of(s, replies)
         chosen = np.flatnonzero(member(s.name, plain))
+        lead, same = s.contents(h, chosen)
         begin, windows, route, place = s.begin[lead], s.windows[lead], s.name[lead], s.begin[chosen]
         if len(crowded):
-            twice = np.sort(np.concatenate(names_of(replies, 1)))
             at = singles(s, np.flatnonzero(member(s.name, crowded)))
+            twice = np.unique(s.full[at])[exchange.totals_of(replies, 1)[0] >= 2]
             at = at[member(s.full[at], twice)]
             hashes, first, number = np.unique(s.full[at], return_index=True, return_inverse=True)
             same, place = np.concatenate([same, len(lead) + number]), np.concatenate([place, at])
             begin, windows, route = np.concatenate([begin, at[first]]), np.concatenate([windows, np.ones(len(first), np.int64)]), np.concatenate([route, hashes])
         return begin, windows, route, place, same
 
-    sending = "bucket int, shard int, numbers binary, windows binary, weights binary, vocabulary binary, words binary"
+    sending = "bucket int, shard long, numbers binary, windows binary, weights binary, vocabulary binary, words binary"
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
@@ -209,13 +189,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
             begin, windows, route, _, same = to_send(s, words.hash, replies)
             weight = np.bincount(same, minlength=len(begin))
             order = np.argsort(route, kind="stable")
-            for b, lo, hi in _slices(route[order], edges):
+            for b, lo, hi in _slices(route[order], shards):
                 ids = order[lo:hi]
                 size = windows[ids] + window - 1
                 at = np.repeat(begin[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 vocabulary, number = np.unique(words.hash[at], return_inverse=True)
                 rows.append((b, table["shard"][0].as_py(), ids.astype("<u4").tobytes(), windows[ids].astype("<u2").tobytes(), np.minimum(weight[ids], 2**31).astype("<u4").tobytes(), vocabulary.tobytes(), number.astype("<u4" if len(vocabulary) > 65535 else "<u2").tobytes()))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "shard", "numbers", "windows", "weights", "vocabulary", "words"])
 
     def search(table: pa.Table) -> pa.Table:
@@ -245,20 +225,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
             at += len(w)
             if m.any():
                 out.append((r["shard"], np.frombuffer(r["numbers"], "<u4")[m > 0].tobytes(), m[m > 0].tobytes()))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "numbers", "marks"])
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["shard", "numbers", "marks"])
 
     def keep(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """Replies are the first answers (kind 0 and 1) and, as kind 2, the marks."""
+        """Replies are the totals (kind 0 and 1) and, as kind 2, the marks."""
         if not table.num_rows:
             return pa.table([table["key"], pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names=["key", "n_words", "n_removed", "kept"])
         words, s = parse(table)
         gone = np.zeros(len(words.hash) + 1, np.int64)
-        marked = [r for r in replies.select(["kind", "names", "counts"]).to_pylist() if r["kind"] == 2]
+        marked = [r for r in replies.select(["kind", "counts", "marks"]).to_pylist() if r["kind"] == 2]
         if marked:
             begin, _, _, place, same = to_send(s, words.hash, replies)
             marks = np.zeros(len(begin), np.uint64)
             for r in marked:
-                marks[np.frombuffer(r["names"], "<u4")] = np.frombuffer(r["counts"], "<u8")
+                marks[np.frombuffer(r["counts"], "<u4")] = np.frombuffer(r["marks"], "<u8")
             for i in range(64):
                 at = place[(marks[same] >> np.uint64(i) & np.uint64(1)) == 1] + i
                 gone += np.bincount(at, minlength=len(gone)) - np.bincount(np.minimum(at + window, len(gone) - 1), minlength=len(gone))
@@ -269,13 +249,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
             kept = pc.if_else(pa.array(removed > 0), kept, table.combine_chunks()["text"].chunk(0).cast(pa.string()))
         return pa.table([table["key"], pa.array(words.count()), pa.array(removed), kept], names=["key", "n_words", "n_removed", "kept"])
 
-    by = lambda df: df.groupBy("shard")
-    first = by(own).applyInArrow(ask, asking).groupBy("bucket").applyInArrow(answer, asking)
-    second = by(own).cogroup(by(first)).applyInArrow(ask_again, asking).groupBy("bucket").applyInArrow(answer, asking)
-    replies = first.union(second)
-    marks = by(own).cogroup(by(replies)).applyInArrow(send, sending).groupBy("bucket").applyInArrow(search, "shard int, numbers binary, marks binary")
-    all_ = replies.union(marks.select(F.lit(0).alias("bucket"), "shard", F.lit(2).alias("kind"), F.col("numbers").alias("names"), F.col("marks").alias("counts")))
-    return by(own).cogroup(by(all_)).applyInArrow(keep, with_key(own.schema["key"].dataType, "n_words long, n_removed long, kept string")).select("key.*", "n_words", "n_removed", "kept")
+    by, to = own.groupBy("shard"), (lambda df: df.groupBy("unit"))
+    first = exchange.total_counts(by.applyInArrow(ask, exchange.REQUEST), shards, fan).where("unit >= 0")
+    second = exchange.total_counts(by.cogroup(to(first)).applyInArrow(ask_again, exchange.REQUEST), shards, fan).where("unit >= 0")
+    replies = first.union(second).select("unit", "kind", "part", "counts", F.lit(None).cast("binary").alias("marks"))
+    marks = by.cogroup(to(replies)).applyInArrow(send, sending).groupBy("bucket").applyInArrow(search, "shard long, numbers binary, marks binary")
+    all_ = replies.union(marks.select(F.col("shard").alias("unit"), F.lit(2).alias("kind"), F.lit(0).alias("part"), F.col("numbers").alias("counts"), "marks"))
+    return by.cogroup(to(all_)).applyInArrow(keep, with_key(own.schema["key"].dataType, "n_words long, n_removed long, kept string")).select("key.*", "n_words", "n_removed", "kept")
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, **options) -> DataFrame:

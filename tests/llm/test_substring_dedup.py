@@ -34,11 +34,11 @@ def passages():
     return out + ["a b " * 60, "c " * 50, out[3], out[3], None, ""] + texts()
 
 
-@pytest.mark.parametrize("window,run,hot", [(35, 12, 2000), (8, 3, 2000), (8, 3, 2), (5, 5, 1)])
-def test_removal_equals_brute_force(spark, window, run, hot):
+@pytest.mark.parametrize("window,run,hot,fan", [(35, 12, 2000, 1024), (8, 3, 2000, 1024), (8, 3, 2, 1024), (5, 5, 1, 1024), (8, 3, 2, 3)])
+def test_removal_equals_brute_force(spark, window, run, hot, fan):
     rows = list(enumerate(passages())) + [(3, "again an old id"), (None, None)]
     docs = documents(spark, rows)
-    got = substring_dedup.remove_repeats(docs, window=window, run=run, hot=hot, shard_bytes=4000)
+    got = substring_dedup.remove_repeats(docs, window=window, run=run, hot=hot, shard_bytes=4000, fan=fan)
     assert got.columns == ["doc_id", "n_words", "n_removed", "kept"]
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute(rows, window)
 
@@ -53,6 +53,14 @@ def test_drop_repeats_keeps_rows_and_columns(spark):
     assert substring_dedup.drop_repeats(documents(spark, [])).count() == 0
 
 
+def test_very_long_texts(spark):
+    a, b = (" ".join(f"{k}{i * i % 900_007}" for i in range(1_500_000)) for k in "xy")  # about 10 MB each
+    rows = [(1, a + " " + " ".join(f"z{i}" for i in range(40))), (2, " ".join(f"z{i}" for i in range(40)) + " " + b), (3, "c")]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    want = {k: (n, gone) for k, n, gone, _ in brute(rows, 35)}
+    assert {str(k): (r.n_words, r.n_removed) for k, r in got.items()} == want and got[1].n_removed >= 40
+
+
 def test_fm_index_counts():
     r = np.random.default_rng(4)
     parts = [r.integers(1, 6, r.integers(3, 12)) for _ in range(30)]

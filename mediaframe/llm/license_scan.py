@@ -1,28 +1,16 @@
 """Licence texts found by a positional index of their rare words."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import re
 
-from mediaframe.llm.sqltext import alnum_words, let
+from pyspark.sql import Column, DataFrame, functions as F
+
+from mediaframe.llm.license_texts import PASSAGES
+from mediaframe.llm.sqltext import LOWER, UPPER, alnum_words, let
 
 #: Fixed phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, passage of the licence, mandatory key phrase.
-TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute this software"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation", "lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
-_SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_NOT_SEP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-
 
 def _padded(words: Column) -> Column:
     """Words set off by one blank on each side and doubled between, so that neighbours share none."""
@@ -43,52 +31,88 @@ def _starts(padded: Column, phrase: str) -> Column:
     return F.when(F.contains(padded, F.lit(_place(phrase))), walk).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, rare_words: int = 8, min_share: float = 0.6) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row.
+def _listed(rows: list[Column], kind: str) -> Column:
+    return F.array(*rows).cast(kind)
+
+
+def template_words(passage: str) -> list[str]:
+    """Words of a passage as `alnum_words` cuts them."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", passage.translate(str.maketrans(UPPER, LOWER)))
+
+
+def rare_index(docs: DataFrame, text: str, templates, rare_words: int) -> list[list[str]]:
+    """Of each template: its words of highest IDF, by document frequencies over all of `docs` (then by word)."""
+    words = [sorted(set(template_words(passage))) for _, passage, _ in templates]
+    vocabulary = _listed([F.lit(w) for w in sorted(set().union(*words))], "array<string>")
+    # One row per licence word at most: the templates bound what comes to the driver.
+    seen = docs.select(F.explode(F.array_intersect(alnum_words(F.col(text)), vocabulary)).alias("word")).groupBy("word").count().collect()
+    found = {r["word"]: r["count"] for r in seen}
+    return [sorted(w, key=lambda x: (found.get(x, 0), x))[:rare_words] for w in words]
+
 
-    Base places are exact. Beyond them each template whose key phrase stands in a document is
-    looked up by the `rare_words` of its words there of highest IDF (document frequencies are
-    counted over all of `docs`): each is met with the postings (word -> template, place), the
-    pairs vote for the relative position they agree on, and the template is labelled when at
-    least `min_share` of its words that were looked up agree. `score` is that share at best, 1 for a base place, else 0.
-    Null and empty texts have no words, no labels ('') and null first and last words.
+def _votes(words: Column, has: Column, terms: Column, postings: Column, templates: int) -> Column:
+    """array<int>: for each template, how many different rare words at most agree on one relative position (0 below three).
+
+    `has` are the indexed words that the text has, `postings` the places of each of `terms`.
     """
-    spark = docs.sparkSession
-    templates = [(f"{label}#{i}", passage, phrase) for i, (label, passage, phrase) in enumerate(templates)]
-    vocabulary = sorted({w for _, passage, _ in templates for w in passage.split()})
-    posts = spark.createDataFrame([(w, label, i) for label, passage, _ in templates for i, w in enumerate(passage.split())], "word string, template string, at int")
-    licence = F.array(*map(F.lit, vocabulary))
-    row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("key"), alnum_words(F.col(text)).alias("_words"))
+    def met(own: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(has, w).cast("int").alias("k"), i.alias("i"))), lambda x: x["k"] > 0)
+        return F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(F.get(own, x["k"] - 1), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("shift"), x["k"].alias("k"))))))
+
+    def count(acc: Column, x: Column) -> Column:
+        here = (acc["t"] == x["t"]) & (acc["shift"] == x["shift"])
+        n = F.when(here, acc["n"] + (acc["k"] != x["k"]).cast("int")).otherwise(F.lit(1))
+        best = F.when((n >= 3) & (n > F.get(acc["best"], x["t"])), F.transform(acc["best"], lambda b, i: F.when(i == x["t"], n).otherwise(b))).otherwise(acc["best"])
+        return F.struct(x["t"].alias("t"), x["shift"].alias("shift"), x["k"].alias("k"), n.alias("n"), best.alias("best"))
+
+    begin = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("shift"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.array_repeat(F.lit(0), templates).alias("best"))
+    own_postings = F.transform(has, lambda h: F.get(postings, F.array_position(terms, h).cast("int") - 1))
+    return let(own_postings, lambda own: F.aggregate(met(own), begin, count, lambda acc: acc["best"]))
+
 
-    # One row per licence word at most: the vocabulary bounds what comes to the driver.
-    seen = row.select(F.explode(F.array_intersect("_words", licence)).alias("word")).groupBy("word").count().collect()
-    rarest = [w for w, _ in sorted(((w, dict(map(tuple, seen)).get(w, 0)) for w in vocabulary), key=lambda x: (x[1], x[0]))]
+def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=PASSAGES, rare_words: int = 8, min_share: float = 0.6) -> DataFrame:
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row.
+
+    Base places are exact. Beyond them the `rare_words` words of highest IDF of each template make up
+    a positional index (word -> template, place). Where three or more of them stand in a text, its
+    words are met with the postings and vote for the relative position of a template; a template is
+    labelled when at least `min_share` of its indexed words that the text has, and three at least,
+    agree, and its key phrase stands in the text. `score` is the best such share, 1 for a base
+    place, else 0. Null and empty texts have no words, no labels ('') and null first and last words;
+    an empty table gives an empty result; repeated rows are judged each; words of equal frequency
+    are taken in the order of their letters. A text is judged whole, inside its row: nothing but
+    the counts of licence words is shuffled.
+    """
+    indexed = rare_index(docs, text, templates, rare_words)
+    named = sorted(set().union(*indexed))
+    terms = _listed([F.lit(w) for w in named], "array<string>")
+    posts: dict[str, list[tuple[int, int]]] = {w: [] for w in named}
+    for t, (_, passage, _) in enumerate(templates):
+        for i, w in enumerate(template_words(passage)):
+            if w in indexed[t]:
+                posts[w].append((t, i))
+    postings = _listed([F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("at")) for t, i in posts[w]]) for w in named], "array<array<struct<t:int,at:int>>>")
+    of_template = _listed([F.array(*map(F.lit, w)) for w in indexed], "array<array<string>>")
+    label_of, phrase_of = (_listed([F.lit(x) for x in column], "array<string>") for column in ([label for label, _, _ in templates], [_place(phrase) for _, _, phrase in templates]))
+
+    def found(w: Column, padded: Column, has: Column) -> Column:
+        """array<struct<label, share>> of the templates that hold."""
+        share = lambda n, t: F.when(n > 0, n / F.size(F.array_intersect(F.get(of_template, t), has)))
+        shares = F.transform(_votes(w, has, terms, postings, len(templates)), lambda n, t: F.struct(F.get(label_of, t).alias("label"), share(n, t).alias("share"), t.alias("t")))
+        good = F.filter(shares, lambda x: (x["share"] >= min_share) & F.contains(padded, F.get(phrase_of, x["t"])))
+        return F.when(F.size(has) >= 3, good).otherwise(F.array().cast("array<struct<label:string,share:double,t:int>>"))
 
     def judged(w: Column) -> Column:
         return let(_padded(w), lambda p: F.struct(
             F.size(w).cast("long").alias("n_words"),
             *[_starts(p, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(PHRASES)],
-            F.array_compact(F.array(*[F.when(F.contains(p, F.lit(_place(phrase))), F.lit(label)) for label, _, phrase in templates])).alias("verified")))
+            let(F.array_intersect(w, terms), lambda has: found(w, p, has)).alias("more")))
 
     places = F.concat(*[F.col(f"_j.b{i}") for i in range(len(PHRASES))])
-    base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_j.b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))))
-    base = row.withColumn("_j", let(F.col("_words"), judged)).select(
-        "_row", "key", "_words", F.col("_j.n_words").alias("n_words"), F.col("_j.verified").alias("_verified"),
-        F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base_labels.alias("_base"))
-    # Without any template's key phrase no label can come out, so such texts skip the look-up. Each
-    # template in question has its own rarest words, so that none crowds out another's.
-    rare = F.create_map(*[x for label, passage, _ in templates for x in (F.lit(label), F.array(*[F.lit(w) for w in rarest if w in passage.split()]))])
-    places_of = lambda chosen: F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(chosen, x["word"]))
-    looked_up = F.transform("_verified", lambda t: let(F.slice(F.array_intersect(rare[t], F.col("_words")), 1, rare_words), lambda c: F.struct(
-        t.alias("template"), F.size(c).alias("of"), places_of(c).alias("places"))))
-    group = ["_row", "key", "n_words", "n_base", "first_word", "last_word", "_base"]
-    votes = base.select(*group, F.explode_outer(looked_up).alias("_t")).select(*group, F.col("_t.template").alias("template"), F.col("_t.of").alias("_of"), F.explode_outer("_t.places").alias("_p"))
-    votes = votes.select(*group, "template", "_of", F.col("_p.word").alias("word"), F.col("_p.pos").alias("pos"))
-    agreed = votes.join(F.broadcast(posts), ["word", "template"], "left").withColumn("_shift", F.col("pos") - F.col("at")).groupBy(*group, "template", "_shift").agg(
-        F.count_distinct("word").alias("_agree"), F.max("_of").alias("_of"))
-    share = F.when(F.col("_agree") >= 3, F.col("_agree") / F.col("_of"))
-    found = agreed.withColumn("_share", F.when(share >= min_share, share)).groupBy(*group).agg(
-        F.collect_set(F.when(F.col("_share").isNotNull(), F.substring_index("template", "#", 1))).alias("_more"), F.max("_share").alias("_best"))
-    return found.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
-                        F.array_join(F.array_sort(F.array_union("_base", "_more")), ",").alias("labels"),
-                        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"))
+    base_labels = F.array_compact(F.array(*[F.when(F.size(f"_j.b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return docs.select(F.col(key).alias("key"), let(alnum_words(F.col(text)), judged).alias("_j")).select(
+        F.col("key").alias(key), F.col("_j.n_words").alias("n_words"), F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), joined(base_labels).alias("base_labels"),
+        joined(F.concat(base_labels, F.transform("_j.more", lambda x: x["label"]))).alias("labels"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_j.more", lambda x: x["share"])), F.lit(0.0))).alias("score"))

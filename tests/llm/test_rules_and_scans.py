@@ -1,5 +1,6 @@
 """Quality rules, licence scans, URL filters and decontamination against brute force."""
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -87,9 +88,60 @@ def test_licences(spark):
     assert license_scan.scan_licenses(documents(spark, [])).count() == 0
 
 
+def slow_labels(texts_, templates, rare_words=8, min_share=0.6):
+    """Labels beyond the base ones and the best share of each text."""
+    words = [alnum(t) for t in texts_]
+    passages = [(label, alnum(p), phrase.split()) for label, p, phrase in templates]
+    seen = Counter(w for ws in words for w in set(ws))
+    index = [sorted(set(p), key=lambda w: (seen[w], w))[:rare_words] for _, p, _ in passages]
+    holds = lambda ws, p: any(ws[i : i + len(p)] == p for i in range(len(ws) - len(p) + 1))
+    out = []
+    for ws in words:
+        labels, score = set(), 0.0
+        for (label, p, phrase), rare in zip(passages, index):
+            shifts = {}
+            for i, w in enumerate(ws):
+                for j, x in enumerate(p):
+                    if w == x and w in rare:
+                        shifts.setdefault(i - j, set()).add(w)
+            agree = max(map(len, shifts.values()), default=0)
+            of = len(set(rare) & set(ws))
+            if agree >= 3 and agree / of >= min_share and holds(ws, phrase):
+                labels.add(label)
+                score = max(score, agree / of)
+        out.append((labels, score))
+    return out
+
+
+def test_licence_labels_equal_brute_force(spark):
+    r = random.Random(9)
+    passages = [p for _, p, _ in license_scan.PASSAGES]
+    made = []
+    for _ in range(150):
+        parts = [r.choice(passages) for _ in range(r.choice([0, 1, 1, 2, 4]))]
+        parts = [" ".join(w for w in p.split() if r.random() > r.choice([0, 0, 0.1, 0.4])) for p in parts]
+        filler = lambda: " ".join(r.choice(["alpha", "the", "software", "permission", "beta", "license", "this", "of"]) for _ in range(r.randint(0, 40)))
+        made.append(filler() + "\n".join(f" {p}. {filler()}" for p in parts))
+    rows = list(enumerate(made + LICENCES + [None, "x " * 10 + passages[5] + " y" * 9]))
+    got = {x.doc_id: x for x in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    for (i, t), (labels, score) in zip(rows, slow_labels([t for _, t in rows], license_scan.PASSAGES)):
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(base | labels)), t
+        assert abs(got[i].score - (1.0 if base else score)) < 1e-12, t
+    assert len({x for row in got.values() for x in row.labels.split(",")}) >= 20
+    for label, passage, phrase in license_scan.PASSAGES:
+        assert " ".join(phrase.split()) in " ".join(alnum(passage)), (label, phrase)
+
+
+def test_licences_of_a_very_long_text(spark):
+    long = "permission is granted word " * 800_000 + "all rights reserved " + license_scan.PASSAGES[-2][1]  # about 20 MB
+    got = license_scan.scan_licenses(documents(spark, [(1, long), (2, "x")])).where("doc_id = 1").first()
+    assert got.n_words == len(alnum(long)) and got.base_labels == "reserved" and "zlib" in got.labels
+
+
 def test_urls(spark):
     urls = ["https://Example.COM/en/x?y", "http://www.example.com/en/", "http://a.www.example.com/en/q", "http://example.com/de/", "http://x.net/es/1", "http://net/fr/", "http://net/frx",
-            "http://badexample.com/en/", "http://example.com", "no scheme", None, "", "://", "a://b.com/x://c.net/es/", "http://x.com:80/", "http://U.NET?/es/", "http://É.net/es/#a", "h\n://y.com/a\nb"]
+            "http://badexample.com/en/", "http://example.com", "no scheme", None, "", "://", "a://b.com/x://c.net/es/", "http://x.com:80/", "http://U.NET?/es/", "http://É.net/es/#a", "h\n://y.com/a\nb", "http://x.net/es/" + "q" * 5_000_000]
     pages = spark.createDataFrame([(i % 16, u, "x") for i, u in enumerate(urls)] + [(None, urls[0], "x"), (3, urls[0], "x"), (3, urls[0], "x")], "page_id long, url string, host string")
     got = url_filter.judge_urls(pages, url_filter.rule_table(spark))
     assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
@@ -107,6 +159,8 @@ def test_urls(spark):
     want = sorted((str(r.page_id), *judge(r.url)) for r in pages.collect())
     for limit in (100_000, 0):  # broadcast or shuffled rules
         got = url_filter.judge_urls(pages, url_filter.rule_table(spark), max_broadcast_rules=limit)
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+        assert len(joins) == 1 and "digest" not in joins[0]  # the short hash alone is the key
         assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got.collect()) == want
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
     none = url_filter.judge_urls(pages, url_filter.rule_table(spark).limit(0)).collect()

@@ -38,3 +38,16 @@ def ocr_search_key(text: Column) -> Column:
 def contains_literal(key: Column, query: str) -> Column:
     """Substring match in which %, _ and quotes mean themselves."""
     return F.contains(key, F.lit(query))
+
+
+#: Recognised text regions as they are stored: corners and text, from top to bottom.
+REGIONS = "array<struct<text:string,confidence:double,left:double,top:double,right:double,bottom:double>>"
+
+
+def regions_to_json(regions: Column) -> Column:
+    return F.to_json(regions.cast(REGIONS))
+
+
+def regions_from_json(text: Column) -> Column:
+    """Regions of a stored JSON text; null where it is not one."""
+    return F.from_json(text, REGIONS)

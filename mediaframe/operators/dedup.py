@@ -1,41 +1,55 @@
 """Exact and near duplicates of media."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from mediaframe.functions.numbers import hamming, nibble
+from mediaframe.functions.numbers import nibble
 from mediaframe.operators.fence import FENCE, current
+from mediaframe.plans.lineage import cut_lineage
+from mediaframe.plans.paging import page, page_after
+
+BANDS, MAX_DISTANCE, TOP, TILE = 16, 14, 8, 1 << 15
 
-BANDS, MAX_DISTANCE, TOP = 16, 14, 8
 
+def fingerprint(live: DataFrame, content: DataFrame, decoder: Callable[[Column], Column] | None = None, failures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fence, sha, and with a decoder bits) of each live row's content; and the fences of rows that fail.
 
-def fingerprint(live: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SHA-256 of each live row's content, stamped with its fence; rows without content fail."""
-    joined = live.select(*FENCE).join(content, "media_id", "left")
-    return joined.where("content is not null").select(*FENCE, F.sha2("content", 256).alias("sha")), joined.where("content is null").select(*FENCE)
+    `decoder` makes the perceptual hash from the content column and gives null where it cannot. Rows
+    of a fence in `failures` are not tried again: they fail until the media is revised or granted anew.
+    """
+    tried = live.select(*FENCE) if failures is None else live.select(*FENCE).join(failures.select(*FENCE), FENCE, "left_anti")
+    joined = tried.join(content, "media_id", "left").withColumn("sha", F.sha2("content", 256))
+    good, columns = F.col("content").isNotNull(), ["sha"]
+    if decoder is not None:
+        joined, columns = joined.withColumn("bits", decoder(F.col("content"))), ["sha", "bits"]
+        good = good & F.col("bits").isNotNull()
+    return joined.where(good).select(*FENCE, *columns), joined.where(~good).select(*FENCE)
 
 
 _INDEX = np.arange(8)[:, None] * (2 * np.arange(32)[None, :] + 1) * np.pi / 64
 _DCT = np.cos(_INDEX) * np.where(np.arange(8) == 0, np.sqrt(1 / 32), np.sqrt(2 / 32))[:, None]
 
 
-def _dct_bits(luma: np.ndarray, width: int, height: int) -> int:
-    """Bits of the 63 low cosine coefficients (without the constant) that are not under their median."""
-    rows, columns = (np.arange(32) * height) // 32, (np.arange(32) * width) // 32
-    small = luma.reshape(height, width)[np.ix_(rows, columns)]
-    low = np.round((_DCT @ small @ _DCT.T).ravel()[1:], 6)  # flat directions are zeros, not noise
-    return int(sum(1 << i for i, on in enumerate(low >= np.sort(low)[31]) if on))
-
-
 @pandas_udf(LongType())
 def dct_hash(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """63-bit perceptual hash of a luma raster; null where it does not fit its sizes."""
-    ok = lambda x, w, h: x is not None and w and h and len(x) == w * h
-    return pd.Series([_dct_bits(np.asarray(x, float), int(w), int(h)) if ok(x, w, h) else None for x, w, h in zip(luma, width, height)], dtype="Int64")
+    """63-bit perceptual hash of a luma raster; null where it does not fit its sizes. Rasters of one size are transformed together."""
+    out = pd.Series([None] * len(luma), dtype="Int64", index=luma.index)
+    size = pd.DataFrame({"w": width, "h": height, "n": luma.map(lambda x: -1 if x is None else len(x))})
+    fits = size[(size["w"] > 0) & (size["h"] > 0) & (size["n"] == size["w"] * size["h"])]
+    for (w, h), rows in fits.groupby(["w", "h"]):
+        raster = np.stack([np.asarray(x, float) for x in luma[rows.index]]).reshape(-1, int(h), int(w))
+        small = raster[:, (np.arange(32) * int(h)) // 32][:, :, (np.arange(32) * int(w)) // 32]
+        low = np.round((_DCT @ small @ _DCT.T).reshape(len(rows), -1)[:, 1:], 6)  # flat directions are zeros, not noise
+        on = low >= np.sort(low, axis=1)[:, 31:32]
+        out[rows.index] = (on * (np.int64(1) << np.arange(63))).sum(axis=1)
+    return out
 
 
 def bands(fp: DataFrame, key: str = "id", bits: str = "bits") -> DataFrame:
@@ -43,27 +57,52 @@ def bands(fp: DataFrame, key: str = "id", bits: str = "bits") -> DataFrame:
     return fp.select(key, bits, F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("value", nibble(F.col(bits), F.col("band")))
 
 
-def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id", bits: str = "bits") -> DataFrame:
+def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id", bits: str = "bits", tile: int = TILE) -> DataFrame:
     """(left_bits, right_bits, distance) of different hashes within the distance.
 
-    Hashes that differ in at most 14 of 16 nibbles agree in two, so pairs meet on pairs of equal
-    nibbles (120 keys of eight bits) and are given out only by their lowest one. Equal hashes are
-    collapsed first, so a group of copies does not meet itself.
+    A distance of 14 in 63 bits leaves too little in common to look hashes up by (any two agree in
+    some pair of nibbles), so all are compared, tile by tile: exclusive-or and bit counts in numpy.
+    Equal hashes are collapsed first, so a group of copies does not meet itself. Hashes are dealt
+    into tiles of about `tile`, and each pair of tiles is one group of at most two tiles; results
+    leave a group in blocks.
     """
-    if max_distance > MAX_DISTANCE:
-        raise ValueError("two equal nibbles are certain only up to a distance of 14")
-    distinct = fp.select(F.col(bits).alias("b")).distinct()
-    pairs = [(i, j) for i in range(BANDS) for j in range(i + 1, BANDS)]
-    keys = F.array(*[F.struct(F.lit(n).alias("slot"), (nibble(F.col("b"), i) * 16 + nibble(F.col("b"), j)).alias("value")) for n, (i, j) in enumerate(pairs)])
-    spread = distinct.select("b", F.explode(keys).alias("k")).select("b", "k.slot", "k.value")
-    left, right = spread.withColumnRenamed("b", "left_bits"), spread.withColumnRenamed("b", "right_bits")
-    met = left.join(right, ["slot", "value"]).where("left_bits < right_bits")
-    close = met.withColumn("distance", hamming(F.col("left_bits"), F.col("right_bits"))).where(F.col("distance") <= max_distance)
-    # A bit for each equal nibble; its two lowest ones name the key that gives the pair out.
-    x = close.withColumn("x", F.expr("left_bits ^ right_bits")).withColumn("x", F.expr("x | shiftrightunsigned(x, 1)")).withColumn("x", F.expr("x | shiftrightunsigned(x, 2)"))
-    m = x.withColumn("m", F.expr(f"~x & {0x1111111111111111}L")).withColumn("m2", F.expr("m & (m - 1)"))
-    named = m.withColumn("i", F.expr("bit_count((m & -m) - 1) div 4")).withColumn("j", F.expr("bit_count((m2 & -m2) - 1) div 4"))
-    return named.where(f"slot = i * ({2 * BANDS} - i - 1) div 2 + j - i - 1").select("left_bits", "right_bits", "distance")
+    distinct = cut_lineage(fp.select(F.col(bits).alias("b")).where("b is not null").distinct())
+    n = distinct.count()
+    tiles = max(1, -(-n // tile), min(8, n // 2048))
+    dealt = distinct.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+        F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "b").repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+
+    def compare(batches):
+        held, place = [], None
+
+        def done():
+            if not held:
+                return
+            own, b = (np.concatenate(x) for x in zip(*held))
+            left, right = b[own == place[0]], b[own == place[1]]
+            for lo in range(0, len(left), 512):
+                some = left[lo : lo + 512]
+                distance = np.bitwise_count(some[:, None] ^ right[None, :])
+                i, j = np.nonzero(distance <= max_distance)
+                x, y, d = some[i], right[j], distance[i, j].astype(np.int32)
+                keep = x < y if place[0] == place[1] else np.ones(len(x), bool)
+                x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d[keep])], names=["left_bits", "right_bits", "distance"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t1, t2, own, b = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+                if place is not None and (t1[lo], t2[lo]) != place:
+                    yield from done()
+                    held = []
+                place = (t1[lo], t2[lo])
+                held.append((own[lo:hi], b[lo:hi]))
+        yield from done()
+
+    return dealt.mapInArrow(compare, "left_bits long, right_bits long, distance int")
 
 
 def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP) -> DataFrame:
@@ -78,6 +117,12 @@ def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP) -
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("left_id", "right_id", "distance")
 
 
+def relations_page(relation: DataFrame, limit: int, cursor: dict | None = None) -> DataFrame:
+    """A page of visual relations, closest first, then by left and right id, with has_next; from the start or strictly after a row."""
+    order = [("distance", False), ("left_id", False), ("right_id", False)]
+    return page(relation, [F.col(c).asc() for c, _ in order], limit) if cursor is None else page_after(relation, order, cursor, limit)
+
+
 def exact_groups(fp: DataFrame) -> DataFrame:
     return fp.groupBy("sha").agg(F.count("*").alias("members")).where("members > 1")
 

@@ -71,6 +71,11 @@ def coverage(live: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
     return out.agg(F.count_distinct("media_id").alias("eligible"), *[F.count_distinct(F.when(F.col(n) == 1, F.col("media_id"))).alias(n) for n in runs])
 
 
+def ocr_coverage(live: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: eligible media, and those with a current recognised text."""
+    return coverage(live, {"indexed": results})
+
+
 def status_counts(media: DataFrame, exposure: DataFrame) -> DataFrame:
     """One row: available, and of them quarantined (no exposure, or one that is not SAFE)."""
     live = with_exposure(media.where("availability = 'AVAILABLE'"), exposure)

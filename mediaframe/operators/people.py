@@ -131,3 +131,9 @@ def name_uuid(column: str) -> Column:
     h = F.md5(F.col(column))
     variant = F.substring(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("long").bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))), 1, 2)
     return F.lower(F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 19, 2), F.lit("-"), F.substring(h, 21, 12)))
+
+
+def linked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), in either order, those that a link connects; each once, smaller id first."""
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered(pairs).distinct().join(ordered(links), ["a", "b"], "left_semi")

@@ -100,3 +100,10 @@ def organise(v: DataFrame, ids: DataFrame, existing: DataFrame, column: str, val
     if remove:
         return existing.join(chosen, ["media_id", column], "left_anti")
     return existing.unionByName(chosen.join(existing, ["media_id", column], "left_anti"))
+
+
+def register_views(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
+    """Temporary views of the named tables, for SQL over them; their names."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in tables]

@@ -1,6 +1,7 @@
 """Vector search: exact and approximate top-k, parity and pooling."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mediaframe.functions.numbers import cosine, dot, finite, norm
+from mediaframe.operators.fence import coverage
 
 MAX_QUERIES = 10_000
 
@@ -70,6 +72,16 @@ def search_exact(vectors: DataFrame, queries: DataFrame, k: int, max_queries: in
     return reduce(DataFrame.union, [_best(vectors, q, k) for q in _blocks(queries, max_queries)])
 
 
+def semantic_search(vectors: DataFrame, queries: DataFrame, live: DataFrame, derived: DataFrame, k: int, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`search_exact` results with indexed, available and complete: how much of the live media the derived vectors cover.
+
+    `encode` turns the queries (query_id and whatever it needs, such as a text) into query_id, embedding.
+    """
+    seen = coverage(live, {"indexed": derived}).select("indexed", F.col("eligible").alias("available"), (F.col("indexed") == F.col("eligible")).alias("complete"))
+    found = search_exact(vectors, queries if encode is None else encode(queries), k)
+    return found.crossJoin(F.broadcast(seen))  # one row
+
+
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 

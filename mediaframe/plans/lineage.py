@@ -4,20 +4,26 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` reliably.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and for tables that a job writes for itself.
 
     The folder is the cluster's own `spark.checkpoint.dir`. Where a session names none, a temporary
     folder is set if all runs on this machine; elsewhere executors would not share it, so that is
     an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` reliably, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -50,6 +50,14 @@ def d5_relations(t):
     return dedup.relations(hashes(t))
 
 
+NEAR8 = "SELECT left_id, right_id, distance FROM (SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.bits, b.bits)), b.id) AS r FROM fp a JOIN fp b ON a.id < b.id AND a.sha <> b.sha AND bit_count(xor(a.bits, b.bits)) <= 14) WHERE r <= 8"
+
+
+@query("SELECT *, (SELECT count(*) FROM rel) > 25 AS has_next FROM rel ORDER BY distance, left_id, right_id LIMIT 25", fp=FP, rel=NEAR8)
+def t4_relations_page(t):
+    return dedup.relations_page(dedup.relations(hashes(t)), 25)
+
+
 @query("SELECT a.bits AS left_bits, b.bits AS right_bits, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM (SELECT DISTINCT bits FROM fp) a JOIN (SELECT DISTINCT bits FROM fp) b ON a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= 14", fp=FP)
 def j8_near_pairs(t):
     return dedup.near_pairs(hashes(t))
@@ -127,16 +135,7 @@ def g11_catalog_revision(t):
 
 # --- vectors ------------------------------------------------------------------------------------
 COS = "CAST(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) AS DOUBLE)"
-TOP = f"SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings q, {{v}} v WHERE q.vec_id < {{n}})"
-
-
-def probes(t: Tables, n: int = 20):
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-@query(f"SELECT * FROM ({TOP.format(v='embeddings', n=20)}) WHERE rank <= 10")
-def n1_exact_search(t):
-    return vs.search_exact(t.embeddings, probes(t), 10)
+TOP = f"SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings q, {{v}} v WHERE q.vec_id % {{n}} = 0)"
 
 
 def hundredths(t: Tables):
@@ -144,6 +143,11 @@ def hundredths(t: Tables):
     return t.embeddings.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+@query(f"SELECT * FROM ({TOP.format(v='embeddings', n=100)}) WHERE rank <= 10")
+def n1_exact_search(t):
+    return vs.search_exact(t.embeddings, hundredths(t), 10)
+
+
 @query()
 def n2_approximate_search(t):
     return vs.search_ann(t.embeddings, hundredths(t), 10)
@@ -155,18 +159,19 @@ def n3_parity(t):
     return vs.parity(vs.search_exact(e, hundredths(t), 10), vs.search_ann(e, hundredths(t), 10), 10)
 
 
-@query(f"SELECT query_id, vec_id, rank FROM ({TOP.format(v='embeddings', n=8)}) WHERE rank <= 10")
+@query(f"SELECT query_id, vec_id, rank FROM ({TOP.format(v='embeddings', n=1)}) WHERE rank <= 10 AND query_id < 8")
 def n4_probe_set(t):
     return vs.search_exact(t.embeddings, vs.probes(t.embeddings), 10).drop("score")
 
 
-@query(f"SELECT query_id, vec_id, score, rank, (SELECT count(*) FROM c) AS indexed, (SELECT count(*) FROM el) AS available, (SELECT count(*) FROM c) = (SELECT count(*) FROM el) AS complete FROM ({TOP.format(v='c', n=5)}) WHERE rank <= 5", "media", "exposure", "ai_embedding", el=EL,
+@query(f"SELECT query_id, vec_id, score, rank, (SELECT count(*) FROM c) AS indexed, (SELECT count(*) FROM el) AS available, (SELECT count(*) FROM c) = (SELECT count(*) FROM el) AS complete FROM ({TOP.format(v='c', n=100)}) WHERE rank <= 5", "media", "exposure", "ai_embedding", el=EL,
        c="SELECT e.vec_id, e.embedding FROM ai_embedding a JOIN el USING (media_id, content_revision, access_epoch) JOIN embeddings e ON e.vec_id = a.native_key - 1")
 def n5_semantic_search(t):
     now = fence.current(t.ai_embedding, live(t))
     vectors = now.select((F.col("native_key") - 1).alias("vec_id")).join(t.embeddings, "vec_id")
-    seen = fence.coverage(live(t), {"indexed": t.ai_embedding}).select("indexed", F.col("eligible").alias("available"), (F.col("indexed") == F.col("eligible")).alias("complete"))
-    return vs.search_exact(vectors, probes(t, 5), 5).withColumn("_k", F.lit(1)).join(F.broadcast(seen.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    asked = hundredths(t).select("query_id")
+    embed = lambda q: q.join(hundredths(t), "query_id")  # noqa: E731  an encoder that looks embeddings up
+    return vs.semantic_search(vectors, asked, live(t), t.ai_embedding, 5, embed)
 
 
 @query("SELECT v.vec_id, round(CAST(1.0 AS DOUBLE), 6) AS cosine, round(list_max(list_transform(v.embedding, lambda x: abs(CAST(x AS DOUBLE) - CAST(x AS DOUBLE) * 1.5))), 6) AS max_error, false AS close, round(CAST(1 / 1.5 AS DOUBLE), 6) AS norm_ratio FROM embeddings v")
@@ -280,7 +285,7 @@ def j16_cannot_link_pairs(t):
     f = t.ai_face_detection.select(F.substring("detection_id", 2, 20).cast("long").alias("s"), "anchor_id", "computed_cluster_id")
     pairs = f.join(f.select((F.col("s") - 10).alias("s"), F.col("anchor_id").alias("other"), F.col("computed_cluster_id").alias("c")), "s").select("s", "computed_cluster_id", "c", F.least("anchor_id", "other").alias("a"), F.greatest("anchor_id", "other").alias("b"))
     links = pairs.where("computed_cluster_id = c").select("a", "b")
-    return pairs.where("s % 5 = 0").select("a", "b").join(links, ["a", "b"], "left_semi").distinct()
+    return people.linked(pairs.where("s % 5 = 0").select("a", "b"), links)
 
 
 @query("SELECT detection_id, coalesce(x.new_id, d.computed_cluster_id) AS computed_cluster_id FROM ai_face_detection d LEFT JOIN (SELECT DISTINCT computed_cluster_id AS old_id, 'person:' || substr(computed_cluster_id, 6) AS new_id FROM ai_face_detection WHERE computed_cluster_id <> 'auto:3') x ON old_id = d.computed_cluster_id", "ai_face_detection")

@@ -274,7 +274,7 @@ def o1_ocr_search(t):
 
 @query("SELECT count(DISTINCT el.media_id) AS eligible, count(DISTINCT o.media_id) AS indexed FROM el LEFT JOIN ai_ocr_result o USING (media_id, content_revision, access_epoch)", "media", "exposure", "ai_ocr_result", el=EL)
 def o2_ocr_coverage(t):
-    return fence.coverage(live(t), {"indexed": t.ai_ocr_result})
+    return fence.ocr_coverage(live(t), t.ai_ocr_result)
 
 
 @query("SELECT media_id, tag_key FROM media_tag UNION SELECT media_id, 'new' FROM v WHERE n % 5 = 2", "media", "exposure", "media_tag", v=V)

@@ -1,7 +1,14 @@
 """Incremental scans of a provider's rows, file inventories, and table sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+
+MOST_VOLUMES = 200
+POINTER = "seq long, generation string, batch long"
 
 
 def normalize_raw(raw: DataFrame) -> DataFrame:
@@ -24,8 +31,16 @@ def resolve_checkpoint(states: DataFrame, checkpoints: DataFrame, full_access: b
 
 
 def scan_changed(raw: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """Rows changed after their volume's start; the checkpoint has one row a volume."""
-    return raw.join(F.broadcast(checkpoint.select("volume", "start")), "volume").where("generation_modified > start").drop("start")
+    """Rows changed after their volume's start; the checkpoint has one row a volume.
+
+    Volumes are few (a device's storage), so their starts come to the driver and go into the filter
+    as literals, which reaches the scan; beyond `MOST_VOLUMES` they are joined.
+    """
+    starts = checkpoint.select("volume", "start").limit(MOST_VOLUMES + 1).collect()
+    if len(starts) > MOST_VOLUMES:
+        return raw.join(checkpoint.select("volume", "start"), "volume").where("generation_modified > start").drop("start")
+    later = [(F.col("volume") == r.volume) & (F.col("generation_modified") > r.start) for r in starts]
+    return raw.where(reduce(lambda a, b: a | b, later, F.lit(False)))
 
 
 def visible_ids(raw: DataFrame) -> DataFrame:
@@ -54,16 +69,41 @@ def insert_if_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return base.unionByName(rows.join(base.select(*keys), keys, "left_anti"))
 
 
-def publish(df: DataFrame, path: str, generation_id: str) -> None:
-    """Writes a generation's directory, then moves the pointer that readers follow."""
-    df.write.mode("overwrite").parquet(f"{path}/generation={generation_id}")
-    df.sparkSession.createDataFrame([(generation_id,)], "generation_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_pointer")
+def published(spark: SparkSession, path: str) -> Row | None:
+    """The last pointer (seq, generation, batch) of what is published at `path`; None if nothing is."""
+    try:
+        return spark.read.schema(POINTER).parquet(f"{path}/_pointer").orderBy(F.col("seq").desc()).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def publish(df: DataFrame, path: str, generation_id: str, batch: int | None = None, keep: int | None = None) -> None:
+    """Writes a generation to a fresh folder, then adds a pointer to it; readers follow the last pointer.
+
+    Nothing that a reader may hold is overwritten: a job that fails half way, or runs again, leaves
+    the last pointer and its folder as they are. There is one writer at a time. `batch` is noted in
+    the pointer, so that a replayed batch can be told. Folders of all but the last `keep`
+    generations are removed afterwards (None: none are).
+    """
+    spark, last = df.sparkSession, published(df.sparkSession, path)
+    name = f"{generation_id}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{path}/generation={name}")
+    spark.createDataFrame([(last.seq + 1 if last else 1, name, batch)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+    if keep:
+        old = spark.read.schema(POINTER).parquet(f"{path}/_pointer").orderBy(F.col("seq").desc()).offset(keep).limit(keep + 1).collect()
+        for r in old:  # what earlier calls removed is gone already
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={r.generation}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The generation that the pointer names; a reader keeps it though the pointer moves on."""
-    pinned = spark.read.parquet(f"{path}/_pointer").first().generation_id
-    return spark.read.parquet(f"{path}/generation={pinned}")
+    """The generation that the last pointer names; a reader keeps it though others are published."""
+    last = published(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/generation={last.generation}")
 
 
 def export_selection(ids: DataFrame, media: DataFrame, exposure: DataFrame) -> DataFrame:

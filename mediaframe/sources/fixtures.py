@@ -48,7 +48,7 @@ WHERE CAST(substr(detection_id, 2) AS BIGINT) % 11 = 0 OR CAST(substr(detection_
     "sensitive_logits": """SELECT l.doc_id, d.lang AS language, l.toxic = 1 AS sensitive,
  CAST(CASE WHEN l.toxic = 1 THEN 50 ELSE -50 END + (l.doc_id * 37) % 100 - 50 AS DOUBLE) / CAST(50 AS DOUBLE) AS nsfw_logit, CAST(0 AS DOUBLE) AS sfw_logit
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
-    "ocr_eval": "SELECT doc_id, lang AS language, substr(text, 1, 200) AS expected, replace(substr(text, 1, 200), 'en', 'on') AS actual FROM documents",
+    "ocr_eval": "SELECT doc_id, lang AS language, text AS expected, replace(text, 'en', 'on') AS actual FROM documents",
 }
 NEEDS = {
     "media": ("events",), "exposure": ("media",), "media_tag": ("media",), "favorite": ("media",), "album": ("events",), "album_media": ("media",),

@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mediaframe.operators.dedup import domain_revision
 from mediaframe.operators.fence import FENCE
-from mediaframe.sources.catalog import publish, read_published
+from mediaframe.plans.lineage import cut_lineage
+from mediaframe.sources.catalog import publish, published, read_published
 
 
 def latest_revisions(base: DataFrame, batch: DataFrame) -> DataFrame:
@@ -18,17 +19,17 @@ def latest_revisions(base: DataFrame, batch: DataFrame) -> DataFrame:
     return base.unionByName(batch).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Keeps the published catalogue at `path` up to date; each micro-batch is a new generation."""
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keep: int = 3):
+    """Keeps the published catalogue at `path` up to date; each micro-batch is a new generation.
+
+    A batch that runs again after it was published is known by its number and changes nothing; one
+    that failed before leaves an unread folder behind. The last `keep` generations stay.
+    """
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            base = read_published(spark, path)
-        except Exception as e:  # the first batch finds nothing published
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            base = batch.limit(0)
-        publish(latest_revisions(base, batch), path, f"b{number}")
+        last = published(batch.sparkSession, path)
+        if last is None or last.batch < number:
+            base = batch.limit(0) if last is None else read_published(batch.sparkSession, path)
+            publish(latest_revisions(base, batch), path, f"b{number}", number, keep)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -74,7 +75,11 @@ def _epochs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 
 def stream_epochs(stream: DataFrame) -> DataFrame:
-    """(media_id, n, access_epoch): each return to availability opens a new epoch; `n` orders a media's rows."""
+    """(media_id, n, access_epoch): each return to availability opens a new epoch; `n` orders a media's rows.
+
+    What was given out is not taken back, so a media's rows must come in the order of `n` from batch
+    to batch (a source keyed by media gives that); inside a batch any order will do.
+    """
     return stream.select("media_id", "n", "availability").groupBy("media_id").applyInPandasWithState(_epochs, "media_id string, n long, access_epoch long", "epoch long, available boolean", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -85,29 +90,44 @@ def epochs_batch(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_b", F.coalesce(back, F.lit(False)).cast("long")).withColumn("access_epoch", 1 + F.sum("_b").over(w)).select("media_id", "n", "access_epoch")
 
 
+DAY_MS = 86_400_000
+
+
 def _retention(days: int):
     def expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (trashed,) = state.get
+            at, trashed = state.get
             state.remove()
-            yield pd.DataFrame({"media_id": [key[0]], "trashed_ms": [trashed]})
+            if trashed:
+                yield pd.DataFrame({"media_id": [key[0]], "trashed_ms": [at]})
             return
-        for b in batches:
-            last = b.sort_values("at").iloc[-1]
-            if last["availability"] == "TRASHED":
-                at = int(last["at"].timestamp() * 1000)
-                state.update((at,))
-                state.setTimeoutTimestamp(max(at + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
+        rows = pd.concat(list(batches))
+        rows = rows.assign(other=rows["availability"] != "TRASHED").sort_values(["at_ms", "other"])
+        at, trashed = int(rows["at_ms"].iloc[-1]), not rows["other"].iloc[-1]
+        if state.exists and state.get[0] > at:  # all of it older than what is known
+            at, trashed = state.get
+        state.update((at, bool(trashed)))
+        # What is not trashed is remembered until the watermark shuts older rows out.
+        state.setTimeoutTimestamp(max(at + (days * DAY_MS if trashed else 1), state.getCurrentWatermarkMs() + 1))
 
     return expire
 
 
 def stream_retention(stream: DataFrame, at: str = "ts", days: int = 30, delay: str = "1 hour") -> DataFrame:
-    """(media_id, trashed_ms) of media whose trashing the watermark has outlived by the retention."""
-    timed = stream.select("media_id", "availability", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("media_id").applyInPandasWithState(_retention(days), "media_id string, trashed_ms long", "trashed long", "append", GroupStateTimeout.EventTimeTimeout)
+    """(media_id, trashed_ms) of media whose trashing the watermark has outlived by the retention.
+
+    A media's latest row counts, in whatever order rows come; of rows of one instant a restore.
+    """
+    moment = F.col(at).cast("timestamp")
+    timed = stream.select("media_id", "availability", moment.alias("at"), F.unix_millis(moment).alias("at_ms")).withWatermark("at", delay)
+    return timed.groupBy("media_id").applyInPandasWithState(_retention(days), "media_id string, trashed_ms long", "at long, trashed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retention_batch(rows: DataFrame, now_ms: int | Column, at: str = "ts", days: int = 30) -> DataFrame:
+    """What stream_retention gives once the watermark has reached `now_ms`, from all rows at once."""
+    at_ms = F.unix_millis(F.col(at).cast("timestamp"))
+    last = rows.groupBy("media_id").agg(F.max(F.struct(at_ms.alias("at"), (F.col("availability") != "TRASHED").alias("other"))).alias("m"))
+    return last.where(~F.col("m.other") & (F.col("m.at") + days * DAY_MS < (F.lit(now_ms) if isinstance(now_ms, int) else now_ms))).select("media_id", F.col("m.at").alias("trashed_ms"))
 
 
 def stream_publish(results: DataFrame, live: DataFrame) -> DataFrame:
@@ -115,18 +135,20 @@ def stream_publish(results: DataFrame, live: DataFrame) -> DataFrame:
     return results.join(live.select(*FENCE), FENCE, "left_semi")
 
 
-def stream_revision(stream: DataFrame, path: str, columns: list[str], checkpoint: str):
-    """Counts, for each micro-batch, the changes to the listed columns and appends (batch, changes) under `path`."""
+def stream_revision(stream: DataFrame, path: str, columns: list[str], checkpoint: str, keep: int = 3):
+    """Counts, for each micro-batch, the changes to the listed columns, under `path`/changes/batch=number.
+
+    A batch that runs again before its state was published writes its own folder anew; after that
+    it changes nothing.
+    """
     def count(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = read_published(spark, f"{path}/state")
-        except Exception as e:  # the first batch finds nothing published
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        new = latest_revisions(old, batch)
-        domain_revision(old, new, "media_id", columns).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{path}/changes")
-        publish(new, f"{path}/state", f"b{number}")
+        spark, state = batch.sparkSession, f"{path}/state"
+        last = published(spark, state)
+        if last is not None and last.batch >= number:
+            return
+        old = batch.limit(0) if last is None else read_published(spark, state)
+        new = cut_lineage(latest_revisions(old, batch))
+        domain_revision(old, new, "media_id", columns).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        publish(new, state, f"b{number}", number, keep)
 
     return stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -221,3 +221,51 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_edit_distance_equals_the_full_table():
+    import random
+
+    import numpy as np
+
+    def slow(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    r = random.Random(5)
+    for n in [0, 1, 2, 5, 20, 90] * 25:
+        x = [r.randrange(r.choice([2, 5, 50])) for _ in range(n)]
+        y = [c for c in x if r.random() > 0.1]
+        for _ in range(r.randint(0, n // 3 + 2)):
+            y.insert(r.randint(0, len(y)), r.randrange(6))
+        if r.random() < 0.2:
+            y = [r.randrange(5) for _ in range(r.randint(0, 150))]
+        assert ev.edit_distance(np.array(x, int), np.array(y, int)) == slow(x, y), (x, y)
+    long = np.arange(200_000) % 97
+    assert ev.edit_distance(long, np.concatenate([[5], long[:-1]])) <= 2 and ev.edit_distance(long, np.where(np.arange(200_000) % 1000 == 0, 500, long)) == 200
+
+
+def test_near_pairs_of_many_copies_and_tiles(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(50_000).select("id", F.lit(3).cast("long").alias("bits")).union(spark.createDataFrame([(90_000, 1), (90_001, (1 << 40) - 1), (90_002, None)], "id long, bits long"))
+    assert [tuple(r) for r in dedup.near_pairs(copies).collect()] == [(1, 3, 1)]
+    some = spark.range(300).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("bits"))
+    whole = sorted(map(tuple, dedup.near_pairs(some, 6).collect()))
+    assert whole == sorted(map(tuple, dedup.near_pairs(some, 6, tile=40).collect())) and len(whole) > 100
+
+
+def test_fingerprint_decoder_and_failures(spark):
+    from pyspark.sql import functions as F
+
+    live = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", 1, 1)], "media_id string, content_revision long, access_epoch long")
+    content = spark.createDataFrame([("a", "xy"), ("b", ""), ("c", "z")], "media_id string, content string")
+    decoder = lambda c: F.when(c != "", F.length(c).cast("long"))
+    good, bad = dedup.fingerprint(live, content, decoder)
+    assert {(r.media_id, r.bits) for r in good.collect()} == {("a", 2), ("c", 1)} and {r.media_id for r in bad.collect()} == {"b", "d"}
+    good, again = dedup.fingerprint(live, content, decoder, bad)
+    assert good.count() == 2 and again.count() == 0

@@ -68,6 +68,47 @@ def test_dedup(spark, tmp_path):
     assert sorted(r.sha for r in got.collect()) == ["x", "y", "z"]
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    schema = "media_id string, content_revision long, access_epoch long"
+    batch = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], schema)
+    held = {}
+
+    class Replay:  # hands the sink's function out
+        def __getattr__(self, name):
+            return lambda *a, **k: held.setdefault("f", a[0]) and self if name == "foreachBatch" else self
+
+    class Stream:
+        writeStream = Replay()
+
+    out = str(tmp_path / "out")
+    jobs.stream_ingest(Stream(), out, "unused")
+    fold = held.pop("f")
+    fold(batch, 0)
+    first = catalog.published(spark, out)
+    fold(batch, 0)
+    assert catalog.published(spark, out) == first
+    for k in range(1, 6):
+        fold(spark.createDataFrame([("a", k, 1)], schema), k)
+    assert catalog.read_published(spark, out).count() == 2 and len(list((tmp_path / "out").glob("generation=*"))) == 3
+    rev = str(tmp_path / "rev")
+    jobs.stream_revision(Stream(), rev, ["content_revision"], "unused")
+    count = held.pop("f")
+    count(batch, 0)
+    count(batch, 0)
+    count(spark.createDataFrame([("a", 7, 1)], schema), 1)
+    count(spark.createDataFrame([("a", 7, 1)], schema), 1)
+    assert {(r.batch, r.changes) for r in spark.read.parquet(f"{rev}/changes").collect()} == {(0, 2), (1, 1)}
+
+
+def test_a_late_trashing_does_not_expire_what_was_restored(spark, tmp_path):
+    day = 86_400
+    rows = [("a", "AVAILABLE", at(1800)), ("k", "AVAILABLE", at(1801)), ("a", "TRASHED", at(0)), ("k", "AVAILABLE", at(1802)), ("b", "TRASHED", at(1803)), ("k", "AVAILABLE", at(1804)), ("z", "AVAILABLE", at(40 * day)), ("z", "AVAILABLE", at(41 * day)), ("z", "AVAILABLE", at(42 * day)), ("z", "AVAILABLE", at(43 * day))]
+    schema = "media_id string, availability string, ts timestamp"
+    got = run(jobs.stream_retention(feed(spark, tmp_path, rows, schema, 5)), tmp_path, "late_trash")
+    want = jobs.retention_batch(spark.createDataFrame(rows, schema), int(at(43 * day).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and [r.media_id for r in want.collect()] == ["b"]
+
+
 def test_retention_timer(spark, tmp_path):
     day = 86_400
     rows = [("a", "TRASHED", at(0)), ("b", "TRASHED", at(0)), ("b", "AVAILABLE", at(day)), ("c", "AVAILABLE", at(day)), ("d", "AVAILABLE", at(40 * day)), ("e", "AVAILABLE", at(41 * day))]

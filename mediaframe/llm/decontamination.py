@@ -17,11 +17,20 @@ def _windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFram
     return starts.select("item", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("window"), "n").distinct()
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<key:bigint,size:int,pos:int>>")
+
+
+def _hash(words: Column, at: Column, size: int) -> Column:
+    """Hash of `size` words from a place on, word by word: nothing is joined for it."""
+    return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+
+
 def _shingles(words: Column, n: Column, sizes: list[int]) -> Column:
     """array<struct<key, size, pos>> of all shingles of the given sizes."""
     def of(size: int) -> Column:
         return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(
-            F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")).alias("key"), F.lit(size).alias("size"), i.alias("pos")))).otherwise(F.array().cast("array<struct<key:bigint,size:int,pos:int>>"))
+            _hash(words, i, size).alias("key"), F.lit(size).alias("size"), i.alias("pos")))).otherwise(_none())
 
     return F.concat(*[of(s) for s in sizes])
 
@@ -35,19 +44,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     hits of prefix shingles become candidate places if the window fits in (position and length),
     and the words there are compared. Null or empty texts have no words and no hits; null or empty
     items have no windows; items with a null id hit words but are not listed. Repeated rows each
-    get their result. Benchmark tables are broadcast only when their counted rows allow.
+    get their result; an empty table gives an empty result, an empty benchmark no hits; of a
+    window's shingles that tie in rarity the first is taken; texts of any length are taken whole.
+    Benchmark tables are broadcast only when their counted rows allow.
     """
     windows = cut_lineage(_windows(benchmark, item, item_text, width))
     distinct = windows.select("window", "n").distinct()
-    parts = distinct.select("window", "n", F.least("n", F.lit(shingle)).alias("size"), F.split("window", " ").alias("w")).select(
-        "window", "n", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, F.col("size")), " ")))).alias("off", "key"))
+    cut = distinct.select("window", "n", F.least("n", F.lit(shingle)).alias("size"), F.split("window", " ").alias("w"))
+    parts = cut.select("window", F.explode(F.concat(*[F.when(F.col("size") == s, _shingles(F.col("w"), F.col("n"), [s])).otherwise(_none()) for s in range(1, shingle + 1)])).alias("s"), "n").select(
+        "window", "n", F.col("s.size").alias("size"), F.col("s.pos").alias("off"), F.col("s.key").alias("key"))
     wanted = parts.select("key", "size").distinct()
     shape = wanted.agg(F.count("*"), F.collect_set("size")).first()
     sizes, small = sorted(shape[1]) or [shingle], shape[0] <= max_broadcast
     hint = F.broadcast if small else (lambda df: df)
 
     own = docs.select(F.col(key).alias("key_"), F.xxhash64(F.col(text)).alias("digest"), alnum_words(F.col(text)).alias("w"))
-    spread = own.select("key_", "digest", F.size("w").alias("n_words"), F.explode(let(F.col("w"), lambda w: _shingles(w, F.size(w), sizes))).alias("s")).select("key_", "digest", "n_words", "s.*")
+    # The words are gone before shingles become rows: what is carried along is copied into each of them.
+    listed_ = own.select("key_", "digest", F.size("w").alias("n_words"), let(F.col("w"), lambda w: _shingles(w, F.size(w), sizes)).alias("all"))
+    spread = listed_.select("key_", "digest", "n_words", F.explode("all").alias("s")).select("key_", "digest", "n_words", "s.*")
     met = cut_lineage(spread.join(hint(wanted), ["key", "size"]).select("key_", "digest", "n_words", "key", "size", "pos"))
 
     counts = met.groupBy("key", "size").agg(F.count("*").alias("seen"))
@@ -70,7 +84,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
     hits = cut_lineage(joined.select("key_", "digest", F.size("w").cast("long").alias("n_words"), verified(F.col("w"), F.col("places")).alias("hits")).select(
         F.monotonically_increasing_id().alias("row_"), "key_", "n_words", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["window"])).alias("windows")))
-    listed = hits.where("n_hit > 0").select("row_", F.explode("windows").alias("window")).join(windows.where("item is not null"), "window").groupBy("row_").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = windows.where("item is not null")
+    named = F.broadcast(named) if named.count() <= max_broadcast else named  # else a window that many texts hold is one key of a shuffle
+    listed = hits.where("n_hit > 0").select("row_", F.explode("windows").alias("window")).join(named, "window").groupBy("row_").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = hits.drop("windows").join(listed, "row_", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(F.col("key_").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       ((F.col("n_hit") > 0) & (F.col("n_hit") >= min_share * F.col("n_words"))).alias("contaminated"))

@@ -148,7 +148,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     component_id is the smallest key reachable over links of `radius` bits or fewer. Equal
     fingerprints are collapsed first, so a group of copies counts once. Rows with a null key get
-    their component's smallest key (null if it has none) and name no component.
+    their component's smallest key (null if it has none) and name no component. Null and empty
+    texts have fingerprint zero; repeated rows and rows of one key each get their result; an empty
+    table gives an empty result; a text of any length is one row's array of hashes. A bit that
+    exactly half of the hashes set is 0.
     """
     marked = cut_lineage(fingerprints(docs, text, key, size))
     distinct = cut_lineage(marked.groupBy("fingerprint").agg(F.min("key").alias("least")))

@@ -194,3 +194,11 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
     assert decontamination.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.decontaminate(documents(spark, []), bench).count() == 0
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    long = "word after word " * 1_250_000 + item  # about 20 MB
+    bench = spark.createDataFrame([(1, item), (2, "unseen " * 30)], "item_id long, text string")
+    got = decontamination.decontaminate(documents(spark, [(1, long), (2, item + " tail"), (3, None)]), bench)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (3_750_020, 20, 1, False), 2: (21, 20, 1, True), 3: (0, 0, 0, False)}

@@ -106,7 +106,13 @@ def o3_nms(t):
     return ev.nms(boxes)
 
 
-@query()
+#: Cosine weights summed over the four samples that fall on one of the eight rows, low coefficients, and their bits against the median.
+DCT = "SELECT u, s // 4 AS a, sum(cos(u * (2 * s + 1) * pi() / 64) * CASE WHEN u = 0 THEN sqrt(CAST(1 AS DOUBLE) / 32) ELSE sqrt(CAST(2 AS DOUBLE) / 32) END) AS d FROM range(8) t(u), range(32) r(s) GROUP BY 1, 2"
+LUMA = "SELECT event_id, i // 8 AS a, i % 8 AS b, (event_id * 31 + i * i * (user_id % 7 + 1)) % 256 AS x FROM events, range(64) t(i)"
+LOW = "SELECT event_id, p.u * 8 + q.u - 1 AS i, round(sum(p.d * q.d * x), 6) AS c FROM luma l JOIN dct p ON p.a = l.a JOIN dct q ON q.a = l.b WHERE p.u + q.u > 0 GROUP BY 1, 2"
+
+
+@query("SELECT event_id, CAST(sum(CASE WHEN c >= m THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END) AS BIGINT) AS bits FROM (SELECT *, list_sort(list(c) OVER (PARTITION BY event_id))[32] AS m FROM low) GROUP BY event_id", dct=DCT, luma=LUMA, low=LOW)
 def d2_dct_hash(t):
     luma = t.events.select("event_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.pmod(F.col("event_id") * 31 + i * i * (F.col("user_id") % 7 + 1), F.lit(256))).cast("int")).alias("luma"))
     return luma.select("event_id", dedup.dct_hash("luma", F.lit(8), F.lit(8)).alias("bits"))

@@ -159,6 +159,12 @@ def n3_parity(t):
     return vs.parity(vs.search_exact(e, hundredths(t), 10), vs.search_ann(e, hundredths(t), 10), 10)
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def n3_recall(t):
+    """Whether approximate search finds nine of ten true neighbours on the average, and half of any query's."""
+    return n3_parity(t).agg(F.count("*").alias("queries"), ((F.avg("recall") >= 0.9) & (F.min("recall") >= 0.5)).alias("enough"))
+
+
 @query(f"SELECT query_id, vec_id, rank FROM ({TOP.format(v='embeddings', n=1)}) WHERE rank <= 10 AND query_id < 8")
 def n4_probe_set(t):
     return vs.search_exact(t.embeddings, vs.probes(t.embeddings), 10).drop("score")

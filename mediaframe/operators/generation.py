@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mediaframe.functions.time import with_periods
 from mediaframe.operators.fence import current
-from mediaframe.plans.rank import bucketed_rank
+from mediaframe.plans.rank import ordered_rank
 
 
 def reconcile_scan(old: DataFrame, incoming: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -109,10 +109,10 @@ def pruned(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("generation_id").subtract(after.select("generation_id"))
 
 
-def append_keys(new: DataFrame, existing: DataFrame, order: Column, bucket: Column) -> DataFrame:
-    """Dense native keys for new rows, on from the largest one."""
-    top = existing.agg(F.coalesce(F.max("native_key"), F.lit(0)).alias("_top"))
-    return bucketed_rank(new, bucket, [order], descending=False).withColumn("_k", F.lit(1)).join(F.broadcast(top.withColumn("_k", F.lit(1))), "_k").withColumn("native_key", F.col("_top") + F.col("rank") + 1).drop("_k", "_top", "rank")
+def append_keys(new: DataFrame, existing: DataFrame, order: Column) -> DataFrame:
+    """Dense native keys for new rows in their order, on from the largest one (from 1, if there is none)."""
+    top = existing.agg(F.coalesce(F.max("native_key"), F.lit(0)).alias("_top"))  # one row
+    return ordered_rank(new, [order]).join(F.broadcast(top), F.lit(True)).withColumn("native_key", F.col("_top") + F.col("rank") + 1).drop("_top", "rank")
 
 
 def membership_digest(derived: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mediaframe.functions.time import LEVELS
-from mediaframe.plans.rank import asof_latest, bucketed_rank, hour_of
+from mediaframe.plans.rank import asof_latest, ordered_rank
 
 
 def newest_first() -> list[Column]:
@@ -25,17 +25,17 @@ def period_summary(v: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
 
 def feed_rank(v: DataFrame) -> DataFrame:
     """rank: rows strictly ahead in feed order (newest first, undated last)."""
-    return bucketed_rank(v, hour_of(F.col("sort_at")), newest_first())
+    return ordered_rank(v, newest_first())
 
 
 def day_position(v: DataFrame) -> DataFrame:
-    day = Window.partitionBy("day_key")
-    return v.withColumn("day_position", (F.row_number().over(day.orderBy(*newest_first())) - 1).cast("long")).withColumn("day_size", F.count("*").over(day))
+    """day_position and day_size: place among the rows of the day in feed order, and their number."""
+    return ordered_rank(v, newest_first(), "day_position", [F.col("day_key")], "day_size")
 
 
 def neighbours(v: DataFrame) -> DataFrame:
     """previous_id and next_id of every row in feed order."""
-    ranked = feed_rank(v).select("media_id", "rank")
+    ranked = feed_rank(v.select("media_id", "sort_at")).select("media_id", "rank")
     side = lambda name, step: ranked.select(F.col("media_id").alias(name), (F.col("rank") + step).alias("rank"))
     return ranked.join(side("previous_id", 1), "rank", "left").join(side("next_id", -1), "rank", "left").select("media_id", "rank", "previous_id", "next_id")
 
@@ -48,10 +48,10 @@ def covers(v: DataFrame, level: str, n: int = 3) -> DataFrame:
 
 def samples(v: DataFrame, level: str) -> DataFrame:
     """Oldest, lower middle and newest of each period in the order of time; all of three or fewer."""
-    w = Window.partitionBy(f"{level}_key")
-    at = v.withColumn("place", (F.row_number().over(w.orderBy(*oldest_first())) - 1).cast("long")).withColumn("size", F.count("*").over(w))
+    key = F.col(f"{level}_key")
+    at = ordered_rank(v.select(key.alias("key"), "sort_at", "media_id"), oldest_first(), "place", [F.col("key")], "size")
     chosen = (F.col("size") <= 3) | (F.col("place") == 0) | (F.col("place") == F.floor((F.col("size") - 1) / 2)) | (F.col("place") == F.col("size") - 1)
-    return at.where(chosen).select(F.col(f"{level}_key").alias("key"), "place", "media_id")
+    return at.where(chosen).select("key", "place", "media_id")
 
 
 def day_headers(v: DataFrame) -> DataFrame:
@@ -68,9 +68,9 @@ def timeline(v: DataFrame, level: str) -> DataFrame:
     return period_summary(v, (level,)).drop("level").join(head, "key").join(some, "key")
 
 
-def chunk(df: DataFrame, order: list[Column], bucket: Column, size: int) -> DataFrame:
+def chunk(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Ordered chunks of a fixed size."""
-    return bucketed_rank(df, bucket, order, descending=False).withColumn("chunk", F.floor(F.col("rank") / size).cast("long"))
+    return ordered_rank(df, order).withColumn("chunk", F.floor(F.col("rank") / size).cast("long"))
 
 
 def period_rank(v: DataFrame, level: str, anchors: DataFrame) -> DataFrame:

@@ -3,26 +3,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mediaframe.plans.lineage import cut_lineage
+
 
 def hour_of(instant: Column) -> Column:
     """Bucket of an instant; null (undated) stays null."""
     return F.floor(F.unix_timestamp(instant.cast("timestamp")) / 3600).cast("long")
 
 
-def bucketed_rank(df: DataFrame, bucket: Column, order: list[Column], descending: bool = True, name: str = "rank") -> DataFrame:
-    """Zero-based rank of every row, by bucket (null last), then `order` inside it.
+def ordered_rank(df: DataFrame, order: list[Column], name: str = "rank", group: list[Column] | None = None, size: str | None = None) -> DataFrame:
+    """Zero-based place of every row in `order`; with `group`, inside its group, whose row count goes to `size`.
 
-    Rows are numbered inside their bucket; the bucket's own rows before it are a running sum over
-    the small frame of bucket counts (one row an hour, for instants), which is broadcast.
+    Rows are dealt by range over group and order together and numbered inside their partition; what
+    lies before is a running sum over the counts of (partition, group). So one crowded group, such as
+    the undated rows or a year that holds everything, is cut by the order itself and never gathers in
+    one task. `order` should end in a key without many equals: rows equal in all of it stay together.
+    Range boundaries come from Spark's sample, so `df` is read twice; the counts are exact, and the
+    dealt rows are checkpointed, so that they stay where they were counted.
     """
-    marked = df.withColumn("_bucket", bucket)
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    by = F.col("_bucket").desc_nulls_last() if descending else F.col("_bucket").asc_nulls_last()
-    running = F.sum("_size").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
-    before = sizes.select("_bucket", F.coalesce(running, F.lit(0)).alias("_before"))
-    inside = marked.withColumn("_inside", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
-    joined = inside.join(F.broadcast(before.withColumnRenamed("_bucket", "_b")), F.col("_bucket").eqNullSafe(F.col("_b")))
-    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_b", "_before", "_inside")
+    named = [f"_g{i}" for i in range(len(group or []))]
+    by = [F.col(c).asc_nulls_first() for c in named]
+    dealt = df.withColumns(dict(zip(named, group or []))).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = cut_lineage(dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.expr("shiftright(_id, 33)")))
+    counts = placed.groupBy("_part", *named).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    whole = Window.partitionBy(*named)  # of a group there is one row a partition
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    frame = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"{c}_") for c in named], "_first", before.alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    same = F.col("_part") == F.col("_p")
+    for c in named:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    joined = placed.join(frame if named else F.broadcast(frame), same)  # without groups one row a partition
+    columns = {name: F.col("_id") - F.col("_first") + F.col("_before")} | ({size: F.col("_size")} if size else {})
+    return joined.select(*df.columns, *[v.cast("long").alias(k) for k, v in columns.items()])
 
 
 def asof_latest(anchors: DataFrame, rows: DataFrame, at: str, order: str, value: str) -> DataFrame:

@@ -254,7 +254,7 @@ def _faces(t: Tables):
     f = t.ai_face_detection.join(t.embeddings, F.substring("detection_id", 2, 20).cast("long") == F.col("vec_id"))
     from mediaframe.operators.timeline import chunk
 
-    return chunk(f.select("detection_id", "anchor_id", "embedding"), [F.col("detection_id")], F.substring("detection_id", 1, 8), 128)
+    return chunk(f.select("detection_id", "anchor_id", "embedding"), [F.col("detection_id")], 128)
 
 
 @query()
@@ -512,7 +512,7 @@ def g10_replace_media_rows(t):
 
 @query("SELECT media_id, (SELECT max(native_key) FROM ai_embedding) + row_number() OVER (ORDER BY media_id) AS native_key FROM media WHERE n % 3 = 0", "media", "ai_embedding")
 def w10_append_keys(t):
-    return gen.append_keys(t.media.where("n % 3 = 0").select("media_id"), t.ai_embedding, F.col("media_id"), F.substring("media_id", 1, 7)).select("media_id", "native_key")
+    return gen.append_keys(t.media.where("n % 3 = 0").select("media_id"), t.ai_embedding, F.col("media_id")).select("media_id", "native_key")
 
 
 @query("SELECT max(native_key) AS native_key FROM ai_embedding", "ai_embedding")

@@ -8,7 +8,6 @@ from mediaframe.functions.text import ocr_normalize, ocr_search_key, search_key
 from mediaframe.functions.time import effective_at, end_of_day, exif_instant, in_date_range, with_periods
 from mediaframe.operators import fence, search, timeline as tl
 from mediaframe.plans.paging import after, page, page_after
-from mediaframe.plans.rank import hour_of
 from mediaframe.queries.registry import AT, EL, M, V, Tables, query
 
 
@@ -103,7 +102,7 @@ def w6_day_headers(t):
 
 @query("SELECT media_id, (row_number() OVER (ORDER BY media_id) - 1) // 128 AS chunk FROM v", *M, v=V)
 def w11_chunks(t):
-    return tl.chunk(shown(t), [F.col("media_id")], F.substring("media_id", 1, 7), 128).select("media_id", "chunk")
+    return tl.chunk(shown(t), [F.col("media_id")], 128).select("media_id", "chunk")
 
 
 @query("SELECT week_key AS key, count(*) AS items, arg_max(media_id, (coalesce(sort_at, TIMESTAMP '0001-01-01'), media_id)) AS cover_id, least(count(*), 3) AS samples FROM v GROUP BY 1", *M, v=V)

@@ -19,6 +19,9 @@ LOWER = IDENTITY.copy()
 LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no part of words of ASCII letters and digits and all characters beyond ASCII.
+MARKS = np.zeros(256, bool)
+MARKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,17 +56,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count())
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, and where each text begins; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
 
-def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACES) -> Words:
-    """All words of a string column; null counts as empty. Works on about a megabyte at a time."""
-    raw, offsets = _flat(column)
-    data = LOWER[raw] if lower else raw
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and the first word of each text (one more than texts)."""
     inside = ~separators[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -74,7 +76,15 @@ def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray =
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, _hashes(data, start, end), np.searchsorted(start, offsets))
+    return start, end, np.searchsorted(start, offsets)
+
+
+def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACES) -> Words:
+    """All words of a string column; null counts as empty. Works on about a megabyte at a time."""
+    raw, offsets = flat_text(column)
+    data = LOWER[raw] if lower else raw
+    start, end, first = word_bounds(data, offsets, separators)
+    return Words(data, start, end, _hashes(data, start, end), first)
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediaframe.llm import decontamination, html_text, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from mediaframe.llm import decontamination, exact_dedup, html_text, lexical_search, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, target_resampling, url_filter
+from mediaframe.plans.lineage import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +61,24 @@ def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_target_resampling(spark, sf_dir):
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of an index that begins empty
+    index = exact_dedup.DigestIndex(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}", docs.schema["doc_id"].dataType, buckets)
+    return exact_dedup.deduplicate(docs, index)
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_license_scans, op8_url_filters, op9_benchmark_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_license_scans, op8_url_filters, op9_benchmark_decontamination, op10_quality_classifier,
+                                    op11_target_resampling, op12_exact_dedup, op13_ranked_search)}
 
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -117,6 +136,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: CRC-32 by a table made from its polynomial, byte by byte of each distinct feature.
+OP11_SQL = rf"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS f FROM d, range(1, 4) n(k), unnest(range(1, greatest(len(w) - k + 2, 1))) t(i)),
+bf AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS f FROM b, range(1, 4) n(k), unnest(range(1, greatest(len(w) - k + 2, 1))) t(i)),
+both_ AS (SELECT f, sum(s) AS s, sum(t) AS t FROM (SELECT f, 1 AS s, 0 AS t FROM df UNION ALL SELECT f, 0, 1 FROM bf) GROUP BY f),
+named AS MATERIALIZED (SELECT f, s, t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT)),
+  lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket FROM both_, tab),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM
+  (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM named GROUP BY bucket), (SELECT sum(s)::DOUBLE AS big_s, sum(t)::DOUBLE AS big_t FROM named)),
+wt AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN named USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+sc AS (SELECT doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN wt USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM sc LEFT JOIN r USING (doc_id)
+"""
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 
 def oracle_sql():
-    return {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_target_resampling": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_ranked_search": OP13_SQL}

@@ -25,10 +25,15 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, key: DataType, buckets: int):
         self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
 
-    def table(self) -> DataFrame:
-        """The index as a bucketed table. Only the session's catalogue forgets the name again, the files stay."""
+    def _named(self) -> str:
+        """A passing name for the folder in the session's catalogue; dropping it leaves the files."""
         name = f"digests_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id {self.key.simpleString()}) USING parquet LOCATION '{self.path}' CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+        return name
+
+    def table(self) -> DataFrame:
+        """The index as a bucketed table, as it is now."""
+        name = self._named()
         try:
             return self.spark.table(name).select("digest", "keep_id")
         finally:
@@ -40,10 +45,11 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> None:
         """Adds (digest, keep_id) rows whose digests are not in the index yet."""
-        name = f"digests_{uuid.uuid4().hex}"
-        dealt = groups.select("digest", "keep_id").repartition(self.buckets, "digest")  # a task is a bucket, so a bucket gets one file
-        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")
+        name = self._named()
+        try:  # a task is a bucket, so a bucket gets one file
+            groups.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
 
 
 def digest_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,19 +25,37 @@ def search_key(text: Column) -> Column:
     return F.lower(nfc(text))
 
 
+def _tidy_lines(text: Column) -> Column:
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[\t ]+", " "))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def ocr_normalize(text: Column) -> Column:
     """NFC; each line trimmed, runs of tabs and blanks made one blank, empty lines dropped."""
-    lines = F.transform(F.split(nfc(text), "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[\t ]+", " "))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return _tidy_lines(nfc(text))
+
+
+def _one_line(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def ocr_search_key(text: Column) -> Column:
-    return F.lower(F.replace(ocr_normalize(text), F.lit("\n"), F.lit(" ")))
+    return _one_line(ocr_normalize(text))
+
+
+def typed(text: str) -> Column:
+    """`search_key` of what a user typed, as a constant."""
+    return F.lower(F.lit(unicodedata.normalize("NFC", text)))
+
+
+def typed_ocr(text: str) -> Column:
+    """`ocr_search_key` of what a user typed, as a constant."""
+    return _one_line(_tidy_lines(F.lit(unicodedata.normalize("NFC", text))))
 
 
-def contains_literal(key: Column, query: str) -> Column:
+def contains_literal(key: Column, query: str | Column) -> Column:
     """Substring match in which %, _ and quotes mean themselves."""
-    return F.contains(key, F.lit(query))
+    return F.contains(key, F.lit(query) if isinstance(query, str) else query)
 
 
 #: Recognised text regions as they are stored: corners and text, from top to bottom.

@@ -49,20 +49,36 @@ def stable(start: DataFrame, end: DataFrame) -> DataFrame:
     return moved.withColumn("stable", F.col("moved") == 0)
 
 
-def reconcile_imports(media: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Import rows against the files present (media_id, file_revision, file_size): a changed revision or size
-    clears what was read from the file; unseen available rows are MISSING; trashed ones stay."""
-    inv = inventory.select("media_id", "file_revision", "file_size")
-    joined = media.join(inv, "media_id", "left")
-    fixed = F.col("availability").isin("TRASHED", "PURGING") | (F.col("source") == "DEVICE")
-    seen = F.col("file_revision").isNotNull()
-    changed = ~fixed & seen & ((F.col("file_revision") != F.col("content_revision")) | ~F.col("file_size").eqNullSafe(F.col("size")))
-    return joined.withColumns({
-        "availability": F.when(fixed, F.col("availability")).when(seen, "AVAILABLE").otherwise("MISSING"),
-        "exif_taken_at": F.when(changed, F.lit(None)).otherwise(F.col("exif_taken_at")),
-        "content_revision": F.when(changed, F.col("file_revision")).otherwise(F.col("content_revision")),
-        "size": F.when(changed, F.col("file_size")).otherwise(F.col("size")),
-    }).drop("file_revision", "file_size")
+def reconcile_imports(media: DataFrame, inventory: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The catalogue after a look at the import files present: `inventory` has media_id, file_revision, file_size, modified_at.
+
+    New files are inserted as available imports dated by their modification. A file of another revision or
+    size loses what was read from it: a capture date that came from the file goes, others stay. Seen
+    imports are AVAILABLE, and one that was not gets the next access epoch, so that what was derived
+    before does not count again; unseen ones are MISSING. Trashed and purging imports and device rows
+    stay as they are. Periods are computed anew. `media` has source, availability, content_revision,
+    access_epoch, size, taken_at, added_at, date_source; further columns of a new row are null.
+    """
+    inv = inventory.select(F.col("media_id").alias("_id"), "file_revision", "file_size", "modified_at", F.lit(True).alias("_seen"))
+    both = media.join(inv, F.col("media_id") == F.col("_id"), "full_outer")
+    new, seen = F.col("media_id").isNull(), F.col("_seen").isNotNull()
+    open_ = (F.col("source") != "DEVICE") & ~F.col("availability").isin("TRASHED", "PURGING")
+    back = open_ & seen & (F.col("availability") != "AVAILABLE")
+    changed = open_ & seen & ~(F.col("file_revision").eqNullSafe(F.col("content_revision")) & F.col("file_size").eqNullSafe(F.col("size")))
+    read = changed & (F.col("date_source") == "EXIF")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    values = {
+        "media_id": F.coalesce("media_id", "_id"),
+        "source": F.when(new, "GOOGLE_IMPORT").otherwise(F.col("source")),
+        "availability": F.when(new | is_(open_ & seen), "AVAILABLE").when(is_(open_), "MISSING").otherwise(F.col("availability")),
+        "access_epoch": F.when(new, 1).otherwise(F.col("access_epoch") + is_(back).cast("int")).cast("long"),
+        "content_revision": F.when(new | is_(changed), F.col("file_revision")).otherwise(F.col("content_revision")),
+        "size": F.when(new | is_(changed), F.col("file_size")).otherwise(F.col("size")),
+        "taken_at": F.when(~is_(read), F.col("taken_at")),
+        "added_at": F.when(new, F.col("modified_at")).otherwise(F.col("added_at")),
+        "date_source": F.when(new, F.when(F.col("modified_at").isNull(), "UNKNOWN").otherwise("FILE_MODIFIED")).when(is_(read), "FILE_MODIFIED").otherwise(F.col("date_source")),
+    }
+    return with_periods(both.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in media.columns]), zone)
 
 
 def apply_exif(media: DataFrame, exif: DataFrame) -> DataFrame:

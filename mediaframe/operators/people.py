@@ -1,12 +1,17 @@
 """Faces to people: clustering in bounded windows, then manual corrections."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mediaframe.plans.graph import connected_components
 from mediaframe.plans.lineage import cut_lineage
 
+SIDES = ("off", "rest")
+
 
 def canonical(merges: DataFrame) -> DataFrame:
     """(person_id, root): the end of each merge chain, by pointer doubling; a cycle is an error.
@@ -28,7 +33,47 @@ def canonical(merges: DataFrame) -> DataFrame:
 
 
 def merged_sources(merges: DataFrame, person_id: str) -> DataFrame:
-    return canonical(merges).where(F.col("root") == person_id).select("person_id")
+    """All persons merged, over any number of steps, into the one that this person stands for by now."""
+    roots = canonical(merges)
+    target = roots.where(F.col("person_id") == person_id).agg(F.coalesce(F.first("root"), F.lit(person_id)).alias("target"))  # one row
+    return roots.join(F.broadcast(target), F.col("root") == F.col("target")).select("person_id")
+
+
+def replay_merges(log: DataFrame) -> DataFrame:
+    """The log (seq, action MERGE or UNMERGE, from_person_id, into_person_id) with an outcome for each edit.
+
+    Edits count in the order of `seq`. A merge into oneself, or one that would close a cycle as things stand
+    then, is 'rejected' and changes nothing; a later merge or unmerge of the same person makes an
+    earlier one 'superseded'; an unmerge is 'applied', or 'idle' if there was nothing to undo; the merges
+    left are 'in force' and can be given to `canonical`. Persons that no edit ties together do not
+    meet: each connected component of the log is replayed by itself, so a component's edits, which
+    people make by hand, must fit into one task.
+    """
+    edits = cut_lineage(log.select("seq", "action", "from_person_id", "into_person_id"))
+    part = connected_components(edits, "from_person_id", "into_person_id").select(F.col("node").alias("from_person_id"), "component")
+    grouped = edits.join(part, "from_person_id", "left").withColumn("component", F.coalesce("component", "from_person_id"))
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
+        into, by, outcome = {}, {}, []
+        for i, (action, a, b) in enumerate(zip(rows["action"], rows["from_person_id"], rows["into_person_id"])):
+            if action == "MERGE":
+                end = b
+                while end != a and end in into:
+                    end = into[end]
+                if end == a:
+                    outcome.append("rejected")
+                    continue
+            outcome.append("in force" if action == "MERGE" else "applied" if a in into else "idle")
+            if a in by:
+                outcome[by.pop(a)] = "superseded"
+                del into[a]
+            if action == "MERGE":
+                into[a], by[a] = b, i
+        return rows.assign(outcome=outcome)[["seq", "action", "from_person_id", "into_person_id", "outcome"]]
+
+    schema = edits.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",outcome:string"
+    return grouped.groupBy("component").applyInPandas(replay, schema.replace(":", " "))
 
 
 def visible_faces(faces: DataFrame, live: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -59,27 +104,33 @@ def excluded_faces(resolved: DataFrame) -> DataFrame:
     return resolved.where("excluded").select("detection_id", "anchor_id")
 
 
-def cluster_faces(faces: DataFrame, cannot_link: DataFrame, threshold: float = 0.363, window: int = 128) -> DataFrame:
+def cluster_faces(faces: DataFrame, sides: DataFrame, threshold: float = 0.363, window: int = 128) -> DataFrame:
     """(detection_id, anchor_id, cluster_id): greedy complete-link clusters inside windows of faces.
 
-    `faces` has chunk (a window of at most `window` faces), detection_id, anchor_id, embedding.
-    In a window, by anchor, a face joins the first cluster all of whose members are at the
-    threshold or above and none of which it must not join; else it begins 'auto:' + its anchor.
+    `faces` has chunk (a window of at most `window` faces), detection_id, anchor_id, embedding; `sides`
+    (anchor_id, side, owner) says what must stay apart. In a window, by anchor, a face joins the first
+    cluster all of whose members are at the threshold or above and on no other side of an owner; else
+    it begins 'auto:' + its anchor.
     """
-    links = cannot_link.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda n: faces.select(F.col("chunk").alias(f"chunk_{n}"), F.col("anchor_id").alias(n)).distinct()
-    by_chunk = links.join(side("a"), "a").join(side("b"), "b").where("chunk_a = chunk_b").select(F.col("chunk_a").alias("chunk"), "a", "b")
+    where = faces.select(F.col("chunk").alias("in_chunk"), F.col("anchor_id").alias("of")).distinct()
+    known = sides.join(where, sides["anchor_id"] == where["of"]).select(F.col("in_chunk").alias("chunk"), F.col("of").alias("anchor_id"), "side", "owner")
 
-    def greedy(f: pd.DataFrame, forbidden: pd.DataFrame) -> pd.DataFrame:
+    def greedy(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["anchor_id", "detection_id"])
         v = np.stack(f["embedding"].map(lambda x: np.asarray(x, float)))
         n = np.linalg.norm(v, axis=1)
         unit = v / np.where(n > 0, n, 1)[:, None]
-        similar = np.where((n[:, None] > 0) & (n[None, :] > 0), unit @ unit.T, -1.0)
-        apart, anchors, clusters, out = set(zip(forbidden["a"], forbidden["b"])), f["anchor_id"].tolist(), [], []
+        near = (np.where((n[:, None] > 0) & (n[None, :] > 0), unit @ unit.T, -1.0) >= threshold)
+        anchors, place = f["anchor_id"].tolist(), {}
         for i, a in enumerate(anchors):
+            place.setdefault(a, []).append(i)
+        for _, own in held.groupby("owner"):
+            left, right = ([i for a in own.loc[own["side"] == s, "anchor_id"] for i in place[a]] for s in SIDES)
+            near[np.ix_(left, right)] = near[np.ix_(right, left)] = False
+        clusters, out = [], []
+        for i in range(len(anchors)):
             for c in clusters:
-                if all(similar[i, j] >= threshold and (min(a, anchors[j]), max(a, anchors[j])) not in apart for j in c):
+                if near[i, c].all():
                     c.append(i)
                     break
             else:
@@ -87,7 +138,7 @@ def cluster_faces(faces: DataFrame, cannot_link: DataFrame, threshold: float = 0
             out.append("auto:" + anchors[c[0]])
         return pd.DataFrame({"detection_id": f["detection_id"].to_numpy(), "anchor_id": anchors, "cluster_id": out})
 
-    return faces.select("chunk", "detection_id", "anchor_id", "embedding").groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInPandas(
+    return faces.select("chunk", "detection_id", "anchor_id", "embedding").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(
         lambda f, l: greedy(f, l) if len(f) else pd.DataFrame({"detection_id": [], "anchor_id": [], "cluster_id": []}, dtype=object), "detection_id string, anchor_id string, cluster_id string")
 
 
@@ -97,20 +148,52 @@ def apply_edits(log: DataFrame) -> DataFrame:
     return last.select("anchor_id", F.col("e.action").alias("decision"), "e.person_id").where("decision <> 'CLEAR'")
 
 
-def split_person(resolved: DataFrame, anchors: DataFrame, person_id: str) -> DataFrame:
-    """Cannot-link rows (a, b, owner) between the anchors split off and the person's others.
+@dataclass
+class PeopleState:
+    """Decisions (anchor_id, decision, person_id), sides (anchor_id, side, owner) and splits (person_id, from_person_id).
 
-    The two sides are those of one person, whose pairs are the result itself.
+    Two anchors must stay apart where an owner has them on different sides. So a split costs one row a
+    face, not one a pair.
     """
-    own = resolved.where((F.col("person_id") == person_id) & ~F.col("excluded")).select("anchor_id", "person_id").distinct()
-    off = own.join(anchors.select("anchor_id"), "anchor_id", "left_semi").withColumnRenamed("anchor_id", "x")
-    rest = own.join(anchors.select("anchor_id"), "anchor_id", "left_anti").withColumnRenamed("anchor_id", "y")
-    return off.join(rest, "person_id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(f"split:{person_id}").alias("owner"))
+    decisions: DataFrame
+    sides: DataFrame
+    splits: DataFrame
 
 
-def undo_split(owners: DataFrame, owner: str) -> DataFrame:
-    """Owner rows without one owner; a pair lives while any owner is left."""
-    return owners.where(F.col("owner") != owner)
+def split_person(state: PeopleState, resolved: DataFrame, anchors: DataFrame, person_id: str, new_person_id: str) -> PeopleState:
+    """The anchors become the new person's, and stay apart from the other faces of the old one that are not excluded."""
+    moved = anchors.select("anchor_id").distinct()
+    rest = resolved.where((F.col("person_id") == person_id) & ~F.col("excluded")).select("anchor_id").distinct().join(moved, "anchor_id", "left_anti")
+    owner = F.lit(f"split:{new_person_id}").alias("owner")
+    sides = moved.select("anchor_id", F.lit(SIDES[0]).alias("side"), owner).union(rest.select("anchor_id", F.lit(SIDES[1]), owner))
+    assigned = moved.select("anchor_id", F.lit("ASSIGN").alias("decision"), F.lit(new_person_id).alias("person_id"))
+    one = state.decisions.sparkSession.range(1).select(F.lit(new_person_id).alias("person_id"), F.lit(person_id).alias("from_person_id"))
+    return PeopleState(state.decisions.select("anchor_id", "decision", "person_id").join(moved, "anchor_id", "left_anti").unionByName(assigned), state.sides.unionByName(sides), state.splits.unionByName(one))
+
+
+def undo_split(state: PeopleState, new_person_id: str) -> PeopleState:
+    """The anchors assigned to the split person go back to the one it came from, and its owner's sides go; without such a split nothing changes.
+
+    What another owner keeps apart stays apart.
+    """
+    undone = F.broadcast(state.splits.where(F.col("person_id") == new_person_id).select("person_id", F.col("from_person_id").alias("_back")).distinct())  # one row at most
+    given = (F.col("decision") == "ASSIGN") & F.col("_back").isNotNull()
+    decisions = state.decisions.join(undone, "person_id", "left").select("anchor_id", "decision", F.when(given, F.col("_back")).otherwise(F.col("person_id")).alias("person_id"))
+    owner = undone.select(F.concat(F.lit("split:"), "person_id").alias("owner"))
+    return PeopleState(decisions, state.sides.join(owner, "owner", "left_anti").select("anchor_id", "side", "owner"), state.splits.where(F.col("person_id") != new_person_id))
+
+
+def keep_apart(pairs: DataFrame) -> DataFrame:
+    """Sides of pairs (a, b) that a user sets apart by hand, each pair under an owner of its own."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("owner", F.concat(F.lit("manual:"), "a", F.lit("|"), "b"))
+    return ordered.select(F.col("a").alias("anchor_id"), F.lit(SIDES[0]).alias("side"), "owner").union(ordered.select("b", F.lit(SIDES[1]), "owner"))
+
+
+def apart(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), in either order, those that an owner has on different sides; each once, smaller id first."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: sides.select(F.col("anchor_id").alias(n), F.col("side").alias(f"side_{n}"), "owner")
+    return ordered.join(side("a"), "a").join(side("b"), ["b", "owner"]).where("side_a <> side_b").select("a", "b").distinct()
 
 
 def rewrite_ids(table: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
@@ -131,9 +214,3 @@ def name_uuid(column: str) -> Column:
     h = F.md5(F.col(column))
     variant = F.substring(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("long").bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))), 1, 2)
     return F.lower(F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 19, 2), F.lit("-"), F.substring(h, 21, 12)))
-
-
-def linked(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), in either order, those that a link connects; each once, smaller id first."""
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered(pairs).distinct().join(ordered(links), ["a", "b"], "left_semi")

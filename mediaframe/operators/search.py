@@ -5,34 +5,40 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediaframe.functions.text import contains_literal, search_key
+from mediaframe.functions.text import contains_literal, ocr_search_key, search_key, typed, typed_ocr
 from mediaframe.functions.time import effective_at, in_date_range
-from mediaframe.operators.fence import current, eligible, visible
+from mediaframe.operators.fence import current, visible
 
 
 @dataclass(frozen=True)
 class CatalogSearch:
-    """Conditions that must all hold; unset ones do not restrict."""
+    """Conditions that must all hold; unset, empty and (for tag and recognised text) blank ones do not restrict.
+
+    What is typed is normalised as the catalogue's keys are: NFC and lower case; a tag is trimmed; recognised
+    text also has its blanks and lines made alike, and is looked for in one generation.
+    """
     name: str | None = None
     start: str | None = None
     until: str | None = None
     source: str | None = None
     tag: str | None = None
     ocr: str | None = None
+    ocr_generation: str | None = None
     album_id: str | None = None
     favorite: bool = False
     folder: tuple[str, str, str] | None = None  # volume, bucket, path
     include_protected: bool = False
     limit: int = 60
+    offset: int = 0
 
 
 def catalog_search(tables: dict[str, DataFrame], search: CatalogSearch) -> DataFrame:
-    """Matching media, newest first, at most `limit` (1 to 120)."""
-    if not 1 <= search.limit <= 120:
-        raise ValueError("limit must be 1 to 120")
+    """Matching media, newest first, at most `limit` (1 to 120) after the first `offset`."""
+    if not 1 <= search.limit <= 120 or search.offset < 0:
+        raise ValueError("limit must be 1 to 120, offset 0 or more")
     v = visible(tables["media"], tables["exposure"], search.include_protected).withColumn("sort_at", effective_at(F.col("taken_at"), F.col("added_at")))
     if search.name:
-        v = v.where(contains_literal(search_key(F.col("display_name")), search.name))
+        v = v.where(contains_literal(search_key(F.col("display_name")), typed(search.name)))
     if search.start or search.until:
         v = v.where(in_date_range(F.col("sort_at"), search.start, search.until))
     if search.source:
@@ -40,27 +46,27 @@ def catalog_search(tables: dict[str, DataFrame], search: CatalogSearch) -> DataF
     if search.folder:
         volume, bucket, path = search.folder
         v = v.where((F.col("source") == "DEVICE") & (F.col("volume_name") == volume) & (F.coalesce("bucket_id", F.lit("")) == bucket) & (F.coalesce("relative_path", F.lit("")) == path))
-    if search.tag:
-        v = v.join(tables["media_tag"].where(F.col("tag_key") == search.tag), "media_id", "left_semi")
+    if search.tag and search.tag.strip():
+        v = having_tag(v, tables["media_tag"], search.tag)
     if search.album_id:
         v = v.join(tables["album_media"].where(F.col("album_id") == search.album_id), "media_id", "left_semi")
     if search.favorite:
         v = v.join(tables["favorite"], "media_id", "left_semi")
-    if search.ocr:
-        found = ocr_search(tables["ai_ocr_result"], eligible(tables["media"], tables["exposure"]), search.ocr)
-        v = v.join(found, "media_id", "left_semi")
-    return v.orderBy(F.col("sort_at").desc_nulls_last(), F.col("media_id").desc()).limit(search.limit)
-
+    if search.ocr and search.ocr.strip():
+        if not search.ocr_generation:
+            raise ValueError("recognised text is searched in a named generation")
+        v = v.join(ocr_search(tables["ai_ocr_result"], v, search.ocr, search.ocr_generation), "media_id", "left_semi")
+    return v.orderBy(F.col("sort_at").desc_nulls_last(), F.col("media_id").desc()).offset(search.offset).limit(search.limit)
 
-def ocr_search(ocr: DataFrame, live: DataFrame, query: str) -> DataFrame:
-    """Current recognised texts that hold the query literally."""
-    from mediaframe.functions.text import ocr_search_key
 
-    return current(ocr, live).where(contains_literal(ocr_search_key(F.col("display_text")), query))
+def ocr_search(ocr: DataFrame, live: DataFrame, query: str, generation_id: str) -> DataFrame:
+    """Recognised texts of a generation that still hold for a row of `live` and hold the query."""
+    return current(ocr.where(F.col("generation_id") == generation_id), live).where(contains_literal(ocr_search_key(F.col("display_text")), typed_ocr(query)))
 
 
-def having_tag(v: DataFrame, tags: DataFrame, key: str) -> DataFrame:
-    return v.join(tags.where(F.col("tag_key") == key), "media_id", "left_semi")
+def having_tag(v: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
+    """Rows with a tag, as a user may type it."""
+    return v.join(tags.where(F.col("tag_key") == typed(tag.strip())), "media_id", "left_semi")
 
 
 def in_album(v: DataFrame, members: DataFrame, album_id: str) -> DataFrame:

@@ -73,9 +73,11 @@ def a14_hash_buckets(t):
     return hashes(t).groupBy("bits").agg(F.count("*").alias("items"))
 
 
-@query("SELECT id FROM d WHERE sha = (SELECT sha256('x'))", d=DOCS)
+@query("SELECT id FROM d WHERE sha = (SELECT min(sha) FROM (SELECT sha FROM d GROUP BY sha HAVING count(*) > 1))", d=DOCS)
 def t5_exact_members(t):
-    return dedup.exact_members(contents(t), "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881")
+    """Members of the exact group of smallest digest."""
+    first = dedup.exact_groups(contents(t)).agg(F.min("sha")).first()[0]
+    return dedup.exact_members(contents(t), first or "")
 
 
 REQUESTED = "SELECT DISTINCT least(id, (id * 7) % 460) AS left_id, greatest(id, (id * 7) % 460) AS right_id FROM fp WHERE id <> (id * 7) % 460 UNION SELECT id, id + 460 FROM fp WHERE id + 460 < 500"
@@ -217,9 +219,9 @@ def j10_canonical(t):
     return people.canonical(t.person_merge)
 
 
-@query("SELECT f AS person_id FROM roots WHERE r = 'p0'", "person_merge", roots=ROOTS)
+@query("SELECT f AS person_id FROM roots WHERE r = coalesce((SELECT r FROM roots WHERE f = 'p1'), 'p1')", "person_merge", roots=ROOTS)
 def f7_merged_sources(t):
-    return people.merged_sources(t.person_merge, "p0")
+    return people.merged_sources(t.person_merge, "p1")
 
 
 @query("SELECT detection_id, decision, person_id FROM ai_face_detection d JOIN el ON el.media_id = d.media_id LEFT JOIN person_face_decision p ON p.anchor_id = d.anchor_id", "media", "exposure", *P, el=EL)
@@ -260,7 +262,7 @@ def _faces(t: Tables):
 @query()
 def f2_cluster_faces(t):
     links = t.ai_face_detection.where("detection_id like '%7'").select(F.col("anchor_id").alias("a"), F.lit("f000000").alias("b"))
-    return people.cluster_faces(_faces(t), links)
+    return people.cluster_faces(_faces(t), people.keep_apart(links))
 
 
 LOG = "SELECT anchor_id, CAST(substr(detection_id, 2) AS BIGINT) AS s FROM ai_face_detection"
@@ -275,23 +277,84 @@ def f5_apply_edits(t):
     return people.apply_edits(first.union(second).union(third))
 
 
-@query("SELECT least(x.anchor_id, y.anchor_id) AS a, greatest(x.anchor_id, y.anchor_id) AS b, 'split:p0' AS owner FROM (SELECT DISTINCT anchor_id FROM res WHERE person_id = 'p0' AND NOT excluded AND anchor_id LIKE '%1') x, (SELECT DISTINCT anchor_id FROM res WHERE person_id = 'p0' AND NOT excluded AND NOT anchor_id LIKE '%1') y", *P, roots=ROOTS, res=RESOLVED)
+#: Each user's edits over five persons of their own, in the order of events.
+EDITS = "SELECT event_id AS seq, CASE WHEN event_id % 4 = 3 THEN 'UNMERGE' ELSE 'MERGE' END AS action, 'u' || user_id || '-' || (event_id % 5) AS from_person_id, 'u' || user_id || '-' || ((event_id * 3 + CAST(floor(value) AS BIGINT)) % 5) AS into_person_id FROM events"
+#: One edit of each user a step; `m` holds who is merged into whom, `e` the edit that did it, `o` the outcomes.
+REPLAYED = """SELECT seq, outcome FROM (WITH RECURSIVE n AS (SELECT *, split_part(from_person_id, '-', 1) AS u, row_number() OVER (PARTITION BY split_part(from_person_id, '-', 1) ORDER BY seq) AS i FROM edits),
+ w(u, i, m, e, o) AS (SELECT DISTINCT u, 0::BIGINT, MAP {}::MAP(VARCHAR, VARCHAR), MAP {}::MAP(VARCHAR, BIGINT), MAP {}::MAP(BIGINT, VARCHAR) FROM n
+ UNION ALL SELECT u, i, CASE WHEN bad THEN m WHEN action = 'MERGE' THEN map_concat(m, MAP {a: b}) ELSE map_from_entries(list_filter(map_entries(m), lambda x: x.key <> a)) END,
+  CASE WHEN bad THEN e WHEN action = 'MERGE' THEN map_concat(e, MAP {a: seq}) ELSE map_from_entries(list_filter(map_entries(e), lambda x: x.key <> a)) END,
+  map_concat(CASE WHEN bad OR e[a] IS NULL THEN o ELSE map_concat(o, MAP {e[a]: 'superseded'}) END, MAP {seq: CASE WHEN bad THEN 'rejected' WHEN action = 'MERGE' THEN 'in force' WHEN e[a] IS NULL THEN 'idle' ELSE 'applied' END})
+ FROM (SELECT w.u, n.i, m, e, o, seq, action, from_person_id AS a, into_person_id AS b, action = 'MERGE' AND list_reduce(list_prepend(into_person_id, ['', '', '', '', '', '']), lambda x, k: CASE WHEN x = from_person_id THEN x ELSE coalesce(m[x], x) END) = from_person_id AS bad
+  FROM w JOIN n ON n.u = w.u AND n.i = w.i + 1))
+ SELECT unnest(map_keys(o)) AS seq, unnest(map_values(o)) AS outcome FROM (SELECT u, arg_max(o, i) AS o FROM w GROUP BY u))"""
+
+
+@query("SELECT seq, action, from_person_id, into_person_id, outcome FROM edits JOIN replayed USING (seq)", edits=EDITS, replayed=REPLAYED)
+def f5_replay_merges(t):
+    log = t.events.selectExpr("event_id AS seq", "CASE WHEN event_id % 4 = 3 THEN 'UNMERGE' ELSE 'MERGE' END AS action", "'u' || user_id || '-' || (event_id % 5) AS from_person_id",
+                              "'u' || user_id || '-' || ((event_id * 3 + CAST(floor(value) AS BIGINT)) % 5) AS into_person_id")
+    return people.replay_merges(log)
+
+
+def _state(t: Tables) -> people.PeopleState:
+    spark = t.spark
+    return people.PeopleState(t.person_face_decision, spark.createDataFrame([], "anchor_id string, side string, owner string"), spark.createDataFrame([], "person_id string, from_person_id string"))
+
+
+def _split(t: Tables, state: people.PeopleState, ending: str, new: str) -> people.PeopleState:
+    now = people.resolve_people(t.ai_face_detection, state.decisions, t.person_merge)
+    return people.split_person(state, now, t.ai_face_detection.where(F.col("anchor_id").endswith(ending)), "p0", new)
+
+
+def _told(state: people.PeopleState):
+    return state.decisions.select("anchor_id", F.col("decision").alias("what"), F.col("person_id").alias("whose")).union(state.sides.select("anchor_id", "side", "owner"))
+
+
+SPLIT = "SELECT anchor_id, decision, person_id FROM {d} WHERE NOT anchor_id LIKE '%{e}' UNION ALL SELECT DISTINCT anchor_id, 'ASSIGN', '{n}' FROM ai_face_detection WHERE anchor_id LIKE '%{e}'"
+SIDES = "SELECT DISTINCT anchor_id, 'off' AS side, 'split:{n}' AS owner FROM ai_face_detection WHERE anchor_id LIKE '%{e}' UNION ALL SELECT DISTINCT anchor_id, 'rest', 'split:{n}' FROM {r} WHERE person_id = 'p0' AND NOT excluded AND NOT anchor_id LIKE '%{e}'"
+TWICE = {"roots": ROOTS, "res": RESOLVED, "d1": SPLIT.format(d="person_face_decision", e=1, n="px"), "s1": SIDES.format(r="res", e=1, n="px"),
+         "res1": RESOLVED.replace("person_face_decision", "d1"), "d2": SPLIT.format(d="d1", e=2, n="py"), "s2": SIDES.format(r="res1", e=2, n="py")}
+
+
+@query("SELECT anchor_id, decision AS what, person_id AS whose FROM d1 UNION ALL SELECT * FROM s1", *P, **TWICE)
 def f6_split_person(t):
-    return people.split_person(resolved(t), t.ai_face_detection.where("anchor_id like '%1'"), "p0")
+    return _told(_split(t, _state(t), "1", "px"))
 
 
-@query("SELECT DISTINCT 'p' || (n % 7) AS a, 'p' || (n % 3) AS b FROM media WHERE n % 2 = 1 OR n % 5 = 0", "media")
+@query("SELECT anchor_id, decision AS what, CASE WHEN decision = 'ASSIGN' AND person_id = 'px' THEN 'p0' ELSE person_id END AS whose FROM d2 UNION ALL SELECT * FROM s2", *P, **TWICE)
 def f6_undo_split(t):
-    owners = t.media.where("n % 2 = 1").selectExpr("'p' || (n % 7) AS a", "'p' || (n % 3) AS b", "'manual' AS owner").union(t.media.where("n % 5 = 0").selectExpr("'p' || (n % 7)", "'p' || (n % 3)", "'split:2'")).union(t.media.selectExpr("'p' || (n % 7)", "'p' || (n % 3)", "'split:1'")).distinct()
-    return people.undo_split(owners, "split:1").select("a", "b").distinct()
+    """Two splits of one person, the first undone."""
+    return _told(people.undo_split(_split(t, _split(t, _state(t), "1", "px"), "2", "py"), "px"))
 
 
 @query("SELECT DISTINCT least(a.anchor_id, b.anchor_id) AS a, greatest(a.anchor_id, b.anchor_id) AS b FROM ai_face_detection a JOIN ai_face_detection b ON a.computed_cluster_id = b.computed_cluster_id AND CAST(substr(b.detection_id, 2) AS BIGINT) = CAST(substr(a.detection_id, 2) AS BIGINT) + 10 WHERE CAST(substr(a.detection_id, 2) AS BIGINT) % 5 = 0", "ai_face_detection")
 def j16_cannot_link_pairs(t):
     f = t.ai_face_detection.select(F.substring("detection_id", 2, 20).cast("long").alias("s"), "anchor_id", "computed_cluster_id")
     pairs = f.join(f.select((F.col("s") - 10).alias("s"), F.col("anchor_id").alias("other"), F.col("computed_cluster_id").alias("c")), "s").select("s", "computed_cluster_id", "c", F.least("anchor_id", "other").alias("a"), F.greatest("anchor_id", "other").alias("b"))
-    links = pairs.where("computed_cluster_id = c").select("a", "b")
-    return people.linked(pairs.where("s % 5 = 0").select("a", "b"), links)
+    return people.apart(pairs.where("s % 5 = 0").select("a", "b"), people.keep_apart(pairs.where("computed_cluster_id = c")))
+
+
+@query("SELECT DISTINCT least(a.anchor_id, b.anchor_id) AS a, greatest(a.anchor_id, b.anchor_id) AS b FROM ai_face_detection a JOIN ai_face_detection b ON a.computed_cluster_id = b.computed_cluster_id AND CAST(substr(b.detection_id, 2) AS BIGINT) = CAST(substr(a.detection_id, 2) AS BIGINT) + 10 JOIN s1 x ON x.anchor_id = a.anchor_id JOIN s1 y ON y.anchor_id = b.anchor_id WHERE x.side <> y.side", *P, **TWICE)
+def j16_split_sides(t):
+    """Pairs of one computed cluster that a split keeps apart."""
+    f = t.ai_face_detection.select(F.substring("detection_id", 2, 20).cast("long").alias("s"), F.col("anchor_id").alias("a"), "computed_cluster_id")
+    pairs = f.join(f.select((F.col("s") - 10).alias("s"), F.col("a").alias("b"), "computed_cluster_id"), ["s", "computed_cluster_id"])
+    return people.apart(pairs.select("a", "b"), _split(t, _state(t), "1", "px").sides)
+
+
+UUID3 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(f"SELECT DISTINCT f AS from_person_id, i AS into_person_id FROM (SELECT m.n, coalesce(x.id, m.f) AS f, coalesce(y.id, m.i) AS i, row_number() OVER (PARTITION BY coalesce(x.id, m.f) ORDER BY m.n DESC, coalesce(y.id, m.i)) AS r FROM mg m LEFT JOIN ids x ON x.old = m.f LEFT JOIN ids y ON y.old = m.i WHERE coalesce(x.id, m.f) <> coalesce(y.id, m.i)) WHERE r = 1",
+       "ai_face_detection", mg="SELECT CAST(substr(detection_id, 2) AS BIGINT) AS n, CASE WHEN CAST(substr(detection_id, 2) AS BIGINT) % 3 = 0 THEN anchor_id ELSE computed_cluster_id END AS f, CASE WHEN CAST(substr(detection_id, 2) AS BIGINT) % 2 = 0 THEN 'p0' ELSE computed_cluster_id END AS i FROM ai_face_detection",
+       ids=f"SELECT old, {UUID3} AS id FROM (SELECT old, md5(old) AS h FROM (SELECT DISTINCT computed_cluster_id AS old FROM ai_face_detection))")
+def f8_name_ids(t):
+    """Merges of computed clusters after these have ids made from their names."""
+    f = t.ai_face_detection.withColumn("n", F.substring("detection_id", 2, 20).cast("long"))
+    merges = f.selectExpr("n AS updated_at", "CASE WHEN n % 3 = 0 THEN anchor_id ELSE computed_cluster_id END AS from_person_id", "CASE WHEN n % 2 = 0 THEN 'p0' ELSE computed_cluster_id END AS into_person_id")
+    mapping = f.select(F.col("computed_cluster_id").alias("old_id")).distinct().select("old_id", people.name_uuid("old_id").alias("new_id"))
+    return people.rewrite_merges(merges, mapping).select("from_person_id", "into_person_id")
 
 
 @query("SELECT detection_id, coalesce(x.new_id, d.computed_cluster_id) AS computed_cluster_id FROM ai_face_detection d LEFT JOIN (SELECT DISTINCT computed_cluster_id AS old_id, 'person:' || substr(computed_cluster_id, 6) AS new_id FROM ai_face_detection WHERE computed_cluster_id <> 'auto:3') x ON old_id = d.computed_cluster_id", "ai_face_detection")
@@ -457,12 +520,23 @@ def g3_stable(t):
     return gen.stable(start, start.withColumn("generation", F.when(F.col("volume") == "vol1", 1001).otherwise(F.col("generation")).cast("long")))
 
 
-@query("""SELECT media_id, CASE WHEN availability IN ('TRASHED', 'PURGING') OR source = 'DEVICE' THEN availability WHEN n % 10 <> 4 THEN 'AVAILABLE' ELSE 'MISSING' END AS availability,
- CASE WHEN NOT (availability IN ('TRASHED', 'PURGING') OR source = 'DEVICE') AND n % 10 <> 4 AND n % 6 = 0 THEN content_revision + 1 ELSE content_revision END AS content_revision FROM media""", "media")
+IMPORTS = "SELECT *, n AS size, CASE WHEN n % 4 = 0 THEN 'EXIF' ELSE 'TAKEN' END AS date_source FROM media"
+INVENTORY = """SELECT media_id, CASE WHEN n % 6 = 0 THEN content_revision + 1 ELSE content_revision END AS file_revision, n AS file_size, CAST('2023-03-03 00:00:00' AS TIMESTAMP) AS modified_at FROM media WHERE n % 10 <> 4
+ UNION ALL SELECT 'new' || media_id, 5, n, CASE WHEN n % 2 = 0 THEN CAST('2023-03-04 00:00:00' AS TIMESTAMP) END FROM media WHERE n % 25 < 2"""
+
+
+@query("""SELECT media_id, source, availability, access_epoch, content_revision, size, date_source, coalesce(strftime(coalesce(taken_at, added_at), '%Y-%m-%d'), 'undated') AS day_key FROM (
+ SELECT coalesce(m.media_id, i.media_id) AS media_id, coalesce(source, 'GOOGLE_IMPORT') AS source, CASE WHEN m.media_id IS NULL OR open AND i.media_id IS NOT NULL THEN 'AVAILABLE' WHEN open THEN 'MISSING' ELSE availability END AS availability,
+  CASE WHEN m.media_id IS NULL THEN 1 WHEN open AND i.media_id IS NOT NULL AND availability <> 'AVAILABLE' THEN access_epoch + 1 ELSE access_epoch END AS access_epoch,
+  CASE WHEN m.media_id IS NULL OR open AND i.media_id IS NOT NULL THEN file_revision ELSE content_revision END AS content_revision, coalesce(size, file_size) AS size,
+  CASE WHEN m.media_id IS NULL THEN CASE WHEN modified_at IS NULL THEN 'UNKNOWN' ELSE 'FILE_MODIFIED' END WHEN open AND file_revision <> content_revision AND date_source = 'EXIF' THEN 'FILE_MODIFIED' ELSE date_source END AS date_source,
+  CASE WHEN open AND file_revision <> content_revision AND date_source = 'EXIF' THEN NULL ELSE taken_at END AS taken_at, CASE WHEN m.media_id IS NULL THEN modified_at ELSE added_at END AS added_at
+ FROM (SELECT *, source <> 'DEVICE' AND availability NOT IN ('TRASHED', 'PURGING') AS open FROM imports) m FULL JOIN inv i ON i.media_id = m.media_id)""", "media", imports=IMPORTS, inv=INVENTORY)
 def g4_reconcile_imports(t):
-    m = t.media.withColumn("size", F.col("n")).withColumn("exif_taken_at", F.col("taken_at"))
-    inv = t.media.where("n % 10 <> 4").selectExpr("media_id", "CASE WHEN n % 6 = 0 THEN content_revision + 1 ELSE content_revision END AS file_revision", "n AS file_size")
-    return gen.reconcile_imports(m, inv).select("media_id", "availability", "content_revision")
+    media = t.media.withColumn("size", F.col("n")).withColumn("date_source", F.when(F.col("n") % 4 == 0, "EXIF").otherwise("TAKEN"))
+    inv = t.media.where("n % 10 <> 4").selectExpr("media_id", "CASE WHEN n % 6 = 0 THEN content_revision + 1 ELSE content_revision END AS file_revision", "n AS file_size", "CAST('2023-03-03 00:00:00' AS TIMESTAMP_NTZ) AS modified_at").union(
+        t.media.where("n % 25 < 2").selectExpr("'new' || media_id", "5L", "n", "CASE WHEN n % 2 = 0 THEN CAST('2023-03-04 00:00:00' AS TIMESTAMP_NTZ) END"))
+    return gen.reconcile_imports(media, inv).select("media_id", "source", "availability", "access_epoch", "content_revision", "size", "date_source", "day_key")
 
 
 @query("SELECT media_id, strftime(CASE WHEN n % 4 = 1 AND n % 3 <> 0 THEN TIMESTAMP '2018-05-05 00:00:00' ELSE taken_at END, '%Y-%m-%d') AS taken FROM media", "media")

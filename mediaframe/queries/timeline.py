@@ -176,9 +176,19 @@ def p10_date_range(t):
     return m.where(in_date_range(F.col("sort_at"), "2024-01-05 00:00:00", "2024-01-20 00:00:00")).select("media_id")
 
 
-@query("SELECT media_id FROM (SELECT v.* FROM v WHERE contains(lower(display_name), 'c') AND sort_at >= TIMESTAMP '2024-01-02' AND sort_at < TIMESTAMP '2024-01-30' AND EXISTS (SELECT 1 FROM media_tag g WHERE g.media_id = v.media_id AND tag_key = 'dog') ORDER BY sort_at DESC NULLS LAST, media_id DESC LIMIT 60)", "media", "exposure", "media_tag", v=V)
+@query("SELECT media_id FROM (SELECT v.* FROM v WHERE contains(lower(nfc_normalize(display_name)), lower('C')) AND sort_at >= TIMESTAMP '2024-01-02' AND sort_at < TIMESTAMP '2024-01-30' AND EXISTS (SELECT 1 FROM media_tag g WHERE g.media_id = v.media_id AND tag_key = 'dog') ORDER BY sort_at DESC NULLS LAST, media_id DESC LIMIT 60)", "media", "exposure", "media_tag", v=V)
 def p11_catalog_search(t):
-    return search.catalog_search(t, search.CatalogSearch(name="c", start="2024-01-02 00:00:00", until="2024-01-30 00:00:00", tag="dog")).select("media_id")
+    return search.catalog_search(t, search.CatalogSearch(name="C", start="2024-01-02 00:00:00", until="2024-01-30 00:00:00", tag=" Dog ")).select("media_id")
+
+
+#: Search text of recognised text: NFC, lines trimmed and joined by a blank, runs of blanks made one, lower case.
+OCR_KEY = r"lower(replace(array_to_string(list_filter(list_transform(string_split(nfc_normalize(display_text), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[\t ]+', ' ', 'g')), lambda x: x <> ''), chr(10)), chr(10), ' '))"
+
+
+@query(f"SELECT media_id FROM media m WHERE availability = 'AVAILABLE' AND EXISTS (SELECT 1 FROM ai_ocr_result o WHERE o.media_id = m.media_id AND o.generation_id = 'g2' AND o.content_revision = m.content_revision AND o.access_epoch = m.access_epoch AND contains({OCR_KEY}, 'the th')) ORDER BY {AT} DESC NULLS LAST, media_id DESC LIMIT 50 OFFSET 3", "media", "ai_ocr_result")
+def p11_catalog_search_text(t):
+    """Recognised text of protected rows too, typed with capitals and blanks, past the first three."""
+    return search.catalog_search(t, search.CatalogSearch(ocr=" The  TH", ocr_generation="g2", include_protected=True, limit=50, offset=3)).select("media_id")
 
 
 @query("SELECT media_id FROM (SELECT v.* FROM v WHERE source = 'DEVICE' AND volume_name = 'vol1' AND EXISTS (SELECT 1 FROM favorite g WHERE g.media_id = v.media_id) AND EXISTS (SELECT 1 FROM album_media a WHERE a.media_id = v.media_id AND album_id = 'a9') ORDER BY sort_at DESC NULLS LAST, media_id DESC LIMIT 120)", "media", "exposure", "favorite", "album_media", v=V + " AND volume_name = 'vol1'")
@@ -210,7 +220,7 @@ def j1_exposure(t):
 
 @query("SELECT v.media_id FROM v WHERE EXISTS (SELECT 1 FROM media_tag g WHERE g.media_id = v.media_id AND tag_key = 'cat')", "media", "exposure", "media_tag", v=V)
 def j4_having_tag(t):
-    return search.having_tag(shown(t), t.media_tag, "cat").select("media_id")
+    return search.having_tag(shown(t), t.media_tag, " Cat ").select("media_id")
 
 
 @query("SELECT v.media_id FROM v SEMI JOIN favorite USING (media_id)", "media", "exposure", "favorite", v=V)
@@ -266,9 +276,9 @@ def t7_period_page(t):
     return page(tl.period_summary(shown(t), ("day",)), [F.col("newest").desc_nulls_last(), F.col("key").desc()], 10, 2).select("key", "has_next")
 
 
-@query("SELECT media_id FROM ai_ocr_result JOIN el USING (media_id, content_revision, access_epoch) WHERE contains(lower(nfc_normalize(display_text)), 'tion the')", "media", "exposure", "ai_ocr_result", el=EL)
+@query(f"SELECT media_id FROM ai_ocr_result JOIN el USING (media_id, content_revision, access_epoch) WHERE ai_ocr_result.generation_id = 'g2' AND contains({OCR_KEY}, 'tion the')", "media", "exposure", "ai_ocr_result", el=EL)
 def o1_ocr_search(t):
-    return search.ocr_search(t.ai_ocr_result, live(t), "tion the").select("media_id")
+    return search.ocr_search(t.ai_ocr_result, live(t), "Tion  THE", "g2").select("media_id")
 
 
 @query("SELECT count(DISTINCT el.media_id) AS eligible, count(DISTINCT o.media_id) AS indexed FROM el LEFT JOIN ai_ocr_result o USING (media_id, content_revision, access_epoch)", "media", "exposure", "ai_ocr_result", el=EL)

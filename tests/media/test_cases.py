@@ -108,11 +108,11 @@ def test_bands_never_lose_a_near_pair(spark):
 def test_face_clusters_and_people(spark):
     rows = [(0, "d1", "a", [1.0, 0.0]), (0, "d2", "b", [0.99, 0.01]), (0, "d3", "c", [0.0, 1.0])]
     faces = spark.createDataFrame(rows, "chunk long, detection_id string, anchor_id string, embedding array<double>")
-    none = spark.createDataFrame([], "a string, b string")
+    none = people.keep_apart(spark.createDataFrame([], "a string, b string"))
     got = {r.anchor_id: r.cluster_id for r in people.cluster_faces(faces, none, 0.9).collect()}
     assert got == {"a": "auto:a", "b": "auto:a", "c": "auto:c"}
     apart = spark.createDataFrame([("b", "a")], "a string, b string")
-    assert len({r.cluster_id for r in people.cluster_faces(faces, apart, 0.9).collect()}) == 3
+    assert len({r.cluster_id for r in people.cluster_faces(faces, people.keep_apart(apart), 0.9).collect()}) == 3
     one = spark.createDataFrame([("d1", "a", "k"), ("d2", "b", "k"), ("d3", "c", "k")], "detection_id string, anchor_id string, computed_cluster_id string")
     decisions = spark.createDataFrame([("a", "ASSIGN", "person-1"), ("b", "EXCLUDE", None)], "anchor_id string, decision string, person_id string")
     merges = spark.createDataFrame([], "from_person_id string, into_person_id string")
@@ -124,11 +124,6 @@ def test_face_clusters_and_people(spark):
     assert {r.root for r in people.canonical(chain).collect()} == {"p040"}
 
 
-def test_split_undo_keeps_pairs_with_another_owner(spark):
-    owners = spark.createDataFrame([("a", "b", "manual"), ("a", "b", "split:p"), ("a", "c", "split:p")], "a string, b string, owner string")
-    assert [tuple(r) for r in people.undo_split(owners, "split:p").select("a", "b").distinct().collect()] == [("a", "b")]
-
-
 def test_scan_marks_missing_and_epochs(spark):
     m = spark.createDataFrame([("1", "DEVICE", "v", "AVAILABLE"), ("2", "DEVICE", "v", "AVAILABLE")], "media_id string, source string, volume_name string, availability string")
     volumes = spark.createDataFrame([("v", True)], "volume_name string, same_version boolean")

@@ -172,7 +172,7 @@ def n4_probe_set(t):
     return vs.search_exact(t.embeddings, vs.probes(t.embeddings), 10).drop("score")
 
 
-@query(f"SELECT query_id, vec_id, score, rank, (SELECT count(*) FROM c) AS indexed, (SELECT count(*) FROM el) AS available, (SELECT count(*) FROM c) = (SELECT count(*) FROM el) AS complete FROM ({TOP.format(v='c', n=100)}) WHERE rank <= 5", "media", "exposure", "ai_embedding", el=EL,
+@query(f"SELECT query_id, vec_id, score, rank, (SELECT count(*) FROM c) AS indexed, (SELECT count(*) FROM el) AS available, (SELECT count(*) FROM c) = (SELECT count(*) FROM el) AND (SELECT count(*) FROM ai_embedding) = (SELECT count(*) FROM c) AS complete FROM ({TOP.format(v='c', n=100)}) WHERE rank <= 5", "media", "exposure", "ai_embedding", el=EL,
        c="SELECT e.vec_id, e.embedding FROM ai_embedding a JOIN el USING (media_id, content_revision, access_epoch) JOIN embeddings e ON e.vec_id = a.native_key - 1")
 def n5_semantic_search(t):
     now = fence.current(t.ai_embedding, live(t))

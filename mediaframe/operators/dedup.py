@@ -1,7 +1,10 @@
 """Exact and near duplicates of media."""
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,8 +17,11 @@ from mediaframe.functions.numbers import nibble
 from mediaframe.operators.fence import FENCE, current
 from mediaframe.plans.lineage import cut_lineage
 from mediaframe.plans.paging import page, page_after
+from mediaframe.plans.rank import ordered_rank
 
 BANDS, MAX_DISTANCE, TOP, TILE = 16, 14, 8, 1 << 15
+MOST_IN_TILES, RANGE, BLOCK = 1 << 17, 64, 21
+MASK = (1 << BLOCK) - 1
 
 
 def fingerprint(live: DataFrame, content: DataFrame, decoder: Callable[[Column], Column] | None = None, failures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -52,69 +58,187 @@ def dct_hash(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return out
 
 
+@pandas_udf(LongType())
+def text_hash(text: pd.Series) -> pd.Series:
+    """60-bit perceptual hash of a text: the bits set in more than half of its two-word pieces' MD5; null stays null, a text of under two words has 0."""
+    def one(t: str | None):
+        if t is None:
+            return None
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        digests = [hashlib.md5(f"{a} {b}".encode()).digest()[:8] for a, b in zip(w, w[1:])]
+        if not digests:
+            return 0
+        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        return int("".join("1" if 2 * x > len(digests) else "0" for x in bits[:60]), 2)
+
+    return pd.Series([one(t) for t in text], dtype="Int64", index=text.index)
+
+
 def bands(fp: DataFrame, key: str = "id", bits: str = "bits") -> DataFrame:
     """(key, bits, band, value): the sixteen nibbles of each hash."""
     return fp.select(key, bits, F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("value", nibble(F.col(bits), F.col("band")))
 
 
-def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id", bits: str = "bits", tile: int = TILE) -> DataFrame:
-    """(left_bits, right_bits, distance) of different hashes within the distance.
+def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id", bits: str = "bits", tile: int = TILE, most_in_tiles: int = MOST_IN_TILES) -> DataFrame:
+    """(left_bits, right_bits, distance) of different hashes within the distance; equal hashes are collapsed first.
 
-    A distance of 14 in 63 bits leaves too little in common to look hashes up by (any two agree in
-    some pair of nibbles), so all are compared, tile by tile: exclusive-or and bit counts in numpy.
-    Equal hashes are collapsed first, so a group of copies does not meet itself. Hashes are dealt
-    into tiles of about `tile`, and each pair of tiles is one group of at most two tiles; results
-    leave a group in blocks.
+    Up to `most_in_tiles` distinct hashes (counted) are compared tile by tile, all with all, which numpy does
+    at some 10^9 pairs a second. Beyond, hashes are cut into three blocks of 21 bits, one of which
+    differs in a third of the bits at most; see `_meetings`. Both give the same pairs.
     """
     distinct = cut_lineage(fp.select(F.col(bits).alias("b")).where("b is not null").distinct())
     n = distinct.count()
+    dealt = _tiles(distinct, n, tile) if n <= most_in_tiles else _meetings(distinct, max_distance // 3, tile)
+    return dealt.mapInArrow(lambda batches: _compare(batches, max_distance), "left_bits long, right_bits long, distance int")
+
+
+def _tiles(distinct: DataFrame, n: int, tile: int) -> DataFrame:
+    """(block, value, t1, t2, own, b): each hash once in every pair of tiles that holds its own."""
     tiles = max(1, -(-n // tile), min(8, n // 2048))
-    dealt = distinct.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
-        F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "b").repartition("t1", "t2").sortWithinPartitions("t1", "t2")
-
-    def compare(batches):
-        held, place = [], None
-
-        def done():
-            if not held:
-                return
-            own, b = (np.concatenate(x) for x in zip(*held))
-            left, right = b[own == place[0]], b[own == place[1]]
-            for lo in range(0, len(left), 512):
-                some = left[lo : lo + 512]
-                distance = np.bitwise_count(some[:, None] ^ right[None, :])
-                i, j = np.nonzero(distance <= max_distance)
-                x, y, d = some[i], right[j], distance[i, j].astype(np.int32)
-                keep = x < y if place[0] == place[1] else np.ones(len(x), bool)
-                x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d[keep])], names=["left_bits", "right_bits", "distance"])
+    dealt = distinct.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    placed = dealt.select(F.lit(-1).alias("block"), F.lit(0).alias("value"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "b")
+    return placed.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+
+
+def _flips(most: int) -> np.ndarray:
+    """All 21-bit numbers of at most so many set bits."""
+    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(BLOCK), k)], np.int64)
 
+
+def _meetings(distinct: DataFrame, apart: int, tile: int) -> DataFrame:
+    """(block, value, t1, t2, own, b): each hash under every value that its blocks reach with half of `apart` flipped bits.
+
+    Two blocks that differ in `apart` bits or fewer reach a value together, half way between them. So a pair is
+    looked at only where a block of both is close to the same value: a hundredth of all pairs, for
+    hashes of no structure. Values that more than `tile` hashes reach are cut into tiles.
+    """
+    flips = _flips(-(-apart // 2))
+
+    def spread(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t1, t2, own, b = (c.to_numpy() for c in batch.columns)
-            cuts = np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
-                if place is not None and (t1[lo], t2[lo]) != place:
+            for lo in range(0, batch.num_rows, 2048):
+                b = batch.column(0).slice(lo, 2048).to_numpy()
+                for k in range(3):
+                    value = ((b[:, None] >> (BLOCK * k)) & MASK) ^ flips[None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(value.size, k, np.int32)), pa.array(value.reshape(-1).astype(np.int32)), pa.array(np.repeat(b, len(flips)))], names=["block", "value", "b"])
+
+    met = distinct.mapInArrow(spread, "block int, value int, b long")
+    crowded = cut_lineage(met.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")))
+    joined = met.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = joined.withColumn("own", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = ["block", "value", "t1", "t2"]
+    return own.select("block", "value", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "b").repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _half_way(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The one value at which two blocks of at most four different bits report: x with the lower half of those bits flipped."""
+    differ = x ^ y
+    first = differ & -differ
+    second = (differ ^ first) & -(differ ^ first)
+    return x ^ first ^ np.where(np.bitwise_count(differ) > 2, second, 0)
+
+
+def _compare(batches, max_distance: int):
+    """Pairs of each group of rows that agree in block, value and tiles; a pair is reported in one group only."""
+    held, place = [], None
+
+    def done():
+        own, b = (np.concatenate(x) for x in zip(*held))
+        block, value, t1, t2 = place
+        left, right = b[own == t1], b[own == t2]
+        for lo in range(0, len(left), 512):
+            some = left[lo : lo + 512]
+            distance = np.bitwise_count(some[:, None] ^ right[None, :])
+            i, j = np.nonzero(distance <= max_distance)
+            x, y, d = some[i], right[j], distance[i, j].astype(np.int32)
+            keep = x < y if t1 == t2 else np.ones(len(x), bool)
+            x, y, d = np.minimum(x, y)[keep], np.maximum(x, y)[keep], d[keep]
+            if block >= 0:
+                cut = lambda v, k: (v >> (BLOCK * k)) & MASK
+                mine = (np.bitwise_count(cut(x, block) ^ cut(y, block)) <= max_distance // 3) & (_half_way(cut(x, block), cut(y, block)) == value)
+                for k in range(block):  # an earlier block has reported it
+                    mine &= np.bitwise_count(cut(x, k) ^ cut(y, k)) > max_distance // 3
+                x, y, d = x[mine], y[mine], d[mine]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["left_bits", "right_bits", "distance"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, own, b = np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1), *(c.to_numpy() for c in batch.columns[4:])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+            here = tuple(keys[lo].tolist())
+            if here != place:
+                if held and sum(len(x) for x, _ in held) > 1:
                     yield from done()
-                    held = []
-                place = (t1[lo], t2[lo])
-                held.append((own[lo:hi], b[lo:hi]))
+                held, place = [], here
+            held.append((own[lo:hi], b[lo:hi]))
+    if held and sum(len(x) for x, _ in held) > 1:
         yield from done()
 
-    return dealt.mapInArrow(compare, "left_bits long, right_bits long, distance int")
 
+def _capped(rows: DataFrame, of: list[str], order: list[str], top: int) -> DataFrame:
+    """The first 2 * top rows of each group in order, not counting a content's rows after its first `top`: whichever content is left out, the first `top` others are among them."""
+    each = Window.partitionBy(*of, "sha").orderBy(*order)
+    kept = rows.withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= top)
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("_r") <= 2 * top).drop("_r")
 
-def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP) -> DataFrame:
-    """(left_id, right_id, distance): of each item its closest `top` later ones of other content; `fp` has id, sha, bits."""
-    close = near_pairs(fp, max_distance)
-    own = fp.select(F.col("bits").alias("b")).distinct().select(F.col("b").alias("left_bits"), F.col("b").alias("right_bits"), F.lit(0).alias("distance"))
-    both = close.union(close.select("right_bits", "left_bits", "distance")).union(own)
-    left = fp.select(F.col("id").alias("left_id"), F.col("sha").alias("left_sha"), F.col("bits").alias("left_bits"))
-    right = fp.select(F.col("id").alias("right_id"), F.col("sha").alias("right_sha"), F.col("bits").alias("right_bits"))
-    pairs = left.join(both, "left_bits").join(right, "right_bits").where("left_id < right_id and left_sha <> right_sha")
-    w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("left_id", "right_id", "distance")
+
+def _suffixes(heads: DataFrame, top: int) -> DataFrame:
+    """(bits, range, members): for each hash and each range that holds any of its members, the capped first members from there on.
+
+    A hash's ranges pass one after the other, from the last, with at most 2 * top members in hand.
+    """
+    def walk(batches):
+        bits, held = None, []
+        for b in batches:
+            out = []
+            for h, g, members in zip(*(c.to_pylist() for c in b.columns)):
+                if h != bits:
+                    bits, held = h, []
+                seen, kept = {}, []
+                for m in [*members, *held]:
+                    seen[m["sha"]] = seen.get(m["sha"], 0) + 1
+                    if seen[m["sha"]] <= top and len(kept) < 2 * top:
+                        kept.append(m)
+                held = kept
+                out.append((h, g, kept))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], b.schema.field(i).type) for i in range(3)], names=["bits", "range", "members"])
+
+    lists = heads.groupBy("bits", "range").agg(F.array_sort(F.collect_list(F.struct("id", "sha"))).alias("members"))  # 2 * top of them at most
+    return lists.repartition("bits").sortWithinPartitions("bits", F.col("range").desc()).mapInArrow(walk, lists.schema)
+
+
+def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP, width: int = RANGE, **options) -> DataFrame:
+    """(left_id, right_id, distance): of each item its closest `top` later ones of other content; `fp` has id (distinct), sha, bits.
+
+    Members of hashes are never multiplied out. Ids are cut into ranges of `width` items. Inside a range
+    all items meet. For what lies in later ranges, each hash has a list of its first members from each
+    range on, long enough whatever content is left out; an item reads the lists of the hashes near its
+    own, already merged for all items of its hash and range. So an item meets width + 2 * top others at the
+    most, though a third of all items may share a hash or a content.
+    """
+    m = fp.select("id", "sha", "bits").where("bits is not null")
+    m = cut_lineage(ordered_rank(m, [F.col("id")], "range").withColumn("range", F.floor(F.col("range") / width).cast("long")))
+    far = F.bit_count(F.col("left_bits").bitwiseXOR(F.col("bits"))).cast("int")
+    left = m.select(F.col("id").alias("left_id"), F.col("sha").alias("left_sha"), F.col("bits").alias("left_bits"), "range")
+    inside = left.join(m, "range").where((F.col("left_id") < F.col("id")) & (F.col("left_sha") != F.col("sha")) & (far <= max_distance)).select("left_id", "id", far.alias("distance"))
+
+    close = near_pairs(m, max_distance, **options)
+    own = m.select(F.col("bits").alias("left_bits"), F.col("bits").alias("right_bits"), F.lit(0).alias("distance")).distinct()
+    both = cut_lineage(close.union(close.select("right_bits", "left_bits", "distance")).union(own))
+    lists = _suffixes(_capped(m, ["bits", "range"], ["id"], top), top)
+    places = m.select(F.col("bits").alias("left_bits"), "range").distinct()
+    asked = places.join(both, "left_bits")
+    # For each hash and range that asks: the list from the first later range that has one. Going down, the last list seen.
+    points = lists.select("bits", "range", F.lit(1).alias("kind"), "members").unionByName(asked.select(F.col("right_bits").alias("bits"), "range").distinct().select("bits", "range", F.lit(0).alias("kind"), F.lit(None).cast(lists.schema["members"].dataType).alias("members")))
+    down = Window.partitionBy("bits").orderBy(F.col("range").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    later = points.withColumn("members", F.last("members", ignorenulls=True).over(down)).where("kind = 0 and members is not null").select(F.col("bits").alias("right_bits"), "range", "members")
+    merged = asked.join(later, ["right_bits", "range"]).select("left_bits", "range", "distance", F.explode("members").alias("r")).select("left_bits", "range", "distance", "r.id", "r.sha")
+    outside = left.join(_capped(merged, ["left_bits", "range"], ["distance", "id"], top), ["left_bits", "range"]).where("left_sha <> sha").select("left_id", "id", "distance")
+    w = Window.partitionBy("left_id").orderBy("distance", "id")
+    return inside.union(outside).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("left_id", F.col("id").alias("right_id"), "distance")
 
 
 def relations_page(relation: DataFrame, limit: int, cursor: dict | None = None) -> DataFrame:
@@ -169,4 +293,6 @@ def domain_revision(old: DataFrame, new: DataFrame, key: str = "media_id", colum
     return snapshot_diff(old, new, key, columns or FENCE[1:]).agg(F.count("*").alias("changes"))
 
 
-catalog_revision = domain_revision
+def catalog_revision(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`domain_revision` over the columns that a reader of the catalogue names."""
+    return domain_revision(old, new, key, columns)

@@ -5,21 +5,20 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import numbers as nx
 from mediaframe.operators import dedup, fence, generation as gen, lifecycle as life, people, policy, vector_search as vs
+from mediaframe.plans.lineage import cut_lineage
 from mediaframe.queries.registry import EL, M, V, Tables, query
 from mediaframe.queries.timeline import FILES, _files, live, shown
 from mediaframe.sources import catalog
 
 # --- duplicates ---------------------------------------------------------------------------------
-HASH_BASE = "(({l} * 7919 + i * 104729 + {l} * i * 31) % 97) % 2 = 1"
-FLIPS = ", ".join(f"(vec_id * {k}) % 63" for k in (1, 5, 11, 17, 23, 29, 37))
-#: Hashes near a base hash of their label, and contents of which every 40th repeats another's.
-FP = f"""SELECT vec_id AS id, CAST(vec_id % 460 AS VARCHAR) AS sha,
- (SELECT CAST(sum(CASE WHEN ({HASH_BASE.format(l='label')}) <> list_contains([{FLIPS}], i) THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) FROM range(63) t(i)) AS bits FROM embeddings"""
+#: Digest of each text and the majority of the MD5 bits of its two-word pieces.
+FP = r"""SELECT doc_id AS id, sha256(text) AS sha, CAST(coalesce(b, 0) AS BIGINT) AS bits FROM documents LEFT JOIN (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END) AS b FROM (
+ SELECT doc_id, i, sum((h >> CAST(i AS INTEGER)) & 1) AS ones, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(md5(w[k] || ' ' || w[k + 1]), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), unnest(range(1, greatest(len(w), 1))) t(k)), range(60) r(i) GROUP BY doc_id, i) GROUP BY doc_id) USING (doc_id)"""
 
 
 def hashes(t: Tables):
-    bits = f"aggregate(sequence(0L, 62L), 0L, (acc, i) -> acc | CASE WHEN ({HASH_BASE.format(l='label')}) <> array_contains(array({FLIPS}), i) THEN shiftleft(1L, CAST(i AS INT)) ELSE 0L END)"
-    return t.embeddings.selectExpr("vec_id AS id", "CAST(vec_id % 460 AS STRING) AS sha", f"{bits} AS bits")
+    return t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), dedup.text_hash("text").alias("bits"))
 
 
 DOCS = "SELECT doc_id AS id, sha256(text) AS sha FROM documents"
@@ -80,25 +79,29 @@ def t5_exact_members(t):
     return dedup.exact_members(contents(t), first or "")
 
 
-REQUESTED = "SELECT DISTINCT least(id, (id * 7) % 460) AS left_id, greatest(id, (id * 7) % 460) AS right_id FROM fp WHERE id <> (id * 7) % 460 UNION SELECT id, id + 460 FROM fp WHERE id + 460 < 500"
+#: Each item with seven others from all over the table, those related to it, and the first item of its content.
+REQUESTED = "SELECT DISTINCT least(a, b) AS left_id, greatest(a, b) AS right_id FROM (SELECT id AS a, (id * k + 11) % (SELECT count(*) FROM fp) AS b FROM fp, range(1, 8) t(k) UNION ALL SELECT left_id, right_id FROM rel UNION ALL SELECT id, min(id) OVER (PARTITION BY sha) FROM fp) WHERE a <> b"
 
 
-def requested(t: Tables):
-    h = hashes(t)
-    return h.selectExpr("id AS a", "(id * 7) % 460 AS b").union(h.selectExpr("id + 460 AS a", "id AS b").where("a < 500"))
+def requested(h, relation):
+    n = max(h.count(), 1)
+    asked = h.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")).selectExpr("a", f"(a * k + 11) % {n} AS b")
+    first = h.join(h.groupBy("sha").agg(F.min("id").alias("b")), "sha").select(F.col("id").alias("a"), "b")
+    return asked.union(relation.select("left_id", "right_id")).union(first)
 
 
-@query("SELECT left_id, right_id FROM req JOIN fp a ON a.id = left_id JOIN fp b ON b.id = right_id WHERE a.sha = b.sha", fp=FP, req=REQUESTED)
+@query("SELECT left_id, right_id FROM req JOIN fp a ON a.id = left_id JOIN fp b ON b.id = right_id WHERE a.sha = b.sha", fp=FP, rel=NEAR8, req=REQUESTED)
 def j7_exact_pairs(t):
-    return dedup.exact_pairs(hashes(t), requested(t))
+    h = hashes(t)
+    return dedup.exact_pairs(h, requested(h, dedup.relations(h)))
 
 
 @query("""SELECT left_id, right_id, CASE WHEN a.sha = b.sha THEN 'EXACT' ELSE 'VISUAL' END AS kind, CAST(CASE WHEN a.sha = b.sha THEN 0 ELSE bit_count(xor(a.bits, b.bits)) END AS INTEGER) AS distance
- FROM req JOIN fp a ON a.id = left_id JOIN fp b ON b.id = right_id WHERE a.sha = b.sha OR bit_count(xor(a.bits, b.bits)) <= 14 AND (left_id, right_id) IN (SELECT (left_id, right_id) FROM rel)""",
-       fp=FP, req=REQUESTED, rel="SELECT left_id, right_id FROM (SELECT a.id AS left_id, b.id AS right_id, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.bits, b.bits)), b.id) AS r FROM fp a JOIN fp b ON a.id < b.id AND a.sha <> b.sha AND bit_count(xor(a.bits, b.bits)) <= 14) WHERE r <= 8")
+ FROM req JOIN fp a ON a.id = left_id JOIN fp b ON b.id = right_id WHERE a.sha = b.sha OR (left_id, right_id) IN (SELECT (left_id, right_id) FROM rel)""", fp=FP, rel=NEAR8, req=REQUESTED)
 def d7_resolve_pairs(t):
     h = hashes(t)
-    return dedup.resolve_pairs(requested(t), h, dedup.relations(h))
+    relation = cut_lineage(dedup.relations(h))
+    return dedup.resolve_pairs(requested(h, relation), h, relation)
 
 
 REL = "SELECT a.media_id AS left_id, b.media_id AS right_id, a.content_revision AS lr, a.access_epoch AS le, b.content_revision AS rr, b.access_epoch AS re FROM ai_embedding a JOIN ai_embedding b ON b.native_key = a.native_key + 1"

@@ -36,7 +36,7 @@ def mark_absent(media: DataFrame, seen: DataFrame, volumes: DataFrame, full_acce
     """Available device rows that a scan did not see: MISSING if their volume kept its version and
     access was full, else INACCESSIBLE. `volumes` has volume_name and same_version."""
     s = seen.select("media_id").distinct().withColumn("_seen", F.lit(True))
-    joined = media.join(s, "media_id", "left").join(F.broadcast(volumes.select("volume_name", "same_version")), "volume_name", "left")
+    joined = media.join(s, "media_id", "left").join(volumes.select("volume_name", "same_version"), "volume_name", "left")
     absent = (F.col("source") == "DEVICE") & (F.col("availability") == "AVAILABLE") & F.col("_seen").isNull()
     kind = F.when(F.coalesce("same_version", F.lit(False)) & F.lit(full_access), "MISSING").otherwise("INACCESSIBLE")
     return joined.withColumn("availability", F.when(absent, kind).otherwise(F.col("availability"))).drop("_seen", "same_version")

@@ -6,13 +6,14 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from mediaframe.functions import numbers as nx, text as tx
-from mediaframe.operators import dedup, evaluate as ev, vector_search as vs
+from mediaframe.operators import dedup, evaluate as ev, fence, vector_search as vs
 from mediaframe.operators.tokens import tokenize_corpus
 from mediaframe.plans.lineage import shared_folder
 from mediaframe.queries.catalogue import TOP, hundredths
 from mediaframe.queries.registry import M, V, Tables, query
 from mediaframe.queries.timeline import live, shown
 from mediaframe.sources import catalog
+from mediaframe.sources.buckets import BucketStore
 from mediaframe.streaming import jobs
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -143,12 +144,54 @@ def g8_published(t):
     """Two generations published one after the other; readers see the last."""
     path = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
     for k in (2, 3):
-        catalog.publish(shown(t).where(F.col("n") % k == 0).select("media_id"), path, f"g{k}", k, keep=1)
+        catalog.publish(shown(t).where(F.col("n") % k == 0).select("media_id"), path, f"g{k}", keep=1)
     return catalog.read_published(t.spark, path)
 
 
+# --- stores and streams -------------------------------------------------------------------------
+def _store(t: Tables, **options) -> BucketStore:
+    return BucketStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}", **options)
+
+
+@query("SELECT event_id % 500 AS media_id, max(event_id) AS content_revision FROM events GROUP BY 1")
+def x1_stored_revisions(t):
+    """Three batches of two streams folded into a store, one of them twice; the second stream numbers its batches from 0 again."""
+    e, store = t.events.selectExpr("event_id % 500 AS media_id", "event_id AS content_revision", "1L AS access_epoch"), _store(t)
+    for stream, number, part in (("a", 0, 0), ("a", 1, 1), ("a", 1, 1), ("b", 0, 2)):
+        last = Window.partitionBy("media_id").orderBy(F.col("content_revision").desc())
+        store.fold(e.where(F.col("content_revision") % 3 == part).withColumn("r", F.row_number().over(last)).where("r = 1").drop("r"), jobs.latest_revisions, stream, number)
+    return store.read().select("media_id", "content_revision")
+
+
+@query("SELECT n % 3 AS batch, count(*) AS changes FROM o JOIN m USING (media_id) WHERE m.content_revision > o.content_revision GROUP BY 1", "media", o="SELECT media_id, content_revision - n % 2 AS content_revision FROM media", m="SELECT media_id, n, content_revision FROM media")
+def x8_stored_changes(t):
+    """Changes counted batch by batch while they are folded into a store."""
+    store, m = _store(t), t.media.select("media_id", "content_revision", "access_epoch", "n")
+    store.upsert(m.withColumn("content_revision", F.col("content_revision") - F.col("n") % 2).drop("n"))
+    for number in range(3):
+        jobs.fold_counting(m.where(F.col("n") % 3 == number).drop("n"), store, f"{store.path}/changes", ["content_revision"], "s", number)
+    return t.spark.read.parquet(f"{store.path}/changes").select(F.col("batch").cast("long").alias("batch"), "changes")
+
+
+@query("SELECT media_id, CASE WHEN n % 4 = 1 THEN 'changed' ELSE display_name END AS display_name FROM media UNION ALL SELECT 'new' || media_id, 'new' FROM media WHERE n % 10 = 0", "media")
+def s8_stored_upsert(t):
+    store, m = _store(t, buckets=8), t.media
+    store.upsert(m.select("media_id", "display_name"))
+    store.upsert(m.where("n % 4 = 1").selectExpr("media_id", "'changed' AS display_name").union(m.where("n % 10 = 0").selectExpr("'new' || media_id", "'new'")))
+    return store.read()
+
+
+@query("SELECT media_id, content_revision, 2::BIGINT AS attempts FROM media WHERE n % 2 = 0", "media")
+def g3_scan_retried(t):
+    """A scan during which a volume moves once: the first try is discarded, the second committed."""
+    store, asked = _store(t, buckets=4), iter([1, 2, 2, 2])
+    states = lambda: t.media.select(F.col("volume_name").alias("volume"), F.lit("v").alias("version"), F.lit(next(asked)).cast("long").alias("generation")).distinct()
+    tries = store.scan(states, lambda _: t.media.where("n % 2 = 0").select("media_id", "content_revision"), lambda old, new: catalog.upsert(old, new, ["media_id"]))
+    return store.read().withColumn("attempts", F.lit(tries).cast("long"))
+
+
 # --- streams, as their batch twins --------------------------------------------------------------
-@query("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS started, count(*) AS events FROM (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT event_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL '60' SECOND THEN 0 ELSE 1 END AS new FROM events)) GROUP BY s")
+@query("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS started, count(*) AS events FROM (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT event_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL '60' SECOND THEN 0 ELSE 1 END AS new FROM events)) GROUP BY s")
 def x3_bursts(t):
     return jobs.bursts(t.events, gap="60 seconds").select(F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSS").alias("started"), "events")
 
@@ -176,7 +219,7 @@ def x1_latest_revisions(t):
 
 @query("SELECT native_key FROM ai_embedding JOIN (SELECT m.* FROM media m JOIN exposure x ON x.media_id = m.media_id AND x.content_revision = m.content_revision WHERE availability = 'AVAILABLE' AND exposure = 'SAFE' AND trashed_at IS NULL) el USING (media_id, content_revision, access_epoch)", "media", "exposure", "ai_embedding")
 def x7_publish_fence(t):
-    return jobs.stream_publish(t.ai_embedding, live(t)).select("native_key")
+    return fence.current(t.ai_embedding, live(t)).select("native_key")
 
 
 @query("SELECT media_id, epoch_us(max(ts)) // 1000 AS trashed_ms FROM (SELECT 'u' || user_id AS media_id, ts, event_id % 4 <> 0 AS other FROM events) GROUP BY media_id HAVING NOT max(struct_pack(t := ts, o := other)).o AND epoch_us(max(ts)) // 1000 + 86400000 < (SELECT epoch_us(max(ts)) // 1000 FROM events)")

@@ -4,11 +4,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from mediaframe.sources.pointers import Pointers
+
 MOST_VOLUMES = 200
-POINTER = "seq long, generation string, batch long"
 
 
 def normalize_raw(raw: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def reconcile_detached(media: DataFrame, volumes: DataFrame) -> DataFrame:
     """Device rows of volumes that are no longer listed become INACCESSIBLE."""
     here = volumes.select(F.col("volume").alias("volume_name")).distinct().withColumn("_here", F.lit(True))
     gone = (F.col("source") == "DEVICE") & F.col("_here").isNull() & (F.col("availability") == "AVAILABLE")
-    return media.join(F.broadcast(here), "volume_name", "left").withColumn("availability", F.when(gone, "INACCESSIBLE").otherwise(F.col("availability"))).drop("_here")
+    return media.join(here, "volume_name", "left").withColumn("availability", F.when(gone, "INACCESSIBLE").otherwise(F.col("availability"))).drop("_here")
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -70,32 +70,27 @@ def insert_if_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
 
 
 def published(spark: SparkSession, path: str) -> Row | None:
-    """The last pointer (seq, generation, batch) of what is published at `path`; None if nothing is."""
-    try:
-        return spark.read.schema(POINTER).parquet(f"{path}/_pointer").orderBy(F.col("seq").desc()).first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    """The last pointer (seq, generation) of what is published at `path`; None if nothing is."""
+    seq, pointer = Pointers(spark, f"{path}/_pointer").last()
+    return Row(seq=seq, generation=pointer["generation"]) if seq else None
 
 
-def publish(df: DataFrame, path: str, generation_id: str, batch: int | None = None, keep: int | None = None) -> None:
+def publish(df: DataFrame, path: str, generation_id: str, keep: int | None = None, attempts: int = 3) -> None:
     """Writes a generation to a fresh folder, then adds a pointer to it; readers follow the last pointer.
 
     Nothing that a reader may hold is overwritten: a job that fails half way, or runs again, leaves
-    the last pointer and its folder as they are. There is one writer at a time. `batch` is noted in
-    the pointer, so that a replayed batch can be told. Folders of all but the last `keep`
-    generations are removed afterwards (None: none are).
+    the last pointer and its folder as they are. Other writers' pointers only come before or after this one.
+    Folders of all but the last `keep` generations are removed afterwards (None: none are).
     """
-    spark, last = df.sparkSession, published(df.sparkSession, path)
+    spark, pointers = df.sparkSession, Pointers(df.sparkSession, f"{path}/_pointer")
     name = f"{generation_id}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(f"{path}/generation={name}")
-    spark.createDataFrame([(last.seq + 1 if last else 1, name, batch)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+    if not any(pointers.advance(max(pointers.numbers(), default=0), {"generation": name}) for _ in range(attempts)):
+        raise RuntimeError(f"{attempts} other generations were published meanwhile")
     if keep:
-        old = spark.read.schema(POINTER).parquet(f"{path}/_pointer").orderBy(F.col("seq").desc()).offset(keep).limit(keep + 1).collect()
-        for r in old:  # what earlier calls removed is gone already
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={r.generation}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for number in pointers.numbers()[:-keep]:
+            pointers.remove(f"{path}/generation={pointers.read(number)['generation']}")
+        pointers.trim(keep)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,12 @@ def _short(expression: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
+    """Rules written out as a table of SQL values."""
+    if not rules:
+        return spark.sql("SELECT '' AS rule_host, '' AS rule_path, '' AS rule_verdict WHERE false")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({', '.join(map(quoted, r))})" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_host, rule_path, rule_verdict)")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keys: tuple[str, ...] = ("page_id",),

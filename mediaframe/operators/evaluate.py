@@ -72,7 +72,7 @@ def edit_distance(x: np.ndarray, y: np.ndarray) -> int:
 
     What begins and ends alike is left out. As many edits are needed as there are numbers too many
     of on one side, and for equal lengths no more than differ place by place: where these bounds
-    meet, that is the distance. Else a band around the diagonal is widened until it holds it.
+    meet, that is the distance. Else a column of the table at a time, its cells as bits of whole numbers.
     """
     n = min(len(x), len(y))
     same = np.flatnonzero(x[:n] != y[:n])
@@ -88,28 +88,27 @@ def edit_distance(x: np.ndarray, y: np.ndarray) -> int:
     least = max(int(surplus[surplus > 0].sum()), int(-surplus[surplus < 0].sum()))
     if len(x) == len(y) and int((x != y).sum()) == least:
         return least
-    band = max(32, least)
-    while True:
-        d = _banded(x, y, band)
-        if d <= band or band >= max(len(x), len(y)):
-            return d
-        band *= 4
-
-
-def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """Cost of the best path that keeps within `band` of the diagonal, at least; a row of the table at a time."""
-    far, at = len(x) + len(y) + 1, np.arange(2 * band + 1)
-    if abs(len(x) - len(y)) > band:
-        return far
-    padded = np.concatenate([np.full(band, -1), y, np.full(len(x) + band + 1, -1)])
-    row = np.where((at >= band) & (at - band <= len(y)), at - band, far)
-    for i in range(1, len(x) + 1):
-        column = at + i - band  # of each place in the band
-        step = np.minimum(row + (padded[i - 1 : i + 2 * band] != x[i - 1]), np.append(row[1:], far) + 1)
-        step = np.where((column < 0) | (column > len(y)), far, np.where(column == 0, i, step))
-        row = np.minimum.accumulate(step - at) + at
-        row = np.where((column < 0) | (column > len(y)), far, row)
-    return int(row[len(y) - len(x) + band])
+    return _by_bits(codes[: len(x)], codes[len(x) :])
+
+
+def _by_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """Neighbouring cells of the table differ by one at most: two bits a cell of `x` say up or down, and a
+    column's step is some dozen operations on numbers of len(x) bits, which carry through all cells at once."""
+    if len(x) > len(y):
+        x, y = y, x
+    places: dict[int, int] = {}
+    for at, symbol in enumerate(x.tolist()):
+        places[symbol] = places.get(symbol, 0) | 1 << at
+    whole, last, distance = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    up, down = whole, 0  # of each cell against the one above
+    for symbol in y.tolist():
+        equal = places.get(symbol, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down  # no step from the cell up and left
+        right_up, right_down = down | ~(diagonal | up) & whole, diagonal & up
+        distance += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = (right_down | ~(diagonal | right_up)) & whole, right_up & diagonal & whole
+    return distance
 
 
 @pandas_udf(LongType())
@@ -182,7 +181,7 @@ def ctc_collapse(steps: DataFrame, symbols: DataFrame, key: str = "id") -> DataF
     without blanks (class 0) and repeats of the step before; confidence is the mean of what is kept."""
     best = steps.groupBy(key, "step").agg(F.max_by("class", F.struct("probability", -F.col("class"))).alias("class"), F.max("probability").alias("p"))
     before = F.lag("class").over(Window.partitionBy(key).orderBy("step"))
-    kept = best.withColumn("before", before).where("class <> 0 and (before is null or before <> class)").join(F.broadcast(symbols), "class")
+    kept = best.withColumn("before", before).where("class <> 0 and (before is null or before <> class)").join(symbols, "class")
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "symbol"))), lambda x: x["symbol"]), "").alias("text"), F.avg("p").alias("confidence"))
 
 

@@ -1,7 +1,7 @@
 """Trash, retention and content-addressed ingest."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 RETENTION_MS = 30 * 24 * 3600 * 1000
 
@@ -32,7 +32,7 @@ def expire(media: DataFrame, now: str) -> DataFrame:
 def finish_purge(media: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All tables without the purged rows."""
     gone = media.where("availability = 'PURGING'").select("media_id")
-    return {"media": media.where("availability <> 'PURGING'")} | {k: df.join(gone, "media_id", "left_anti") for k, df in children.items()}
+    return {"media": media.where("availability <> 'PURGING' or availability is null")} | {k: df.join(gone, "media_id", "left_anti") for k, df in children.items()}
 
 
 def ingest_batch(batch: DataFrame, media: DataFrame, max_bytes: int) -> DataFrame:
@@ -44,10 +44,10 @@ def ingest_batch(batch: DataFrame, media: DataFrame, max_bytes: int) -> DataFram
     size = F.coalesce(F.octet_length("content"), F.lit(0))
     failure = F.when(size == 0, "EMPTY").when(size > max_bytes, "TOO_LARGE").when(~F.col("valid"), "INVALID")
     rows = batch.select("seq", failure.alias("failure"), F.when(failure.isNull(), F.sha2(F.col("content").cast("binary"), 256)).alias("sha"))
-    w = Window.partitionBy("sha").orderBy("seq")
+    first = rows.where("sha is not null").groupBy(F.col("sha").alias("of")).agg(F.min("seq").alias("first"))  # failed rows have no digest and meet nobody
     known = media.groupBy("sha").agg(F.max(F.when(F.col("availability") == "TRASHED", 1).otherwise(0)).alias("trashed"))
-    joined = rows.withColumn("r", F.row_number().over(w)).join(known, "sha", "left")
-    outcome = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("r") > 1, "duplicate").when(F.col("trashed") == 1, "restored").when(F.col("trashed") == 0, "duplicate").otherwise("added")
+    joined = rows.join(first, F.col("sha") == F.col("of"), "left").join(known, "sha", "left")
+    outcome = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("seq") > F.col("first"), "duplicate").when(F.col("trashed") == 1, "restored").when(F.col("trashed") == 0, "duplicate").otherwise("added")
     return joined.select("seq", "sha", outcome.alias("outcome"))
 
 

@@ -17,18 +17,18 @@ from mediaframe.sources.buckets import BucketStore
 from mediaframe.streaming import jobs
 
 # --- evaluation ---------------------------------------------------------------------------------
-QUERY = "SELECT vec_id AS query_id, CASE vec_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END AS language, label FROM embeddings WHERE vec_id % 100 = 0"
+QUERY = "SELECT vec_id AS query_id, CASE vec_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END AS language, label, vec_id // 500 AS part FROM embeddings WHERE vec_id % 100 = 0"
 RANKING = f"SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ({TOP.format(v='embeddings', n=100)}) WHERE rank <= 50 AND vec_id <> query_id"
-RELEVANT = "SELECT query_id, vec_id AS id FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query_id"
+RELEVANT = "SELECT query_id, vec_id AS id FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id // 500 = q.part AND e.vec_id <> q.query_id"
 
 
 def _retrieval(t: Tables):
-    """Every hundredth vector as a query, its nearest fifty as the ranking, all of its label as relevant."""
-    e = t.embeddings.select("vec_id", "label")
-    q = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "CASE vec_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END AS language", "label")
+    """Every hundredth vector as a query, its nearest fifty as the ranking, those of its label among the five hundred around it as relevant: so many at any size."""
+    e = t.embeddings.select("vec_id", "label", F.expr("vec_id div 500").alias("part"))
+    q = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "CASE vec_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END AS language", "label", "part")
     found = vs.search_exact(t.embeddings, hundredths(t), 50).where("vec_id <> query_id")
     ranking = found.select("query_id", F.col("vec_id").alias("id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
-    return q.select("query_id", "language"), ranking, q.join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
+    return q.select("query_id", "language"), ranking, q.join(e, ["label", "part"]).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
 
 
 @query("""SELECT language, round(avg(coalesce(h1 / rel, 0)), 6) AS recall_1, round(avg(coalesce(h5 / rel, 0)), 6) AS recall_5, round(avg(coalesce(1 / first, 0)), 6) AS mrr
@@ -70,16 +70,38 @@ def j12_aligned(t):
     return ev.aligned(t.labels.select("doc_id", "quality"), t.documents.join(t.labels, "doc_id", "left_semi").select("doc_id", "lang"), "doc_id")
 
 
-@query("SELECT count(*) AS n_rows FROM labels")
+@query("SELECT doc_id, quality, toxic FROM labels")
 def e8_validate_run(t):
-    dataset = t.labels.agg(F.md5(F.sum("doc_id").cast("string")).alias("dataset_sha"), F.md5(F.count("*").cast("string")).alias("catalogue_sha"))
-    run = t.labels.withColumn("_k", F.lit(1)).join(F.broadcast(dataset.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return ev.validate_run(dataset, run).agg(F.count("*").alias("n_rows"))
+    """The run's rows, which carry the digests of the inputs that they were made from."""
+    dataset = t.labels.agg(F.md5(F.sum(F.xxhash64("doc_id", "quality", "toxic").cast("decimal(38,0)")).cast("string")).alias("dataset_sha"), F.md5(F.count("*").cast("string")).alias("catalogue_sha"))
+    run = t.labels.join(F.broadcast(dataset), F.lit(True))  # one row
+    return ev.validate_run(dataset, run).select("doc_id", "quality", "toxic")
 
 
-@query("SELECT 'retrieval' AS stage, 'not-run' AS status UNION ALL SELECT 'ocr', 'ok' UNION ALL SELECT 'faces', 'ok' UNION ALL SELECT 'sensitive', 'not-run'")
+EDITS3 = "SELECT language, CAST(sum(n) AS BIGINT) AS edits, CAST(sum(length(expected)) AS BIGINT) AS characters, round(sum(n) / sum(length(expected)), 6) AS cer FROM (SELECT *, (length(expected) - length(replace(expected, 'en', ''))) // 2 AS n FROM ocr_eval) GROUP BY language"
+
+
+@query("""SELECT stage, coalesce(status, 'not-run') AS status, metric, value FROM (SELECT unnest(['retrieval', 'ocr', 'faces', 'sensitive']) AS stage) LEFT JOIN (
+ SELECT 'ocr' AS stage, 'ok' AS status, language || '.' || m AS metric, v AS value FROM (SELECT language, unnest(['edits', 'characters', 'cer']) AS m, unnest([edits, characters, cer]::DOUBLE[]) AS v FROM o)
+ UNION ALL SELECT 'faces', 'ok', m, v FROM (SELECT unnest(['far', 'frr']) AS m, unnest([far, frr]::DOUBLE[]) AS v FROM f)) USING (stage)""", "ocr_eval", o=EDITS3,
+       f="SELECT round(count(*) FILTER (WHERE score >= 0.4 AND NOT same) / count(*) FILTER (WHERE NOT same), 6) AS far, round(count(*) FILTER (WHERE score < 0.4 AND same) / count(*) FILTER (WHERE same), 6) AS frr FROM (SELECT vec_id % 3 = 0 AS same, (vec_id * 37 % 100) / CAST(100 AS DOUBLE) AS score FROM embeddings)")
 def s11_eval_report(t):
-    return ev.eval_report(t.spark, {"faces": e5_face_metrics(t), "ocr": e3_character_errors(t)}).select("stage", "status")
+    """The report's stages with each of their metrics, read back from its JSON."""
+    told = ev.eval_report(t.spark, {"faces": e5_face_metrics(t), "ocr": e3_character_errors(t)})
+    row = F.from_json("m", "language string, edits double, characters double, cer double, far double, frr double")
+    lines = told.select("stage", "status", F.explode_outer(F.split("metrics", "\n")).alias("m")).select("stage", "status", row.alias("r"))
+    named = F.array(*[F.struct(F.when(F.col("r.language").isNull(), F.lit(c)).otherwise(F.concat("r.language", F.lit(f".{c}"))).alias("metric"), F.col(f"r.{c}").alias("value")) for c in ("edits", "characters", "cer", "far", "frr")])
+    known = F.filter(named, lambda x: x["value"].isNotNull())
+    return lines.select("stage", "status", F.explode_outer(F.when(F.size(known) > 0, known)).alias("x")).select("stage", "status", "x.metric", "x.value")
+
+
+@query("SELECT doc_id, lang FROM documents")
+def s10_eval_dataset(t):
+    """Rows written as JSON datasets of a hundred photos each, and read back as tables."""
+    path = f"{shared_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
+    photo = F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
+    t.documents.groupBy(F.expr("doc_id div 100").alias("k")).agg(F.collect_list(photo).alias("photos")).select("photos").write.option("maxRecordsPerFile", 1).json(path)
+    return ev.read_eval_dataset(t.spark, path)["photos"].select(F.col("id").alias("doc_id"), F.col("language").alias("lang"))
 
 
 # --- recognised text ----------------------------------------------------------------------------
@@ -94,17 +116,25 @@ def w8_ctc_collapse(t):
     return ev.ctc_collapse(probabilities, symbols).select("id", "text")
 
 
-@query("SELECT lang AS media_id, sha256(string_agg(source || doc_id, chr(10) ORDER BY doc_id % 7, doc_id)) AS text, round(avg(n_chars % 100 / CAST(100 AS DOUBLE)), 6) AS confidence FROM documents GROUP BY lang")
+@query("SELECT doc_id // 8 AS media_id, sha256(string_agg(source || doc_id, chr(10) ORDER BY doc_id % 7, doc_id)) AS text, round(avg(n_chars % 100 / CAST(100 AS DOUBLE)), 6) AS confidence FROM documents GROUP BY 1")
 def a10_assemble_ocr(t):
-    regions = t.documents.selectExpr("lang AS media_id", "CAST(doc_id % 7 AS DOUBLE) AS top", "CAST(doc_id AS DOUBLE) AS left", "source || doc_id AS text", "CAST(n_chars % 100 AS DOUBLE) / 100 AS confidence")
+    regions = t.documents.selectExpr("doc_id div 8 AS media_id", "CAST(doc_id % 7 AS DOUBLE) AS top", "CAST(doc_id AS DOUBLE) AS left", "source || doc_id AS text", "CAST(n_chars % 100 AS DOUBLE) / 100 AS confidence")
     out = ev.assemble_ocr(regions)
     return out.select("media_id", F.sha2("text", 256).alias("text"), F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+#: Boxes of an image in the order of confidence, one a step: a box is kept if it overlaps no kept one by more than 0.3.
+BOXES = "SELECT vec_id // 40 AS image_id, vec_id AS box_id, (vec_id % 37)::DOUBLE AS l, (vec_id % 23)::DOUBLE AS t, 0.85 + (vec_id % 97) / CAST(650 AS DOUBLE) AS confidence FROM embeddings"
+NMS = """SELECT image_id, unnest(kept).b AS box_id FROM (SELECT image_id, arg_max(kept, k) AS kept FROM (WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, box_id) AS r FROM boxes WHERE confidence >= 0.9),
+ w(image_id, k, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::STRUCT(b BIGINT, l DOUBLE, t DOUBLE)[] FROM o UNION ALL
+  SELECT w.image_id, o.r, CASE WHEN len(list_filter(kept, lambda x: greatest(0, 8 - abs(x.l - o.l)) * greatest(0, 8 - abs(x.t - o.t)) > 0.3 * (128 - greatest(0, 8 - abs(x.l - o.l)) * greatest(0, 8 - abs(x.t - o.t))))) = 0 THEN list_append(kept, {b: o.box_id, l: o.l, t: o.t}) ELSE kept END
+  FROM w JOIN o ON o.image_id = w.image_id AND o.r = w.k + 1) SELECT * FROM w) GROUP BY image_id)"""
+
+
+@query("SELECT image_id, box_id FROM nms", boxes=BOXES, nms=NMS)
 def o3_nms(t):
-    boxes = t.embeddings.selectExpr("label AS image_id", "vec_id AS box_id", "CAST(vec_id % 37 AS DOUBLE) AS left", "CAST(vec_id % 23 AS DOUBLE) AS top", "CAST(vec_id % 37 + 8 AS DOUBLE) AS right", "CAST(vec_id % 23 + 8 AS DOUBLE) AS bottom", "0.85D + (vec_id % 97) / 650.0D AS confidence")
-    return ev.nms(boxes)
+    boxes = t.embeddings.selectExpr("vec_id div 40 AS image_id", "vec_id AS box_id", "CAST(vec_id % 37 AS DOUBLE) AS left", "CAST(vec_id % 23 AS DOUBLE) AS top", "CAST(vec_id % 37 + 8 AS DOUBLE) AS right", "CAST(vec_id % 23 + 8 AS DOUBLE) AS bottom", "0.85D + (vec_id % 97) / 650.0D AS confidence")
+    return ev.nms(boxes).select("image_id", "box_id")
 
 
 #: Cosine weights summed over the four samples that fall on one of the eight rows, low coefficients, and their bits against the median.
@@ -119,13 +149,30 @@ def d2_dct_hash(t):
     return luma.select("event_id", dedup.dct_hash("luma", F.lit(8), F.lit(8)).alias("bits"))
 
 
-@query()
+#: Words of each document; and how each distinct word is cut, a piece a step, always by the longest piece that fits next.
+WORDS = r"SELECT doc_id, lang, unnest(list_filter(string_split_regex(regexp_replace(lower(nfc_normalize(text)), '([\p{P}\p{S}\p{Han}])', ' \1 ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents"
+STEPS7 = "SELECT word, p AS pos, max(n) AS n FROM (SELECT DISTINCT word FROM words), unnest(range(1, length(word) + 1)) t(p), unnest(range(1, least(length(word) - p + 1, (SELECT max(length(piece)) FROM vocab)) + 1)) s(n) WHERE substr(word, p, n) IN (SELECT piece FROM vocab) GROUP BY word, p"
+CUT = """SELECT word, CASE WHEN max(pos) > length(word) THEN max(k) END AS pieces FROM (WITH RECURSIVE c(word, pos, k) AS (SELECT DISTINCT word, 1::BIGINT, 0 FROM words UNION ALL SELECT c.word, c.pos + s.n, k + 1 FROM c JOIN steps s ON s.word = c.word AND s.pos = c.pos) SELECT * FROM c) GROUP BY word"""
+PIECES = r"SELECT DISTINCT piece FROM (SELECT unnest([substr(word, 1, 1), substr(word, 1, 2), substr(word, 2, 1), substr(word, 2, 2), substr(word, 3, 2)]) AS piece FROM letters UNION ALL SELECT word FROM letters GROUP BY word HAVING count(*) >= 20) WHERE piece <> ''"
+LETTERS = r"SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents"
+
+
+def _vocab(t: Tables):
+    """Pieces of one or two characters from the words' beginnings, and the words that occur twenty times."""
+    letters = t.documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counted = letters.groupBy("word").agg(F.count("*").alias("n"))
+    parts = F.array(F.substring("word", 1, 1), F.substring("word", 1, 2), F.substring("word", 2, 1), F.substring("word", 2, 2), F.substring("word", 3, 2))
+    return counted.select(F.explode(parts).alias("piece")).union(counted.where("n >= 20").select("word")).where("piece <> ''").distinct()
+
+
+@query("SELECT doc_id, lang, sum(coalesce(pieces, 1))::BIGINT AS tokens, sum(coalesce(pieces, 1)) > 77 AS truncated FROM words JOIN cut USING (word) GROUP BY doc_id, lang", letters=LETTERS, vocab=PIECES, words=WORDS, steps=STEPS7, cut=CUT)
 def n7_token_report(t):
-    vocab = t.documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").select(F.explode(F.array(F.substring("word", 1, 1), F.substring("word", 1, 2), F.substring("word", 2, 1), F.substring("word", 2, 2), F.substring("word", 3, 2))).alias("piece")).where("piece <> ''").distinct()
-    return tokenize_corpus(t.documents, vocab)[0]
+    return tokenize_corpus(t.documents, _vocab(t))[0]
 
 
-@query()
+#: Where all pieces are single characters, a word is known if all of its characters are.
+@query("SELECT lang, count(*) AS words, round(count(*) FILTER (WHERE unknown) / count(*), 6) AS unknown_rate FROM words JOIN (SELECT word, len(list_filter(string_split(word, ''), lambda c: NOT list_contains(v, c))) > 0 AS unknown FROM (SELECT DISTINCT word FROM words), (SELECT list(piece) AS v FROM vocab)) USING (word) GROUP BY lang",
+       vocab="SELECT DISTINCT unnest(string_split(lower(text), '')) AS piece FROM documents WHERE lang = 'en'", words=WORDS)
 def n7_unknown_rates(t):
     vocab = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "")).alias("piece")).distinct()
     return tokenize_corpus(t.documents, vocab)[1]

@@ -34,6 +34,13 @@ def d1_content_digest(t):
     return dedup.fingerprint(live(t), content)[0].select("media_id", "sha")
 
 
+@query("SELECT el.media_id, sha, bits FROM el JOIN fp ON fp.id = el.n WHERE n % 7 <> 3", "media", "exposure", el=EL, fp=FP)
+def hf_fingerprint(t):
+    """Digest and perceptual hash by a decoder of one's own; media whose content it cannot read are not among them."""
+    content = t.media.join(t.documents, F.col("n") == F.col("doc_id")).select("media_id", F.when(F.col("n") % 7 != 3, F.col("text")).alias("content"))
+    return dedup.fingerprint(live(t), content, dedup.text_hash)[0].select("media_id", "sha", "bits")
+
+
 @query("SELECT vec_id, CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] >= list_sort(embedding[1:63])[32] THEN CAST(1 AS HUGEINT) << i ELSE 0 END)) AS BIGINT) AS bits FROM embeddings")
 def d3_median_hash(t):
     return t.embeddings.select("vec_id", nx.median_hash(F.col("embedding")).alias("bits"))
@@ -262,7 +269,14 @@ def _faces(t: Tables):
     return chunk(f.select("detection_id", "anchor_id", "embedding"), [F.col("detection_id")], 128)
 
 
-@query()
+#: Faces in windows of 128 by detection, in the order of anchors; those that a face cannot be with; then a face a step, into the first cluster without any of these.
+WINDOWS = "SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY anchor_id, detection_id) AS i FROM (SELECT detection_id, anchor_id, embedding, (row_number() OVER (ORDER BY detection_id) - 1) // 128 AS chunk FROM ai_face_detection JOIN embeddings ON vec_id = CAST(substr(detection_id, 2) AS BIGINT))"
+APART = f"SELECT q.chunk, q.i, coalesce(list(v.i) FILTER (WHERE {{cos}} < 0.363 OR q.anchor_id = 'f000000' AND v.kept OR v.anchor_id = 'f000000' AND q.kept), []) AS bad FROM (SELECT *, detection_id LIKE '%7' AND anchor_id <> 'f000000' AS kept FROM win) q JOIN (SELECT *, detection_id LIKE '%7' AND anchor_id <> 'f000000' AS kept FROM win) v ON v.chunk = q.chunk AND v.i < q.i GROUP BY 1, 2"
+CLUSTERED = """SELECT chunk, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS c FROM (SELECT chunk, arg_max(a, k) AS a FROM (WITH RECURSIVE w(chunk, k, a) AS (SELECT DISTINCT chunk, 1::BIGINT, [1::BIGINT] FROM win UNION ALL
+ SELECT w.chunk, k + 1, list_append(a, coalesce(list_min(list_filter(list_distinct(a), lambda c: NOT list_contains(list_transform(bad, lambda j: a[j]), c))), k + 1)) FROM w JOIN apart p ON p.chunk = w.chunk AND p.i = k + 1) SELECT * FROM w) GROUP BY chunk)"""
+
+
+@query("SELECT x.detection_id, x.anchor_id, 'auto:' || y.anchor_id AS cluster_id FROM clustered c JOIN win x ON x.chunk = c.chunk AND x.i = c.i JOIN win y ON y.chunk = c.chunk AND y.i = c.c", "ai_face_detection", win=WINDOWS, apart=APART.format(cos=COS), clustered=CLUSTERED)
 def f2_cluster_faces(t):
     links = t.ai_face_detection.where("detection_id like '%7'").select(F.col("anchor_id").alias("a"), F.lit("f000000").alias("b"))
     return people.cluster_faces(_faces(t), people.keep_apart(links))

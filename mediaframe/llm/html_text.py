@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import cache
 from html import escape, unescape
 
@@ -24,6 +24,8 @@ ENDS = {
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "body": ({"head"}, {"html"}),
 }
+#: Elements that only change how text looks: their ends do not end the blocks inside them.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SCOPES = frozenset("table td th caption button object html template".split())
 ACROSS = SCOPES | frozenset("tr tbody thead tfoot".split())  # whose end tags look past open scopes
 _BLANK = r"[ \t\n\r\f]"
@@ -37,8 +39,9 @@ _SPACE = re.compile(rf"{_BLANK}+")
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _CSS_PART = re.compile(r"([^{}]*+)([{}])")
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+ROUNDS = 8  # blocks at most that move out of one formatting element, as in browsers
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
-DEEPEST, PADDING, NESTED = 256, 1 << 20, 8  # columns of indent, characters of padding in a table, and aligned tables inside each other, that a page may ask for at most
+DEEPEST, PADDING, NESTED = 256, 1 << 20, 64  # columns of indent, characters of padding in a table, and aligned tables inside each other, that a page may ask for at most
 
 
 class Node:
@@ -81,30 +84,48 @@ def attributes(html: str, at: int) -> tuple[dict[str, str], int] | None:
 def parse(html: str) -> tuple[Node, list[str]]:
     """A tree of elements and strings, with implied ends and the implied tbody and tr; and the style sheets in it.
 
-    Where the open elements of each tag stand is kept beside the stack, so that no step looks
+    The end of a formatting element leaves the blocks open that stand in it: they move out of it, one out of the
+    other, and what each holds so far goes into a copy of it. Other inline elements' ends are passed
+    over where a block is open inside. Where the open elements of each tag stand is kept beside the stack, so that no step looks
     through elements that it does not close: time is linear in the page however deep it nests.
     """
     root, sheets = Node("html"), []
-    stack, where, scopes = [root], {"html": [0]}, [0]
+    stack, where, scopes, blocks = [root], {"html": [0]}, [0], [0]
+    holder: list[list] = [[root]]  # the children among which each open element is the last
+    gone: dict[int, int] = {}  # places of elements that ended before what stands above them, and a place below each
     at, n = 0, len(html)
 
     def last(tag: str) -> int:
-        places = where.get(tag)
+        places = where.get(tag, [])
+        while places and places[-1] in gone:
+            places.pop()
         return places[-1] if places else -1
 
+    def open_below(place: int) -> int:
+        """The nearest place under `place` whose element is still open."""
+        passed, place = [], place - 1
+        while place in gone:
+            passed.append(place)
+            place = gone[place]
+        for x in passed:
+            gone[x] = place
+        return place
+
     def cut(to: int) -> None:
-        while len(stack) > to:
-            tag = stack.pop().tag
-            where[tag].pop()
-            if tag in SCOPES:
-                scopes.pop()
+        while len(stack) > to or len(stack) - 1 in gone:
+            tag, place = stack.pop().tag, len(stack)
+            holder.pop()
+            gone.pop(place, None)
+            for places in (where[tag], scopes, blocks):
+                if places and places[-1] == place:
+                    places.pop()
 
     def close(names, until) -> None:
         """End the innermost open element of `names` inside the nearest of `until`, with those of `names` right around it."""
         found = max(map(last, names))
         if found > max(map(last, until)) and found > 0:
-            while found > 1 and stack[found - 1].tag in names:
-                found -= 1
+            while (below := open_below(found)) > 0 and stack[below].tag in names:
+                found = below
             cut(found)
 
     def push(tag: str, attrs=None) -> Node:
@@ -113,9 +134,35 @@ def parse(html: str) -> tuple[Node, list[str]]:
         where.setdefault(tag, []).append(len(stack))
         if tag in SCOPES:
             scopes.append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        holder.append(stack[-1].children)
         stack.append(node)
         return node
 
+    def end_formatting(found: int) -> None:
+        """Ends the formatting element at `found`, in which blocks are open."""
+        ended, above, under = stack[found], open_below(found), found
+        gone[found] = above
+        first = bisect_right(blocks, found)
+        for k in range(first, min(first + ROUNDS, len(blocks))):
+            block = blocks[k]
+            moved, i = holder[block].pop(), open_below(block)
+            holder[block] = stack[above].children
+            while i > under:
+                if stack[i].tag in FORMATTING:
+                    around = Node(stack[i].tag, stack[i].attrs)
+                    if moved is stack[block]:
+                        holder[block] = around.children
+                    around.children.append(moved)
+                    moved = around
+                gone[i] = above
+                i = open_below(i)
+            stack[above].children.append(moved)
+            copy = Node(ended.tag, ended.attrs)
+            copy.children, stack[block].children = stack[block].children, [copy]
+            above = under = block
+
     while at < n:
         m = _TEXT.match(html, at)
         if m:
@@ -144,7 +191,10 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 stack[-1].children.append(Node("p"))
             found = last(tag)
             if found > (0 if tag in ACROSS else scopes[-1]):
-                cut(found)
+                if tag in BLOCKS or tag in SCOPES or blocks[-1] < found:
+                    cut(found)
+                elif tag in FORMATTING:
+                    end_formatting(found)
             continue
         if tag == "html":
             continue
@@ -289,6 +339,11 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
+def _whole(node: Node, name: str, default: int) -> int:
+    value = node.attrs.get(name, "")
+    return int(value) if re.fullmatch(r"-?\d{1,9}", value) else default
+
+
 def _span(node: Node, name: str) -> int:
     value = node.attrs.get(name, "")
     return min(max(int(value), 1), 1000) if value.isdecimal() else 1
@@ -379,13 +434,15 @@ def render(root: Node, looks: Looks) -> str:
             if tag in BLOCKS:
                 page.gap(tag in PARAGRAPHS and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.attrs.get("start", "")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                back = tag == "ol" and "reversed" in node.attrs
+                start = _whole(node, "start", sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1)
+                lists.append([tag == "ol", start, -1 if back else 1])
             elif tag == "li":
-                ordered, number = lists[-1] if lists else (False, 0)
+                ordered, number, step = lists[-1] if lists else (False, 0, 1)
+                number = _whole(node, "value", number)
                 mark = f"{number}. " if ordered else "- "
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] = number + step
                 page.indent(len(mark))
                 page.mark = mark
             elif tag == "dd":

@@ -130,6 +130,28 @@ def slow_tree(html):
             if stack[k][0] in names:
                 return k
 
+    def children_with(node, x):
+        return node[2] if any(c is x for c in node[2]) else next((f for c in node[2] if isinstance(c, tuple) for f in [children_with(c, x)] if f is not None), None)
+
+    def leave_blocks(k):
+        """The blocks in the formatting element at k move out of it, at most eight, each into the one before."""
+        name, attrs, around = *stack[k][:2], stack[k - 1]
+        stack[k : k + 1] = []
+        for _ in range(8):
+            j = next((j for j in range(k, len(stack)) if stack[j][0] in html_text.BLOCKS), None)
+            if j is None:
+                return
+            block, between = stack[j], stack[k:j]
+            held = children_with(root, block)
+            del held[next(i for i, c in enumerate(held) if c is block)]
+            moved = block
+            for x in reversed(between):
+                moved = (x[0], x[1], [moved]) if x[0] in html_text.FORMATTING else moved
+            around[2].append(moved)
+            block[2][:] = [(name, attrs, list(block[2]))]
+            stack[k:j] = []
+            around, k = block, k + 1
+
     for kind, *t in slow_tokens(html):
         if kind == "text":
             stack[-1][2].append(t[0])
@@ -141,7 +163,11 @@ def slow_tree(html):
             if t[0] == "p" and nearest({"p"}, html_text.SCOPES) is None:
                 stack[-1][2].append(("p", {}, []))
             k = nearest({t[0]}, scope)
-            del stack[k if k else len(stack) :]
+            inside = [x for x in stack[k + 1 :] if x[0] in html_text.BLOCKS] if k else []
+            if inside and t[0] in html_text.FORMATTING:
+                leave_blocks(k)
+            elif not inside or t[0] in html_text.BLOCKS | html_text.SCOPES:
+                del stack[k if k else len(stack) :]
         elif t[0] != "html":
             name, attrs = t
             if name in html_text.BLOCKS and name not in ("option", "optgroup"):
@@ -188,7 +214,7 @@ def slow_words(tag, attrs, children):
     return " ".join(html.unescape(c) if isinstance(c, str) else slow_words(*c) for c in children)
 
 
-SOUP = ["<p>", "</p>", "<div class=\"x\"\">", "</div>", "<b title=it's>", "</b>", "word ", "x<y ", "a&amp;b ", "<br>", "<br/>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "<td colspan='2'>", "</table>", "</td>", "<!-- c -->", "<!-->", "<!--x--!>",
+SOUP = ["<p>", "</p>", "<div class=\"x\"\">", "</div>", "<b title=it's>", "</b>", "<i hidden>", "</i>", "<em>", "</em>", "word ", "x<y ", "a&amp;b ", "<br>", "<br/>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "<td colspan='2'>", "</table>", "</td>", "<!-- c -->", "<!-->", "<!--x--!>",
         "<!doctype html>", "</>", "</ p>", "<?pi >", "<script>if(a<b){'</p>'}</script>", "<style>p{}</style >", "<textarea><p>t</textarea>", "<select><option>o", "</select>", "<dl><dt>", "<dd>", "</dl>", "<button>", "</button>", "<span hidden>", "</span>",
         "<i style='display:none'>", "</i>", "<details>", "<summary>", "</details>", "<a href=/x/y>", "<a b='>'c=\"<\" d>", "</a>", "<img =x>", "<p / q = 'r' s=>", "<thead>", "<caption>", "</tr>", "\n ", "<<", "é", "<1", "</html>", "<dialog open>", "</dialog>", "<title>t</title>"]
 
@@ -204,11 +230,23 @@ def test_parser_equals_slow_one(sf_pages=("/root/testdata/sf0.001/pages.parquet"
         cells = re.sub(r"(?m)^ *(?:- |\d+\. )", " ", html_text.visible_text(page)) if page in pages else html_text.visible_text(page)
         letters = lambda x: sorted("".join(c for c in x if c.isalpha()))
         assert letters(cells) == letters(slow_words(*want)), page
+        if "<t" not in page and "<li" not in page:  # without cells side by side and list marks: in the order of the page
+            assert "".join(filter(str.isalpha, cells)) == "".join(filter(str.isalpha, slow_words(*want))), page
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<b>a<p>b</b>c</p>d", "a\n\nbc\n\nd"), ("<i hidden>x<p>y</i>z</p>w", "z\n\nw"), ("<b hidden>x<div>y<div>z</b>v</div>u</div>w", "v\nu\nw"),
+    ("<span>a<p>b</span>c</p>d", "a\n\nbc\n\nd"), ("<b><i>a</b>b</i>c", "abc"), ("<a>1<div>2</a>3</div><a>4</a>", "1\n23\n4"), ("<ul><li><b>a<li>b</b>c</ul>d", "- a\n- bc\n\nd"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"), ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+    ("<table><tr><td>" * 10 + "<table><tr><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+])
+def test_layouts_of_misnested_pages_and_lists(page, text):
+    assert html_text.visible_text(page) == text
 
 
 def test_hostile_pages_are_linear_and_whole():
     many = 100_000
-    for page in ("<div>" * many + "x", "<ul><li>x" * (many // 4), "<b></p>" * many, "<a b='c' \"d" * many, "</script <" * many, "<script>" + "</script <" * many, "<table><tr><td>x" * (many // 20), "<div>" * many + "<option>x" * many, "<b>" * many + "</i>" * many):
+    for page in ("<b><div>" * (many // 4) + "</b>" * (many // 4) + "x", "<b>" * (many // 4) + "<div>" * (many // 4) + "</b>" * (many // 4), "<div><b><i>" * (many // 8) + "</b>" * (many // 4) + "<option>" * (many // 4), "<li><b><p>" * (many // 8) + "</b></i>" * (many // 4), "<div>" * many + "x", "<ul><li>x" * (many // 4), "<b></p>" * many, "<a b='c' \"d" * many, "</script <" * many, "<script>" + "</script <" * many, "<table><tr><td>x" * (many // 20), "<div>" * many + "<option>x" * many, "<b>" * many + "</i>" * many):
         began = time.time()
         html_text.visible_text(page)
         assert time.time() - began < 8, page[:20]

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` reliably, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written as Parquet under a fresh name in the shared folder and read from there; and where it lies."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes what a job has stored and nobody reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

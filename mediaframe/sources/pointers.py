@@ -5,6 +5,8 @@ import json
 
 from pyspark.sql import SparkSession
 
+from mediaframe.plans.lineage import remove_folder
+
 
 class Pointers:
     """Numbered pointers in a folder. The last one counts; none is ever changed.
@@ -28,8 +30,7 @@ class Pointers:
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
     def remove(self, path: str) -> None:
-        fs, at = self._at(path)
-        fs.delete(at, True)
+        remove_folder(self.spark, path)
 
     def numbers(self) -> list[int]:
         return [int(n.removesuffix(".json")) for n in self.names(self.path) if n.endswith(".json")]

@@ -18,7 +18,8 @@ FP = r"""SELECT doc_id AS id, sha256(text) AS sha, CAST(coalesce(b, 0) AS BIGINT
 
 
 def hashes(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), dedup.text_hash("text").alias("bits"))
+    """Each document's digest and hash, made once though the queries read them several times."""
+    return cut_lineage(t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), dedup.text_hash("text").alias("bits")))
 
 
 DOCS = "SELECT doc_id AS id, sha256(text) AS sha FROM documents"

@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -58,19 +58,24 @@ def dct_hash(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return out
 
 
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
 @pandas_udf(LongType())
 def text_hash(text: pd.Series) -> pd.Series:
     """60-bit perceptual hash of a text: the bits set in more than half of its two-word pieces' MD5; null stays null, a text of under two words has 0."""
     def one(t: str | None):
         if t is None:
             return None
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
-        digests = [hashlib.md5(f"{a} {b}".encode()).digest()[:8] for a, b in zip(w, w[1:])]
-        if not digests:
+        w = t.encode().translate(_BLANKS).split(b" ")
+        w = [x for x in w if x] if b"" in w else w
+        if len(w) < 2:
             return 0
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-        return int("".join("1" if 2 * x > len(digests) else "0" for x in bits[:60]), 2)
+        digests = np.frombuffer(b"".join([md5(p).digest() for p in map(b" ".join, zip(w, w[1:]))]), np.uint8).reshape(-1, 16)
+        bits = 2 * np.unpackbits(digests[:, :8], axis=1).sum(axis=0) > len(digests)
+        return int.from_bytes(np.packbits(bits).tobytes(), "big") >> 4
 
+    md5 = partial(hashlib.md5, usedforsecurity=False)
     return pd.Series([one(t) for t in text], dtype="Int64", index=text.index)
 
 

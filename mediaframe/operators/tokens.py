@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mediaframe.functions.text import nfc
+from mediaframe.plans.lineage import cut_lineage
 
 MOST_PIECES, _CODES = 2_000_000, 1 << 21
 
@@ -85,7 +86,7 @@ def tokenize_corpus(docs: DataFrame, vocab: DataFrame, max_len: int = 77, most_p
     to the tasks as a trie, which the distinct words of each batch walk; a larger one is joined.
     """
     worded = docs.select("doc_id", "lang", basic_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    pieces = vocab.select("piece").where("piece <> ''").distinct()
+    pieces = cut_lineage(vocab.select("piece").where("piece <> ''").distinct())
     if pieces.count() <= most_pieces:
         each = _walked(worded, Trie.of([r.piece for r in pieces.collect()]))
     else:

@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and dealing out small tables."""
 from __future__ import annotations
 
 import re
@@ -30,6 +30,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as the session runs tasks, before work that is heavy for each row.
+
+    A table in one file of one row group is one task, however many cores wait. A table of many splits stays as it
+    lies, so nothing is shuffled where it is large.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` written as Parquet under a fresh name in the shared folder and read from there; and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from mediaframe.functions import numbers as nx, text as tx
 from mediaframe.operators import dedup, evaluate as ev, fence, vector_search as vs
 from mediaframe.operators.tokens import tokenize_corpus
-from mediaframe.plans.lineage import shared_folder
+from mediaframe.plans.lineage import shared_folder, spread
 from mediaframe.queries.catalogue import TOP, hundredths
 from mediaframe.queries.registry import M, V, Tables, query
 from mediaframe.queries.timeline import live, shown
@@ -40,12 +40,12 @@ def e1_retrieval_metrics(t):
 #: 'en' became 'on': no fewer edits can take away so many e's, nor so many words with 'en', and so many do.
 @query("SELECT language, CAST(sum(n) AS BIGINT) AS edits, CAST(sum(length(expected)) AS BIGINT) AS characters, round(sum(n) / sum(length(expected)), 6) AS cer FROM (SELECT *, (length(expected) - length(replace(expected, 'en', ''))) // 2 AS n FROM ocr_eval) GROUP BY language", "ocr_eval")
 def e3_character_errors(t):
-    return ev.character_errors(t.ocr_eval)
+    return ev.character_errors(spread(t.ocr_eval))
 
 
 @query("SELECT language, CAST(sum(len(list_filter(w, lambda x: contains(x, 'en')))) AS BIGINT) AS edits, CAST(sum(len(w)) AS BIGINT) AS words, round(sum(len(list_filter(w, lambda x: contains(x, 'en')))) / sum(len(w)), 6) AS wer FROM (SELECT language, list_filter(string_split_regex(expected, '\\s+'), lambda x: x <> '') AS w FROM ocr_eval) GROUP BY language", "ocr_eval")
 def e4_word_errors(t):
-    return ev.word_errors(t.ocr_eval)
+    return ev.word_errors(spread(t.ocr_eval))
 
 
 @query("SELECT round(count(*) FILTER (WHERE score >= 0.4 AND NOT same) / count(*) FILTER (WHERE NOT same), 6) AS far, round(count(*) FILTER (WHERE score < 0.4 AND same) / count(*) FILTER (WHERE same), 6) AS frr FROM (SELECT vec_id % 3 = 0 AS same, (vec_id * 37 % 100) / CAST(100 AS DOUBLE) AS score FROM embeddings)")
@@ -159,23 +159,24 @@ LETTERS = r"SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word
 
 def _vocab(t: Tables):
     """Pieces of one or two characters from the words' beginnings, and the words that occur twenty times."""
-    letters = t.documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    letters = spread(t.documents.select("text")).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = letters.groupBy("word").agg(F.count("*").alias("n"))
     parts = F.array(F.substring("word", 1, 1), F.substring("word", 1, 2), F.substring("word", 2, 1), F.substring("word", 2, 2), F.substring("word", 3, 2))
-    return counted.select(F.explode(parts).alias("piece")).union(counted.where("n >= 20").select("word")).where("piece <> ''").distinct()
+    return counted.select(F.explode(F.concat(parts, F.when(F.col("n") >= 20, F.array("word")).otherwise(F.array().cast("array<string>")))).alias("piece")).where("piece <> ''").distinct()
 
 
 @query("SELECT doc_id, lang, sum(coalesce(pieces, 1))::BIGINT AS tokens, sum(coalesce(pieces, 1)) > 77 AS truncated FROM words JOIN cut USING (word) GROUP BY doc_id, lang", letters=LETTERS, vocab=PIECES, words=WORDS, steps=STEPS7, cut=CUT)
 def n7_token_report(t):
-    return tokenize_corpus(t.documents, _vocab(t))[0]
+    return tokenize_corpus(spread(t.documents.select("doc_id", "lang", "text")), _vocab(t))[0]
 
 
 #: Where all pieces are single characters, a word is known if all of its characters are.
 @query("SELECT lang, count(*) AS words, round(count(*) FILTER (WHERE unknown) / count(*), 6) AS unknown_rate FROM words JOIN (SELECT word, len(list_filter(string_split(word, ''), lambda c: NOT list_contains(v, c))) > 0 AS unknown FROM (SELECT DISTINCT word FROM words), (SELECT list(piece) AS v FROM vocab)) USING (word) GROUP BY lang",
        vocab="SELECT DISTINCT unnest(string_split(lower(text), '')) AS piece FROM documents WHERE lang = 'en'", words=WORDS)
 def n7_unknown_rates(t):
-    vocab = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "")).alias("piece")).distinct()
-    return tokenize_corpus(t.documents, vocab)[1]
+    docs = spread(t.documents.select("doc_id", "lang", "text"))
+    vocab = docs.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "")).alias("piece")).distinct()
+    return tokenize_corpus(docs, vocab)[1]
 
 
 @query("SELECT doc_id, 1 + doc_id % 3 AS regions, source || '0' AS first_text, (doc_id % 3) * (1 + doc_id % 3) / CAST(8 AS DOUBLE) AS lefts, false AS broken FROM documents")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import numbers as nx
 from mediaframe.operators import dedup, fence, generation as gen, lifecycle as life, people, policy, vector_search as vs
-from mediaframe.plans.lineage import cut_lineage
+from mediaframe.plans.lineage import cut_lineage, spread
 from mediaframe.queries.registry import EL, M, V, Tables, query
 from mediaframe.queries.timeline import FILES, _files, live, shown
 from mediaframe.sources import catalog
@@ -19,7 +19,7 @@ FP = r"""SELECT doc_id AS id, sha256(text) AS sha, CAST(coalesce(b, 0) AS BIGINT
 
 def hashes(t: Tables):
     """Each document's digest and hash, made once though the queries read them several times."""
-    return cut_lineage(t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), dedup.text_hash("text").alias("bits")))
+    return cut_lineage(spread(t.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), dedup.text_hash("text").alias("bits")))
 
 
 DOCS = "SELECT doc_id AS id, sha256(text) AS sha FROM documents"

@@ -16,22 +16,24 @@ Measures = dict[str, Column]
 @dataclass(frozen=True)
 class Rule:
     """`rejects` gives a boolean column from `measures()`; null means no rejection. `cost` is the work of
-    deciding it for one text, in characters looked at, as SQL over `chars` and `n_words`."""
+    deciding it for one text, in characters looked at, as SQL over `chars` and `n_words`; `reads` are the
+    measures that this work goes into. Where all of them are taken anyway, the rule is one comparison."""
     name: str
     rejects: Callable[[Measures], Column]
     cost: str
+    reads: tuple[str, ...] = ("text",)
 
 
 #: The rules of the base verdict.
 BASE = (
-    Rule("few_words", lambda m: m["n_words"] < 50, "1"),
-    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], "12 * n_words * log2(n_words + 2)"),
+    Rule("few_words", lambda m: m["n_words"] < 50, "1", ("n_words",)),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], "12 * n_words * log2(n_words + 2)", ("n_repeat_words",)),
 )
 #: Beside the two base rules. A text must be far off what prose looks like in any of the four languages.
 RULES = (
-    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], "3 * chars"),
-    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]), "chars + n_words"),
-    Rule("repeated_lines", lambda m: (m["n_lines"] > 3) & (2 * m["n_dup_lines"] > m["n_lines"]), "2 * chars"),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], "3 * chars", ("n_symbols",)),
+    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]), "chars + n_words", ("word_chars",)),
+    Rule("repeated_lines", lambda m: (m["n_lines"] > 3) & (2 * m["n_dup_lines"] > m["n_lines"]), "2 * chars", ("n_lines", "n_dup_lines")),
     Rule("capitals", lambda m: 2 * F.length(F.regexp_replace(m["text"], "[^A-Z]+", "")) > F.length(m["text"]), "4 * chars"),
     Rule("shouting", lambda m: 4 * (F.length(m["text"]) - F.length(F.replace(m["text"], F.lit("!!"), F.lit("!")))) > m["n_words"], "chars"),
 )
@@ -89,8 +91,8 @@ def measures(text: Column, words: Column) -> Measures:
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def order_rules(worded: DataFrame, rules, sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejection per cost, best first; `worded` has `text`, `_words` and keys.
+def order_rules(worded: DataFrame, rules, sample_rows: int = 2000, taken: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules by rejection per cost, best first; `worded` has `text`, `_words` and keys, `taken` names the measures that are there in any case.
 
     Each rule's cost and what it rejects are estimated on the `sample_rows` rows of the smallest
     hashes in the whole table, so the order does not depend on how the rows lie. After each choice
@@ -102,7 +104,7 @@ def order_rules(worded: DataFrame, rules, sample_rows: int = 2000) -> list[Rule]
     m = measures(F.col("text"), F.col("_words"))
     near = worded.where(h < int(min(1.0, 2 * (sample_rows + 50) / max(n, 1)) * (1 << 30)))  # about twice the rows wanted
     sized = near.select("text", "_words", h.alias("h"), F.length("text").alias("chars"), m["n_words"].alias("n_words"))
-    rows = sized.select("h", *[F.coalesce(r.rejects(m), F.lit(False)) for r in rules], *[F.expr(r.cost).cast("double") for r in rules]).orderBy("h").limit(sample_rows).collect()  # numbers only
+    rows = sized.select("h", *[F.coalesce(r.rejects(m), F.lit(False)) for r in rules], *[F.expr("1" if set(r.reads) <= set(taken) else r.cost).cast("double") for r in rules]).orderBy("h").limit(sample_rows).collect()  # numbers only
     left, out, rest = [r[1:] for r in rows], [], list(range(len(rules)))
     while rest:
         cost = {i: 1 + sum(r[len(rules) + i] for r in left) / max(1, len(left)) for i in rest}
@@ -140,12 +142,12 @@ def apply_rules(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("d
     One row per input row, repeated rows included; other columns are not read. A null text has
     no words, and so fails the base rule; an empty table gives an empty result; texts of any length
     are measured whole. Rules that tie are taken by lower cost, then by name. The base measures are
-    returned, so all of them are taken; the further rules run only for rows that pass the base.
+    returned, so all of them are taken and cost the further rules nothing; these run only for rows that pass the base.
     """
-    worded = _worded(docs, text, keys)
-    ordered = order_rules(worded, rules, sample_rows)
+    worded, known = _worded(docs, text, keys), (*REPORTED, "n_lines")
+    ordered = order_rules(worded, rules, sample_rows, known)
     m = measures(F.col("text"), F.col("_words"))
-    measured = worded.select(*keys, "text", *[m[n].alias(n) for n in (*REPORTED, "n_lines")])
+    measured = worded.select(*keys, "text", *[m[n].alias(n) for n in known])
     taken = {n: F.col(n) for n in m}
     failed = BASE[0].rejects(taken) | BASE[1].rejects(taken)
     judged = measured.withColumn("failed_rule", _first_failed(ordered, taken, F.when(failed, F.lit("base"))))

@@ -62,6 +62,16 @@ def test_quality_order_follows_rows_not_their_layout(spark):
     assert quality_rules.keep_good(held).columns == held.columns
 
 
+def test_measures_that_are_taken_cost_nothing(spark):
+    # Capitals reject twice as often as symbols, but read the text, which symbols do not where they are counted already.
+    rows = [(i, "PLAIN LOUD WORDS " * 30 + str(i)) for i in range(200)] + [(1000 + i, f"a calm # and $ line of words {i} " * 20) for i in range(100)]
+    worded = quality_rules._worded(documents(spark, rows), "text", ("doc_id",))
+    order = lambda *taken: [r.name for r in quality_rules.order_rules(worded, quality_rules.RULES, 300, taken)]
+    alone, beside = order(), order(*quality_rules.REPORTED, "n_lines")
+    assert alone.index("capitals") < alone.index("symbols") and beside.index("symbols") < beside.index("capitals")
+    assert sorted(alone) == sorted(beside)
+
+
 def test_quality_of_a_very_long_text(spark):
     long = " ".join(f"w{i % 70001}" for i in range(3_000_000))  # about 20 MB, all its words repeat in windows
     r = quality_rules.apply_rules(documents(spark, [(1, long), (2, "short")])).where("doc_id = 1").first()

@@ -135,10 +135,10 @@ def membership_digest(derived: DataFrame) -> DataFrame:
     """One row: rows and an order-free digest of (native_key, media_id, content_revision, access_epoch).
 
     Row hashes are combined by exclusive-or and sum, so no global order is needed; it is not the
-    digest of the ordered rows.
+    digest of the ordered rows. The sum of 48-bit hashes passes a long's range at some 65,000 rows, so it is a decimal's.
     """
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", "native_key", "media_id", "content_revision", "access_epoch"), 256), 1, 12), 16, 10).cast("long")
-    return derived.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("xor"), F.sum("h").cast("decimal(38,0)").cast("string").alias("sum"))
+    return derived.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("sum"))
 
 
 def dedup_bytes(files: DataFrame) -> DataFrame:

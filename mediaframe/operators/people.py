@@ -142,10 +142,10 @@ def cluster_faces(faces: DataFrame, sides: DataFrame, threshold: float = 0.363,
         lambda f, l: greedy(f, l) if len(f) else pd.DataFrame({"detection_id": [], "anchor_id": [], "cluster_id": []}, dtype=object), "detection_id string, anchor_id string, cluster_id string")
 
 
-def apply_edits(log: DataFrame) -> DataFrame:
-    """The decision in force for each anchor: the latest edit, unless it clears."""
-    last = log.groupBy("anchor_id").agg(F.max(F.struct("updated_at", "action", "person_id")).alias("e"))
-    return last.select("anchor_id", F.col("e.action").alias("decision"), "e.person_id").where("decision <> 'CLEAR'")
+def apply_edits(log: DataFrame, key: tuple[str, ...] = ("anchor_id",)) -> DataFrame:
+    """The decision in force for each anchor, or other `key` that edits are made for: the latest edit, unless it clears."""
+    last = log.groupBy(*key).agg(F.max(F.struct("updated_at", "action", "person_id")).alias("e"))
+    return last.select(*key, F.col("e.action").alias("decision"), "e.person_id").where("decision <> 'CLEAR'")
 
 
 @dataclass

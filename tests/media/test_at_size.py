@@ -4,6 +4,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from mediaframe.operators import generation as gen
+from mediaframe.queries import QUERIES
 
 
 def test_digest_of_hashes_whose_sum_passes_a_long(spark):
@@ -12,3 +13,18 @@ def test_digest_of_hashes_whose_sum_passes_a_long(spark):
     got = gen.membership_digest(rows).first()
     h = [int(hashlib.sha256(f"{i}|m|1|2".encode()).hexdigest()[:12], 16) for i in range(n)]
     assert (got.n_rows, got.sum) == (n, str(sum(h))) and sum(h) >= 1 << 63
+
+
+def faces(spark, tmp_path):
+    """Detections of which some share an anchor: vec_ids that are 100,003 apart."""
+    ids = [*range(60), *range(100_003, 100_063)]
+    spark.createDataFrame([(i, [1.0], i // 7 % 3) for i in ids], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    return ids
+
+
+def test_edits_of_detections_that_share_an_anchor(spark, tmp_path):
+    ids = faces(spark, tmp_path)
+    got = QUERIES["f5_apply_edits"](spark, str(tmp_path)).collect()
+    anchor = lambda i: f"f{i * 7919 % 100003:06d}"
+    want = [(anchor(i), "EXCLUDE", None) if i % 3 == 0 else (anchor(i), "ASSIGN", f"p{i % 4}") for i in ids if i % 15]
+    assert sorted(map(str, want)) == sorted(str((r.anchor_id, r.decision, r.person_id)) for r in got)

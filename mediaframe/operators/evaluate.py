@@ -12,9 +12,12 @@ from mediaframe.functions.text import nfc
 STAGES = ("retrieval", "ocr", "faces", "sensitive")
 
 
-def read_eval_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables photos, queries, ocr, facePairs, sensitive of a JSON dataset, those that it has."""
-    whole = spark.read.json(path, multiLine=True)
+def read_eval_dataset(spark: SparkSession, path: str, schema: str | None = None) -> dict[str, DataFrame]:
+    """Tables photos, queries, ocr, facePairs, sensitive of a JSON dataset, those that it has.
+
+    Where many files are read, `schema` should name the types: to infer them, Spark reads small files whole in a few tasks.
+    """
+    whole = (spark.read if schema is None else spark.read.schema(schema)).json(path, multiLine=True)
     return {c: whole.select(F.explode(c).alias("x")).select("x.*") for c in ("photos", "queries", "ocr", "facePairs", "sensitive") if c in whole.columns}
 
 

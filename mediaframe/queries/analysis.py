@@ -100,8 +100,10 @@ def s10_eval_dataset(t):
     """Rows written as JSON datasets of a hundred photos each, and read back as tables."""
     path = f"{shared_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
     photo = F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    t.documents.groupBy(F.expr("doc_id div 100").alias("k")).agg(F.collect_list(photo).alias("photos")).select("photos").write.option("maxRecordsPerFile", 1).json(path)
-    return ev.read_eval_dataset(t.spark, path)["photos"].select(F.col("id").alias("doc_id"), F.col("language").alias("lang"))
+    # A number of partitions of its own: rows this small would be put together, and then one task writes all files.
+    sets = t.documents.select(F.expr("doc_id div 100").alias("k"), photo.alias("photo")).repartition(4 * t.spark.sparkContext.defaultParallelism, "k")
+    sets.groupBy("k").agg(F.collect_list("photo").alias("photos")).select("photos").write.option("maxRecordsPerFile", 1).json(path)
+    return ev.read_eval_dataset(t.spark, path, "photos array<struct<id:bigint,language:string>>")["photos"].select(F.col("id").alias("doc_id"), F.col("language").alias("lang"))
 
 
 # --- recognised text ----------------------------------------------------------------------------

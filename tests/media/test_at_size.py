@@ -1,9 +1,11 @@
 """Faults that only tables of some size show, on small tables that have what the size brings."""
+import glob
 import hashlib
 
 from pyspark.sql import functions as F
 
 from mediaframe.operators import generation as gen
+from mediaframe.plans.lineage import shared_folder
 from mediaframe.queries import QUERIES
 
 
@@ -18,7 +20,7 @@ def test_digest_of_hashes_whose_sum_passes_a_long(spark):
 def faces(spark, tmp_path):
     """Detections of which some share an anchor: vec_ids that are 100,003 apart."""
     ids = [*range(60), *range(100_003, 100_063)]
-    spark.createDataFrame([(i, [1.0], i // 7 % 3) for i in ids], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, [1.0], i // 15 % 3) for i in ids], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     return ids
 
 
@@ -34,5 +36,19 @@ def test_pairs_of_detections_that_share_anchors(spark, tmp_path):
     ids = set(faces(spark, tmp_path))
     got = QUERIES["j16_cannot_link_pairs"](spark, str(tmp_path)).collect()
     anchor = lambda i: f"f{i * 7919 % 100003:06d}"
-    want = {tuple(sorted((anchor(i), anchor(i + 10)))) for i in ids if i + 10 in ids and i % 5 == 0 and i // 7 % 3 == (i + 10) // 7 % 3}
+    want = {tuple(sorted((anchor(i), anchor(i + 10)))) for i in ids if i + 10 in ids and i % 5 == 0 and i // 15 % 3 == (i + 10) // 15 % 3}
     assert sorted((r.a, r.b) for r in got) == sorted(want) and want
+
+
+def test_datasets_are_written_by_many_tasks(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(glob.glob(f"{at(spark)}/dataset-*"))
+    assert QUERIES["s10_eval_dataset"](spark, str(tmp_path)).distinct().count() == 3000
+    (path,) = set(glob.glob(f"{at(spark)}/dataset-*")) - before
+    files = [f.split("part-")[1] for f in glob.glob(f"{path}/part-*")]
+    tasks = [f[:5] for f in files]
+    assert len(files) == 30 and max(map(tasks.count, tasks)) < 15
+
+
+def at(spark):
+    return shared_folder(spark).removeprefix("file:")

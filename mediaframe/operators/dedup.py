@@ -19,8 +19,9 @@ from mediaframe.plans.lineage import cut_lineage
 from mediaframe.plans.paging import page, page_after
 from mediaframe.plans.rank import ordered_rank
 
-BANDS, MAX_DISTANCE, TOP, TILE = 16, 14, 8, 1 << 15
-MOST_IN_TILES, RANGE, BLOCK = 1 << 17, 64, 21
+BANDS, MAX_DISTANCE, TOP, TILE = 16, 14, 8, 1 << 17
+MOST_IN_TILES, RANGE, BLOCK = 1 << 24, 1 << 17, 21
+PARTS, TOGETHER, AT_ONCE = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12)), 4, 1 << 20
 MASK = (1 << BLOCK) - 1
 
 
@@ -87,9 +88,9 @@ def bands(fp: DataFrame, key: str = "id", bits: str = "bits") -> DataFrame:
 def near_pairs(fp: DataFrame, max_distance: int = MAX_DISTANCE, key: str = "id", bits: str = "bits", tile: int = TILE, most_in_tiles: int = MOST_IN_TILES) -> DataFrame:
     """(left_bits, right_bits, distance) of different hashes within the distance; equal hashes are collapsed first.
 
-    Up to `most_in_tiles` distinct hashes (counted) are compared tile by tile, all with all, which numpy does
-    at some 10^9 pairs a second. Beyond, hashes are cut into three blocks of 21 bits, one of which
-    differs in a third of the bits at most; see `_meetings`. Both give the same pairs.
+    Up to `most_in_tiles` distinct hashes (counted) are compared tile by tile; two tiles meet in numpy through
+    parts of their hashes, so that a tenth of the pairs is looked at; see `_close`. Beyond, hashes are cut into
+    three blocks of 21 bits, one of which differs in a third of the bits at most; see `_meetings`. Both give the same pairs.
     """
     distinct = cut_lineage(fp.select(F.col(bits).alias("b")).where("b is not null").distinct())
     n = distinct.count()
@@ -102,12 +103,67 @@ def _tiles(distinct: DataFrame, n: int, tile: int) -> DataFrame:
     tiles = max(1, -(-n // tile), min(8, n // 2048))
     dealt = distinct.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     placed = dealt.select(F.lit(-1).alias("block"), F.lit(0).alias("value"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "b")
-    return placed.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+    return placed.repartition(tiles * (tiles + 1), "t1", "t2").sortWithinPartitions("t1", "t2")  # a number of its own: few bytes are much work here
 
 
-def _flips(most: int) -> np.ndarray:
-    """All 21-bit numbers of at most so many set bits."""
-    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(BLOCK), k)], np.int64)
+def _flips(most: int, size: int = BLOCK) -> np.ndarray:
+    """All numbers of `size` bits of which at most so many are set."""
+    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(size), k)], np.int64)
+
+
+def _by_part(left: np.ndarray, right: np.ndarray, shift: int, size: int, radius: int):
+    """How many pairs differ in at most `radius` bits of one part; and a generator of (places in left, places in right) of all of them."""
+    flips, values = _flips(radius, size), np.arange(1 << size)
+    x, y = (((v >> shift) & ((1 << size) - 1)).astype(np.int64) for v in (left, right))
+    of_x, of_y = np.bincount(x, minlength=1 << size), np.bincount(y, minlength=1 << size)
+    met = sum(of_y[values ^ f] for f in flips)
+
+    def pairs():
+        rows, others = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+        x_from, y_from = (np.concatenate([[0], np.cumsum(n)]) for n in (of_x, of_y))
+        for v in np.flatnonzero(of_x * met):
+            near = v ^ flips
+            n = of_y[near]
+            at = np.repeat(y_from[near] - np.cumsum(n) + n, n) + np.arange(met[v])
+            yield rows[x_from[v] : x_from[v + 1]], others[at]
+
+    return int((of_x * met).sum()), pairs
+
+
+def _close(left: np.ndarray, right: np.ndarray, most: int):
+    """(place in left, place in right, distance) of all pairs of hashes of at most `most` different bits, each pair once, in pieces of about `AT_ONCE`.
+
+    One of five parts of such hashes differs in a fifth of the bits at most, so hashes meet by the values of a part that
+    are so close. A pair counts in the first such part. Where that saves nothing, all meet.
+    """
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    radius = most // len(PARTS)
+    ways = [_by_part(left, right, *part, radius) for part in PARTS] if radius <= 3 and len(left) * len(right) > 1 << 22 else []
+    parts = [pairs() for _, pairs in ways]
+    if not ways or sum(n for n, _ in ways) >= len(left) * len(right):
+        parts = [[(np.arange(len(left)), np.arange(len(right)))]]
+    held, size = [], 0
+    for k, meetings in enumerate(parts):
+        for rows, others in meetings:
+            step, y = max(1, AT_ONCE // max(len(others), 1)), right[others]
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                differ = left[some][:, None] ^ y
+                distance = np.bitwise_count(differ).ravel()
+                hit = np.flatnonzero(distance <= most)
+                if not len(hit):
+                    continue
+                found = differ.ravel()[hit]
+                for shift, bits in PARTS[:k]:
+                    new = np.bitwise_count((found >> shift) & ((1 << bits) - 1)) > radius
+                    hit, found = hit[new], found[new]
+                held.append((some[hit // len(others)], others[hit % len(others)], distance[hit].astype(np.int32)))
+                size += len(hit)
+                if size > AT_ONCE:
+                    yield tuple(np.concatenate(c) for c in zip(*held))
+                    held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def _meetings(distinct: DataFrame, apart: int, tile: int) -> DataFrame:
@@ -151,6 +207,12 @@ def _compare(batches, max_distance: int):
         own, b = (np.concatenate(x) for x in zip(*held))
         block, value, t1, t2 = place
         left, right = b[own == t1], b[own == t2]
+        if block < 0:
+            for i, j, d in _close(left, right, max_distance):
+                x, y = left[i], right[j]
+                keep = x < y if t1 == t2 else np.ones(len(x), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(d[keep])], names=["left_bits", "right_bits", "distance"])
+            return
         for lo in range(0, len(left), 512):
             some = left[lo : lo + 512]
             distance = np.bitwise_count(some[:, None] ^ right[None, :])
@@ -158,12 +220,11 @@ def _compare(batches, max_distance: int):
             x, y, d = some[i], right[j], distance[i, j].astype(np.int32)
             keep = x < y if t1 == t2 else np.ones(len(x), bool)
             x, y, d = np.minimum(x, y)[keep], np.maximum(x, y)[keep], d[keep]
-            if block >= 0:
-                cut = lambda v, k: (v >> (BLOCK * k)) & MASK
-                mine = (np.bitwise_count(cut(x, block) ^ cut(y, block)) <= max_distance // 3) & (_half_way(cut(x, block), cut(y, block)) == value)
-                for k in range(block):  # an earlier block has reported it
-                    mine &= np.bitwise_count(cut(x, k) ^ cut(y, k)) > max_distance // 3
-                x, y, d = x[mine], y[mine], d[mine]
+            cut = lambda v, k: (v >> (BLOCK * k)) & MASK
+            mine = (np.bitwise_count(cut(x, block) ^ cut(y, block)) <= max_distance // 3) & (_half_way(cut(x, block), cut(y, block)) == value)
+            for k in range(block):  # an earlier block has reported it
+                mine &= np.bitwise_count(cut(x, k) ^ cut(y, k)) > max_distance // 3
+            x, y, d = x[mine], y[mine], d[mine]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["left_bits", "right_bits", "distance"])
 
@@ -183,67 +244,126 @@ def _compare(batches, max_distance: int):
         yield from done()
 
 
-def _capped(rows: DataFrame, of: list[str], order: list[str], top: int) -> DataFrame:
-    """The first 2 * top rows of each group in order, not counting a content's rows after its first `top`: whichever content is left out, the first `top` others are among them."""
-    each = Window.partitionBy(*of, "sha").orderBy(*order)
-    kept = rows.withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= top)
-    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("_r") <= 2 * top).drop("_r")
+class _Closest:
+    """The closest `top` later items of other content for each item of a tile, as tiles of later items pass in order.
 
+    Items are arrays of rank, content and bits in the order of ranks. Members of hashes are never multiplied out: of a
+    hash an item takes at most `top` members after its own rank, and steps over a run of its own content at once.
+    """
 
-def _suffixes(heads: DataFrame, top: int) -> DataFrame:
-    """(bits, range, members): for each hash and each range that holds any of its members, the capped first members from there on.
+    def __init__(self, rank, content, bits, most: int, top: int):
+        self.rank, self.content, self.most, self.top = rank, content, most, top
+        self.bits, of = np.unique(bits, return_inverse=True)
+        self.members, self.size = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(self.bits))
+        self.first = np.cumsum(self.size) - self.size
+        self.far = np.full((len(rank), top), most + 1, np.int32)
+        self.found = np.full((len(rank), top), -1, np.int64)
+
+    def meet(self, rank, content, bits) -> None:
+        hashes, of = np.unique(bits, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        of, rank, content = of[order], rank[order], content[order]
+        ends = np.cumsum(np.bincount(of, minlength=len(hashes)))
+        key = (of << 40) + rank
+        turns = np.append(np.flatnonzero((content[1:] != content[:-1]) | (of[1:] != of[:-1])) + 1, len(of))
+        other = turns[np.searchsorted(turns, np.arange(len(of)), "right")]  # the next place of another content or hash
+        for left, right, far in _close(self.bits, hashes, self.most):
+            by = np.argsort(far, kind="stable")  # what is close first, so that the rest is soon left out
+            left, right, far = left[by], right[by], far[by]
+            rows = np.cumsum(self.size[left])
+            lo = 0
+            while lo < len(left):
+                hi = max(lo + 1, int(np.searchsorted(rows, (rows[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                n = self.size[left[lo:hi]]
+                item = self.members[np.repeat(self.first[left[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                d, h = np.repeat(far[lo:hi], n), np.repeat(right[lo:hi], n)
+                near = d <= np.minimum(self.far[item, -1], self.most)
+                item, d, h = item[near], d[near], h[near]
+                self._take(item, d, np.searchsorted(key, (h << 40) + self.rank[item], "right"), ends[h], rank, content, other)
+                lo = hi
+
+    def _take(self, item, d, at, end, rank, content, other) -> None:
+        taken, count = [], np.zeros(len(item), np.int64)
+        while True:
+            go = (at < end) & (count < self.top)
+            if not go.any():
+                break
+            item, d, at, end, count = item[go], d[go], at[go], end[go], count[go]
+            own = content[at] == self.content[item]
+            taken.append((item[~own], d[~own], rank[at[~own]]))
+            at, count = np.where(own, other[at], at + 1), count + ~own
+        if not taken:
+            return
+        item, d, r = (np.concatenate(c) for c in zip(*taken))
+        some = np.unique(item)
+        item = np.concatenate([np.repeat(some, self.top), item])
+        d, r = np.concatenate([self.far[some].ravel(), d]), np.concatenate([self.found[some].ravel(), r])
+        by = np.lexsort((r, d, item))
+        item, d, r = item[by], d[by], r[by]
+        first = np.searchsorted(item, some)[:, None] + np.arange(self.top)
+        self.far[some], self.found[some] = d[first], r[first]
+
+    def rows(self):
+        i, k = np.nonzero(self.found >= 0)
+        for lo in range(0, len(i), AT_ONCE):
+            at = i[lo : lo + AT_ONCE], k[lo : lo + AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array(self.rank[at[0]]), pa.array(self.found[at]), pa.array(self.far[at])], names=["left", "right", "distance"])
+
+
+def _closest(batches, most: int, top: int):
+    """`_Closest` over rows (t1, g, t2, rank, content, bits) in that order: a tile's own items (t2 = -1), then tiles from its own on."""
+    here, held, state = None, [], None
+
+    def run():
+        nonlocal state
+        columns = [np.concatenate(c) for c in zip(*held)]
+        if here[2] < 0:
+            state = _Closest(*columns, most, top)
+        elif state is not None:
+            state.meet(*columns)
 
-    A hash's ranges pass one after the other, from the last, with at most 2 * top members in hand.
-    """
-    def walk(batches):
-        bits, held = None, []
-        for b in batches:
-            out = []
-            for h, g, members in zip(*(c.to_pylist() for c in b.columns)):
-                if h != bits:
-                    bits, held = h, []
-                seen, kept = {}, []
-                for m in [*members, *held]:
-                    seen[m["sha"]] = seen.get(m["sha"], 0) + 1
-                    if seen[m["sha"]] <= top and len(kept) < 2 * top:
-                        kept.append(m)
-                held = kept
-                out.append((h, g, kept))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], b.schema.field(i).type) for i in range(3)], names=["bits", "range", "members"])
-
-    lists = heads.groupBy("bits", "range").agg(F.array_sort(F.collect_list(F.struct("id", "sha"))).alias("members"))  # 2 * top of them at most
-    return lists.repartition("bits").sortWithinPartitions("bits", F.col("range").desc()).mapInArrow(walk, lists.schema)
-
-
-def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP, width: int = RANGE, **options) -> DataFrame:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, data = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1), [c.to_numpy() for c in batch.columns[3:]]
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            now = tuple(keys[lo].tolist())
+            if now != here:
+                if held:
+                    run()
+                if here is not None and now[:2] != here[:2]:
+                    yield from state.rows()
+                here, held = now, []
+            held.append([c[lo:hi] for c in data])
+    if held:
+        run()
+        yield from state.rows()
+
+
+def relations(fp: DataFrame, max_distance: int = MAX_DISTANCE, top: int = TOP, width: int = RANGE) -> DataFrame:
     """(left_id, right_id, distance): of each item its closest `top` later ones of other content; `fp` has id (distinct), sha, bits.
 
-    Members of hashes are never multiplied out. Ids are cut into ranges of `width` items. Inside a range
-    all items meet. For what lies in later ranges, each hash has a list of its first members from each
-    range on, long enough whatever content is left out; an item reads the lists of the hashes near its
-    own, already merged for all items of its hash and range. So an item meets width + 2 * top others at the
-    most, though a third of all items may share a hash or a content.
+    Items in the order of ids are cut into tiles of at most `width`. A tile meets the tiles from its own on, `TOGETHER`
+    of them in one task, one after the other; the task holds two tiles and the closest so far of each item, and returns
+    these. So rows that are moved grow with the items and the tiles, never with pairs or with members of a hash.
     """
-    m = fp.select("id", "sha", "bits").where("bits is not null")
-    m = cut_lineage(ordered_rank(m, [F.col("id")], "range").withColumn("range", F.floor(F.col("range") / width).cast("long")))
-    far = F.bit_count(F.col("left_bits").bitwiseXOR(F.col("bits"))).cast("int")
-    left = m.select(F.col("id").alias("left_id"), F.col("sha").alias("left_sha"), F.col("bits").alias("left_bits"), "range")
-    inside = left.join(m, "range").where((F.col("left_id") < F.col("id")) & (F.col("left_sha") != F.col("sha")) & (far <= max_distance)).select("left_id", "id", far.alias("distance"))
-
-    close = near_pairs(m, max_distance, **options)
-    own = m.select(F.col("bits").alias("left_bits"), F.col("bits").alias("right_bits"), F.lit(0).alias("distance")).distinct()
-    both = cut_lineage(close.union(close.select("right_bits", "left_bits", "distance")).union(own))
-    lists = _suffixes(_capped(m, ["bits", "range"], ["id"], top), top)
-    places = m.select(F.col("bits").alias("left_bits"), "range").distinct()
-    asked = places.join(both, "left_bits")
-    # For each hash and range that asks: the list from the first later range that has one. Going down, the last list seen.
-    points = lists.select("bits", "range", F.lit(1).alias("kind"), "members").unionByName(asked.select(F.col("right_bits").alias("bits"), "range").distinct().select("bits", "range", F.lit(0).alias("kind"), F.lit(None).cast(lists.schema["members"].dataType).alias("members")))
-    down = Window.partitionBy("bits").orderBy(F.col("range").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    later = points.withColumn("members", F.last("members", ignorenulls=True).over(down)).where("kind = 0 and members is not null").select(F.col("bits").alias("right_bits"), "range", "members")
-    merged = asked.join(later, ["right_bits", "range"]).select("left_bits", "range", "distance", F.explode("members").alias("r")).select("left_bits", "range", "distance", "r.id", "r.sha")
-    outside = left.join(_capped(merged, ["left_bits", "range"], ["distance", "id"], top), ["left_bits", "range"]).where("left_sha <> sha").select("left_id", "id", "distance")
-    w = Window.partitionBy("left_id").orderBy("distance", "id")
-    return inside.union(outside).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("left_id", F.col("id").alias("right_id"), "distance")
+    m = cut_lineage(ordered_rank(fp.select("id", "sha", "bits").where("bits is not null"), [F.col("id")], "rank"))
+    n = m.count()
+    width = min(width, max(2048, -(-n // 8)))
+    tiles = max(1, -(-n // width))
+    content = m.groupBy("sha").agg(F.min("rank").alias("content"))
+    item = cut_lineage(m.join(content, "sha").select(F.floor(F.col("rank") / width).cast("int").alias("tile"), "rank", "content", "bits"))
+    group = lambda c: F.floor(c / TOGETHER).cast("int")
+    left = item.select(F.col("tile").alias("t1"), F.explode(F.sequence(group(F.col("tile")), F.lit((tiles - 1) // TOGETHER))).alias("g"), F.lit(-1).alias("t2"), "rank", "content", "bits")
+    right = item.select(F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("t1"), group(F.col("tile")).alias("g"), F.col("tile").alias("t2"), "rank", "content", "bits")
+    tasks = tiles * (tiles // TOGETHER + 1)
+    dealt = left.union(right).repartition(min(2 * tasks, max(1000, tasks // 10)), "t1", "g").sortWithinPartitions("t1", "g", "t2", "rank")
+    found = dealt.mapInArrow(lambda batches: _closest(batches, max_distance, top), "left long, right long, distance int")
+    w = Window.partitionBy("left").orderBy("distance", "right")
+    best = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    name = lambda c: m.select(F.col("rank").alias(c), F.col("id").alias(f"{c}_id"))
+    return best.join(name("left"), "left").join(name("right"), "right").select("left_id", "right_id", "distance")
 
 
 def relations_page(relation: DataFrame, limit: int, cursor: dict | None = None) -> DataFrame:

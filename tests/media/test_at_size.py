@@ -2,9 +2,11 @@
 import glob
 import hashlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.operators import generation as gen
+from mediaframe.operators import dedup, generation as gen
 from mediaframe.plans.lineage import shared_folder
 from mediaframe.queries import QUERIES
 
@@ -52,3 +54,26 @@ def test_datasets_are_written_by_many_tasks(spark, tmp_path):
 
 def at(spark):
     return shared_folder(spark).removeprefix("file:")
+
+
+@pytest.mark.parametrize("shift", [0, 21])
+def test_hashes_meet_by_parts_as_all_with_all(shift):
+    """Two tiles of 2,200 hashes, beyond the size up to which all meet; some in crowds around one hash, some that agree in most parts."""
+    r = np.random.default_rng(3)
+    b = r.integers(0, 1 << 63, 4400 - 600) >> shift << shift
+    flips = np.array([np.bitwise_or.reduce(1 << r.choice(63, k, replace=False)) for k in r.integers(1, 18, 600)])
+    b = np.unique(np.concatenate([b, b[r.integers(0, 5, 600)] ^ flips]))
+    r.shuffle(b)
+    left, right = b[: len(b) // 2], b[len(b) // 2 :]
+    got = [(i, j, d) for x in dedup._close(left, right, 14) for i, j, d in zip(*map(np.ndarray.tolist, x))]
+    distance = np.bitwise_count(left[:, None] ^ right)
+    i, j = np.nonzero(distance <= 14)
+    assert sorted(got) == list(zip(i.tolist(), j.tolist(), distance[i, j].tolist())) and len(got) > 100
+    assert shift or sum(dedup._by_part(left, right, *p, 2)[0] for p in dedup.PARTS) < 0.3 * len(left) * len(right)
+
+
+def test_pairs_of_tiles_are_tasks_of_their_own(spark):
+    """Few bytes are much work: partitions must not be put together by their size."""
+    dealt = dedup._tiles(spark.range(20_000).select(F.xxhash64("id").alias("b")), 20_000, 1 << 17)
+    assert dealt.select("t1", "t2", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().agg(F.max("count")).first()[0] < 6
+    assert dealt.rdd.getNumPartitions() == 72

@@ -3,15 +3,17 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 
-@pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@arrow_udf(StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    # Some rows at a time, so that no batch stands in Python as objects.
+    some = (text.slice(lo, 16).to_pylist() for lo in range(0, len(text), 16))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in x], pa.string()) for x in some)])
 
 
 def nfc(text: Column) -> Column:

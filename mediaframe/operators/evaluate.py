@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 from mediaframe.functions.text import nfc
@@ -114,22 +115,23 @@ def _by_bits(x: np.ndarray, y: np.ndarray) -> int:
     return distance
 
 
-@pandas_udf(LongType())
-def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+# Rows leave their Arrow batch (10,000 rows or 64 MB) one by one, so no batch stands in Python as objects.
+@arrow_udf(LongType())
+def token_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of two token lists."""
     def one(x, y) -> int:
         codes: dict = {}
         x, y = (np.array([codes.setdefault(t, len(codes)) for t in z], int) for z in (x, y))
         return edit_distance(x, y)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    return pa.array((one(x.as_py(), y.as_py()) for x, y in zip(a, b)), pa.int64())
 
 
-@pandas_udf(LongType())
-def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+@arrow_udf(LongType())
+def text_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of two texts by code points; null if either is."""
-    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return pd.Series([None if x is None or y is None else edit_distance(codes(x), codes(y)) for x, y in zip(a, b)], dtype="Int64")
+    codes = lambda t: np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return pa.array((edit_distance(codes(x), codes(y)) if x.is_valid and y.is_valid else None for x, y in zip(a, b)), pa.int64())
 
 
 def character_errors(pairs: DataFrame, group: str = "language") -> DataFrame:

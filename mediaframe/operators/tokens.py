@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from mediaframe.functions.text import nfc
 from mediaframe.plans.lineage import cut_lineage
 
-MOST_PIECES, _CODES = 2_000_000, 1 << 21
+MOST_PIECES, WORDS_AT_ONCE, _CODES = 2_000_000, 1 << 18, 1 << 21
 
 
 @dataclass
@@ -96,16 +96,21 @@ def tokenize_corpus(docs: DataFrame, vocab: DataFrame, max_len: int = 77, most_p
     return tokens, rates
 
 
-def _walked(worded: DataFrame, trie: Trie) -> DataFrame:
+def _walked(worded: DataFrame, trie: Trie, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     def walk(batches):
-        for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten().dictionary_encode()
-            n = trie.pieces(flat.dictionary.cast(pa.string()))
-            word = n[flat.indices.to_numpy()]
-            first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(add(np.where(word < 0, 1, word))), pa.array(np.diff(first)), pa.array(add((word < 0).astype(np.int64)))], names=["doc_id", "lang", "tokens", "words", "unknown"])
+        for whole in batches:
+            ends = np.cumsum(pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < whole.num_rows:  # some words at a time, so that memory does not grow with the batch
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + words_at_once, "right")))
+                b, lo = whole.slice(lo, hi - lo), hi
+                lists = b.column(2)
+                flat = lists.flatten().dictionary_encode()
+                n = trie.pieces(flat.dictionary.cast(pa.string()))
+                word = n[flat.indices.to_numpy()]
+                first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(add(np.where(word < 0, 1, word))), pa.array(np.diff(first)), pa.array(add((word < 0).astype(np.int64)))], names=["doc_id", "lang", "tokens", "words", "unknown"])
 
     schema = StructType([*worded.select("doc_id", "lang").schema.fields, *[StructField(c, LongType()) for c in ("tokens", "words", "unknown")]])
     return worded.mapInArrow(walk, schema)

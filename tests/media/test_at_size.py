@@ -1,12 +1,15 @@
 """Faults that only tables of some size show, on small tables that have what the size brings."""
 import glob
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.operators import dedup, generation as gen
+from mediaframe.functions import text
+from mediaframe.operators import dedup, evaluate, generation as gen, tokens
 from mediaframe.plans.lineage import shared_folder
 from mediaframe.queries import QUERIES
 
@@ -77,3 +80,21 @@ def test_pairs_of_tiles_are_tasks_of_their_own(spark):
     dealt = dedup._tiles(spark.range(20_000).select(F.xxhash64("id").alias("b")), 20_000, 1 << 17)
     assert dealt.select("t1", "t2", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().agg(F.max("count")).first()[0] < 6
     assert dealt.rdd.getNumPartitions() == 72
+
+
+def test_words_walk_some_at_a_time(spark):
+    docs = spark.createDataFrame([(i, "en", ["ab"] * (i % 5) + ["x"]) for i in range(40)], "doc_id long, lang string, w array<string>").coalesce(1)
+    walk = lambda n: sorted(map(tuple, tokens._walked(docs, tokens.Trie.of(["a", "b"]), n).collect()))
+    assert walk(1) == walk(7) == walk(1 << 18) == [(i, "en", 2 * (i % 5) + 1, i % 5 + 1, 1) for i in range(40)]
+
+
+def test_a_batch_of_texts_does_not_stand_in_python(spark):
+    """Texts of a batch are taken one by one: what Python allocates stays far under the batch."""
+    batch = pa.array(["e\u0301" * 5000] * 400)
+    for f, args in ((text._nfc, (batch,)), (evaluate.text_distance, (batch, batch))):
+        tracemalloc.start()
+        out = f.func(*args)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 400 and peak < batch.nbytes / 4
+    assert text._nfc.func(batch)[0].as_py() == "\u00e9" * 5000 and evaluate.text_distance.func(batch, pa.array([None] * 400, pa.string())).null_count == 400

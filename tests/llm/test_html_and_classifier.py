@@ -347,3 +347,26 @@ def test_toxic_words_are_caught(spark):
         late = [x for x in rows if x[0] >= 900]
         assert len(kept) == len(rows) and not any(kept[x[0]] for x in late if x[3])
         assert sum(kept[x[0]] for x in late if not x[3]) >= 0.97 * sum(not x[3] for x in late)
+
+
+def test_all_labelled_rows_are_used(spark):
+    """More labels than 2000 of a language: none is left out, and abuse that only the last by hash name is known."""
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).orderBy("h", "doc_id").collect()
+    place = {r.doc_id: i for i, r in enumerate(ids)}
+    rows = [(i, "the cat sat on the mat" + (" zvulgrakz" if i % 2 and place[i] >= 5500 else f" by house {i % 50}"), "en") for i in range(6000)]
+    usual = "the cat sat on the mat by house 8 " * 30
+    docs = spark.createDataFrame(rows + [(9000, usual + "zvulgrakz", "en"), (9001, usual, "en")], "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 6000").select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    parts = Counter((r.toxic, r.part) for r in qc.labelled_ids(docs, labels, "doc_id").collect())
+    assert sum(parts.values()) == 6000 and parts[1, 1] == 3000 and all(parts[0, p] == 600 for p in range(5))
+    kept = {r.doc_id: r.kept for r in qc.judge_documents(docs, labels).collect()}
+    assert len(kept) == 6002 and not kept[9000] and kept[9001]
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(g, r.choice([None, r.random(), 0.5])) for g in "ab" for _ in range(501)] + [("c", 2.0), ("d", None)], "g string, v double")
+    for q in (0.0, 0.37, 0.99, 1.0):
+        got = {x.g: x.v for x in qc.quantiles(df, "g", "v", q, "v").collect()}
+        want = {x.g: x.v for x in df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("v")).collect() if x.v is not None}
+        assert got == pytest.approx(want)
